@@ -73,6 +73,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep_tie: bool = False,
 ) -> DataFrame:
     """What the mix takes of each row: ``doc_id, size, source, source_size, target, taken``.
 
@@ -84,7 +85,7 @@ def mix_sources(
     the budget is taken only if that brings the source closer to it. Rows with equal
     keys (repeated ids) are ordered by size and text hash. Null or blank texts have
     size 0 and take 0. An empty table gives an empty result. Other columns are
-    ignored. Reruns with the same seed agree.
+    ignored. Reruns with the same seed agree. ``keep_tie`` adds the text hash.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
@@ -124,4 +125,23 @@ def mix_sources(
     inside = inside.withColumn("chosen", (start + F.col("size") / 2 <= F.col("budget")) & (start < F.col("budget")))
     outside = rows.where("edge is null or cell <> edge").withColumn("chosen", F.col("edge").isNotNull() & (F.col("cell") < F.col("edge")))
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
-    return outside.unionByName(inside).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "quality_weight")
+    more = ["quality_weight", "tie"] if keep_tie else ["quality_weight"]
+    return outside.unionByName(inside).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *more)
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix, with all columns of ``docs``: each as often as it is taken.
+
+    Rows that take nothing go. Rows are told apart by id, source and a hash of the
+    text; rows that repeat all three share what they take together, evenly.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    key, text, source = (f"c{columns.index(c)}" for c in (id_col, text_col, source_col))
+    mix = mix_sources(docs, None, id_col=id_col, text_col=text_col, source_col=source_col, keep_tie=True, **options)
+    taken = mix.where("taken > 0").groupBy("doc_id", "source", "tie").agg(F.sum(F.col("taken") / F.col("size")).alias("times"), F.count("*").alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "tie", "times", "rows")
+    same = F.col(key).eqNullSafe(F.col("m_id")) & F.col(source).eqNullSafe(F.col("m_source")) & (F.xxhash64(text) == F.col("tie"))
+    times = F.ceil(F.col("times") / F.col("rows")).cast("int")
+    joined = plain.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    return joined.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, columns)])

@@ -52,9 +52,9 @@ def fingerprint(text: bytes | None, width: int) -> int:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
+            prints = [fingerprint(t, width) for t in batch.column(2).to_pylist()]
             signed = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed)], names=["doc_id", "mark", "fp"])
 
     return run
 
@@ -202,6 +202,24 @@ def simhash_links(prints: DataFrame) -> DataFrame:
     return first.where("not overflow").unionByName(again).select("u", "v")
 
 
+def _groups(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, mark, fp, component_id, component`` for ``docs(doc_id, mark, text)``.
+
+    ``component`` is the least fingerprint of the group, so it names one group only
+    even where ids repeat.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    prints = shared_table(docs.mapInArrow(_fingerprints(width), f"doc_id {kind}, mark long, fp long"), "simhash")
+    distinct = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    groups = connected_components(simhash_links(distinct))
+    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")
+    )
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    verdict = shared_table(named.join(least, "component").select("fp", "component_id", "component"), "simhash-groups")
+    return prints.join(verdict, "fp")
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3
 ) -> DataFrame:
@@ -215,18 +233,28 @@ def simhash_components(
     table an empty result. Other columns are ignored. Copies share a fingerprint and
     are reduced to it before matching.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = dict(narrow.dtypes)["doc_id"]
-    prints = shared_table(narrow.mapInArrow(_fingerprints(width), f"doc_id {kind}, fp long"), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(simhash_links(distinct))
-    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    verdict = named.join(least, "component").select("fp", "component_id")
-    return prints.join(verdict, "fp").select(
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    return _groups(marked, width).select(
         F.col("doc_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (long).
+
+    Of rows that repeat that id the one with the least text hash stays, once. A row
+    with a null id stays only if its component has no other, once. All columns come
+    back, whatever their names.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    key, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    own_id, mark = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("mark")
+    narrow = docs.select(F.col(id_col).alias(key), F.col(text_col).alias(text))
+    groups = _groups(narrow.select(own_id, mark, F.col(text).cast("binary").alias("text")), width)
+    stays = groups.where("doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("stay"))
+    joined = plain.select("*", own_id, mark).join(stays.select("stay.*"), ["doc_id", "mark"], "left_semi")
+    unique = joined.dropDuplicates(["doc_id", "mark"])
+    return unique.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, columns)])
