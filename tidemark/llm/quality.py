@@ -1,8 +1,9 @@
 """Quality rules: line-first cleaning.
 
 Each line is judged alone: a line fails if it is navigation (mostly menu separators
-or links), boilerplate (a notice of the site rather than of the text) or lacks
-sentence punctuation while being too long for a heading. Failing lines are removed,
+or links), boilerplate (a notice of the site rather than of the text) or wrong in its
+punctuation: as many symbols as words, or no end of a sentence in a line too long for
+a heading. Failing lines are removed,
 and a document that loses too much of its text is rejected. Base measures of the
 whole text come first.
 """
@@ -41,6 +42,8 @@ def line_verdict(line: bytes, words: list[bytes]) -> str:
         return "navigation"
     if len(words) <= 2 * HEADING_WORDS and BOILERPLATE.search(line):
         return "boilerplate"
+    if len(line) - len(line.translate(None, SYMBOLS)) >= max(3, len(words)):
+        return "punctuation"
     if len(words) > HEADING_WORDS and not line.rstrip().endswith(ENDS):
         return "punctuation"
     return "keep"
@@ -80,7 +83,7 @@ def judge(text: bytes | None) -> tuple:
     words = text.split()  # bytes: exactly the white space \x20 and \x09-\x0D
     solid = b"".join(words)
     word_chars = len(solid.decode("utf-8", "replace"))
-    symbols = sum(solid.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS)))
+    symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     seen, dup_lines, kept, lost = set(), 0, [], {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     for line in text.split(b"\n"):
         own = line.split()
