@@ -110,20 +110,19 @@ def mix_sources(
     # at most 2 ** CELL_BITS rows a source
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
-    edge = (
-        cells.join(plan.select("source", "budget"), cells["source"].eqNullSafe(plan["source"]))
-        .where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("cell_size") > F.col("budget")))
-        .select(cells["source"].alias("source"), F.col("cell").alias("edge"), "before")
-    )
-    plan = plan.join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    plan = shared_table(plan.drop("edge_source").withColumnRenamed("source", "of"), "mix-plan")
-
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    inside = rows.where("cell = edge")
+    # rows meet their plan by source and cell, so that a large source is many groups
+    placed = cells.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    reach = F.col("before") + F.col("cell_size")
+    state = F.when(F.col("before") > F.col("budget"), 1).when(reach > F.col("budget"), 0).otherwise(-1)
+    placed = placed.select(F.col("source").alias("of"), F.col("cell").alias("of_cell"), "source_size", "target", "epochs", "budget", "before", state.alias("state"))
+    placed = shared_table(placed, "mix-plan")
+
+    rows = sized.join(placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("of_cell"))).drop("of", "of_cell")
+    inside = rows.where("state = 0")
     rank = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(rank), F.lit(0))
     inside = inside.withColumn("chosen", (start + F.col("size") / 2 <= F.col("budget")) & (start < F.col("budget")))
-    outside = rows.where("edge is null or cell <> edge").withColumn("chosen", F.col("edge").isNotNull() & (F.col("cell") < F.col("edge")))
+    outside = rows.where("state <> 0").withColumn("chosen", F.col("state") < 0)
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
     more = ["quality_weight", "tie"] if keep_tie else ["quality_weight"]
     return outside.unionByName(inside).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *more)
