@@ -140,13 +140,14 @@ def push(particles: DataFrame, fields: list[tuple[str, str]], shape: list[int],
 
     ``fields`` pairs each axis with its velocity column; ``velocity(cell, columns)``
     numbers grid nodes row-major. Each of the four stages looks up the corners of the
-    particles' cells by join (n-linear) and moves them; particles that leave are dropped.
+    particles' cells by join (n-linear), moves them and is checkpointed, since the next
+    stage and the result both use it; particles that leave are dropped.
     """
     axes = [a for a, _ in fields]
-    start = particles.select("id", *axes)
+    start = checkpointed(particles.select("id", *axes))
     total, at = None, start
     for share, next_part in ((1, 0.5), (2, 0.5), (2, 1.0), (1, None)):
-        k = _velocity_at(at, fields, shape, velocity, step)
+        k = checkpointed(_velocity_at(at, fields, shape, velocity, step))
         moved = {a: F.col(f"__k_{a}") for a in axes}
         part = k.select("id", *[(moved[a] * share).alias(f"__s_{a}") for a in axes])
         total = part if total is None else total.join(part.toDF("id", *[f"__t_{a}" for a in axes]), "id").select(

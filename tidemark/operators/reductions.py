@@ -81,9 +81,9 @@ def limbs(value: Column) -> list[Column]:
     Null, NaN and too large values have null limbs.
     """
     rest, out = F.abs(value), []
-    sign = F.signum(value).cast("long")
     fine = (rest < F.lit(math.ldexp(SCALES[0], LIMB_BITS - 1))) & ~F.isnan(rest)
     rest = F.when(fine, rest)
+    sign = F.signum(F.when(fine, value)).cast("long")
     for scale in SCALES:
         limb = F.floor(rest / F.lit(scale))
         rest = rest - limb.cast("double") * F.lit(scale)
