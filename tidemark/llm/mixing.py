@@ -107,9 +107,15 @@ def mix_sources(
     plan = plan.withColumn("epochs", F.floor(F.col("target") / size).cast("long"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    # at most 2 ** CELL_BITS rows a source
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
+    # running sums in two steps, over blocks and within a block: 2 ** (CELL_BITS / 2) rows a group
+    block = F.shiftright("cell", CELL_BITS // 2).alias("block")
+    blocks = cells.groupBy("source", block).agg(F.sum("cell_size").alias("block_size"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("of_block"), F.coalesce(F.sum("block_size").over(earlier), F.lit(0)).alias("blocks_before"))
+    upto = Window.partitionBy("source", "block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("block", block).withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
+    cells = cells.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
+    cells = cells.select("source", "cell", "cell_size", (F.col("before") + F.col("blocks_before")).alias("before"))
     # rows meet their plan by source and cell, so that a large source is many groups
     placed = cells.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     reach = F.col("before") + F.col("cell_size")
