@@ -143,6 +143,12 @@ def diag_region(spark, folder):
     return df.groupBy("l_suppkey", "l_linenumber").agg(F.max("l_extendedprice").alias("max_price"))
 
 
+@query("SELECT l_suppkey, count(*) AS n, max(l_extendedprice) AS max_price FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY ALL")
+def diag_zbounds(spark, folder):
+    df = table(spark, folder, "lineitem").where(F.col("l_linenumber").between(2, 4))
+    return df.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("max_price"))
+
+
 @query(f"SELECT user_id, {END} AS window_end, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")
 def diag_start_time(spark, folder):
     df = events(spark, folder).where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")))

@@ -188,3 +188,28 @@ def fm_flatten(spark, folder):
 
 
 PI_180 = math.pi / 180
+
+
+@query("""
+WITH RECURSIVE o(n, x) AS (SELECT 0, 0.0::DOUBLE UNION ALL
+ SELECT n + 1, x + (a + 2 * b + 2 * c + d) / 6 FROM (SELECT n, x, a, b, c, g / pow((1 - e * e) / (1 + e * cos(x + c - p)), 2) AS d, g, e, p FROM
+  (SELECT *, g / pow((1 - e * e) / (1 + e * cos(x + b / 2 - p)), 2) AS c FROM (SELECT *, g / pow((1 - e * e) / (1 + e * cos(x + a / 2 - p)), 2) AS b FROM
+   (SELECT *, g / pow((1 - e * e) / (1 + e * cos(x - p)), 2) AS a FROM
+    (SELECT n, x, 0.01671::DOUBLE AS e, radians(102.932) AS p, 2 * pi() / 36 * sqrt(1 - 0.01671::DOUBLE * 0.01671::DOUBLE) AS g FROM o WHERE n < 35)))))),
+l AS (SELECT c_custkey, radians(c_custkey % 179 - 89) AS lat FROM customer),
+d AS (SELECT l.*, x, asin(-sin(radians(23.439)) * sin(x)) AS dec FROM l, o),
+h AS (SELECT *, CASE WHEN -tan(lat) * tan(dec) >= 1 THEN 0 WHEN -tan(lat) * tan(dec) <= -1 THEN pi() ELSE acos(-tan(lat) * tan(dec)) END AS h FROM d)
+SELECT c_custkey, round(sum(CASE WHEN h = 0 THEN 0 ELSE greatest(0, sin(lat) * sin(dec) + cos(lat) * cos(dec) * sin(h) / h) END * h / pi()
+ * pow((1 + 0.01671 * cos(x - radians(102.932))) / (1 - 0.01671 * 0.01671), 2)) / 36, 7) AS solar FROM h GROUP BY c_custkey""")
+def annual_solar(spark, folder):
+    lat = table(spark, folder, "customer").select("c_custkey", F.radians(F.col("c_custkey") % 179 - 89).alias("lat"))
+    return ph.annual_mean_solar(lat, "lat", 36).select("c_custkey", F.round("solar", 7).alias("solar"))
+
+
+@query()
+def surface_drag(spark, folder):
+    air = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", (280 + F.col("l_quantity") / 2).alias("pt"), F.lit(292.0).alias("pt0"), F.lit(30.0).alias("z"),
+        F.lit(0.05).alias("z0"), F.lit(0.01).alias("zt"), (1 + F.col("l_discount") * 100).alias("speed"),
+    )
+    return ph.surface_drag(air).select("l_orderkey", "l_linenumber", "drag_m", "drag_t", "u_star", "b_star")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import asof, regrid
+from tidemark.operators.climatology import climatology
 from tidemark.operators.windows import SECOND, micros
 
 HOUR = 3600 * SECOND
@@ -200,3 +201,53 @@ def regrid_bicubic(spark, folder):
     points = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 11 / 11.0).alias("t"), (F.col("c_custkey") % 7 / 7.0).alias("u"))
     shape = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: ((n % 4) * (F.col("c_custkey") % 5) + F.floor(n / 4) * 2).cast("double"))
     return regrid.bicubic(points.withColumn("f", shape), ["c_custkey"]).select("c_custkey", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH m AS (SELECT month(o_orderdate) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM orders GROUP BY ALL),
+c AS (SELECT (n - 1) * 30.0 AS d, x FROM m), s AS (SELECT d AS t1, x AS x1, lead(d) OVER (ORDER BY d) AS t2, lead(x) OVER (ORDER BY d) AS x2 FROM c),
+w AS (SELECT * FROM s WHERE t2 IS NOT NULL UNION ALL SELECT 330.0, (SELECT x FROM c WHERE d = 330), 365.0, (SELECT x FROM c WHERE d = 0)),
+e AS (SELECT event_id, (epoch_us(ts) // 86400000000) % 365 AS d FROM events)
+SELECT event_id, round((1 - (d - t1) / (t2 - t1)) * x1 + (d - t1) / (t2 - t1) * x2, 4) AS value FROM e JOIN w ON d >= t1 AND d < t2""")
+def asof_modulo_year(spark, folder):
+    months = table(spark, folder, "orders").groupBy(F.month("o_orderdate").alias("n"))
+    months = months.agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("x"))
+    spans = asof.intervals(months.select(((F.col("n") - 1) * 30.0).alias("d"), "x"), "d", "x", period=365)
+    day = F.pmod(F.floor(F.col("t") / DAY), F.lit(365))
+    out = asof.interpolate_list(_events(spark, folder), spans, day)
+    return out.select("event_id", F.round("interpolated", 4).alias("value"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_linenumber, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS q FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+src AS (SELECT l_suppkey, slice, 10.0 * n AS top, 10.0 * n + 10 AS bottom, q FROM (SELECT l_suppkey, (l_linenumber - 1) % 2 * 10 AS slice, (l_linenumber - 1) // 2 AS n, q FROM s)),
+blend AS (SELECT l_suppkey, top, bottom, sum(q * CASE slice WHEN 0 THEN 0.75 ELSE 0.25 END) AS q FROM src GROUP BY ALL),
+m AS (SELECT DISTINCT l_suppkey, k, 5.0 * k AS top, 5.0 * k + 5 AS bottom FROM lineitem, (VALUES (0), (1), (3)) v(k)),
+x AS (SELECT l_suppkey, top, CASE WHEN bottom = max(bottom) OVER (PARTITION BY l_suppkey) THEN greatest(bottom, 20) ELSE bottom END AS bottom, q FROM blend)
+SELECT m.l_suppkey, m.k, round(sum(greatest(least(x.bottom, m.bottom) - greatest(x.top, m.top), 0) * q / 5), 6) AS value FROM m JOIN x USING (l_suppkey) GROUP BY ALL""")
+def climatology_columns(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    n = F.col("l_linenumber") - 1
+    means = lines.where("l_linenumber <= 4").groupBy("l_suppkey", "l_linenumber").agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("q"))
+    level = F.floor(n / 2) * 10.0
+    source = means.select("l_suppkey", (n % 2 * 10).cast("long").alias("t"), level.alias("top"), (level + 10).alias("bottom"), "q")
+    model = lines.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.array(*map(F.lit, (0, 1, 3)))).alias("k"))
+    model = model.select("l_suppkey", F.lit(2.5).alias("t"), "k", (F.col("k") * 5.0).alias("top"), (F.col("k") * 5.0 + 5).alias("bottom"))
+    out = climatology(source, model, ["l_suppkey"])
+    return out.select("l_suppkey", "k", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey, (c_custkey * 37 % 100) / 10.0 + 0.013 AS x, (c_custkey * 53 % 100) / 10.0 + 0.017 AS y FROM customer)
+SELECT c_custkey AS dst, (floor(y) * 10 + floor(x - 0.3 * y + 3))::BIGINT AS cell FROM p WHERE floor(x - 0.3 * y + 3) < 10""")
+def containing_cells(spark, folder):
+    """Cells leaning by 0.3 a row: column i, row j starts at x = i - 3 + 0.3 y."""
+    key = F.col("c_custkey")
+    points = table(spark, folder, "customer").select(key.alias("dst"), (key * 37 % 100 / 10.0 + 0.013).alias("x"), (key * 53 % 100 / 10.0 + 0.017).alias("y"))
+    i, j = F.col("id") % 10, F.floor(F.col("id") / 10)
+    x = i - 3 + 0.3 * j
+    quads = spark.range(100).select(
+        F.col("id").alias("cell"), x.alias("x1"), j.alias("y1"), (x + 1).alias("x2"), j.alias("y2"), (x + 1.3).alias("x3"), (j + 1).alias("y3"),
+        (x + 0.3).alias("x4"), (j + 1).alias("y4"),
+    )
+    return regrid.containing_cells(points, quads, 1.0)

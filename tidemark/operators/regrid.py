@@ -234,3 +234,25 @@ def bicubic(patches: DataFrame, keys: list[str]) -> DataFrame:
 
     kinds = dict(patches.dtypes)
     return patches.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", value double")
+
+
+def containing_cells(points: DataFrame, quads: DataFrame, width: float) -> DataFrame:
+    """``(dst, cell)``: the cell of a curvilinear grid that holds each point, the least if on an edge.
+
+    ``points(dst, x, y)``; ``quads(cell, x1, y1, .. x4, y4)`` are convex, corners in
+    order around. Both meet in square bins of ``width`` that a quad's box touches, so
+    the join is an equi-join; choose ``width`` near a cell's size. A point is inside if
+    it is on no side's other hand, whichever way the corners turn. Points in no cell
+    are left out.
+    """
+    xs, ys = [f"x{i}" for i in range(1, 5)], [f"y{i}" for i in range(1, 5)]
+    cut = lambda c: F.floor(c / width)
+    boxes = quads.withColumn("bx", F.explode(F.sequence(cut(F.least(*xs)), cut(F.greatest(*xs)))))
+    boxes = boxes.withColumn("by", F.explode(F.sequence(cut(F.least(*ys)), cut(F.greatest(*ys)))))
+    placed = points.withColumn("bx", cut(F.col("x"))).withColumn("by", cut(F.col("y")))
+    turns = []
+    for i in range(4):
+        ax, ay, bx, by = F.col(xs[i]), F.col(ys[i]), F.col(xs[(i + 1) % 4]), F.col(ys[(i + 1) % 4])
+        turns.append((bx - ax) * (F.col("y") - ay) - (by - ay) * (F.col("x") - ax))
+    inside = (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
+    return placed.join(boxes, ["bx", "by"]).where(inside).groupBy("dst").agg(F.min("cell").alias("cell"))
