@@ -13,6 +13,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions import physics as ph
 from tidemark.functions.random_numbers import uniform_series
 from tidemark.operators import asof, neighbours, reductions, regrid, windows
+from tidemark.operators.climatology import climatology
 from tidemark.plans.diagnostics import output, parse_plan
 from tidemark.sources import config, store
 from tidemark.streaming.windows import reduce_stream, write_parquet
@@ -192,8 +193,15 @@ def test_store(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 10).alias("i"), F.floor(F.col("id") / 10).alias("j"), F.col("id").cast("double").alias("v"))
     path = str(tmp_path / "v")
     store.write_variable(df, path, "v", {"scale_factor": 2.0, "add_offset": 1.0, "_FillValue": 22.0})
+    # raw values 12, 13, 14, 22, 23, 24: without a range a positive fill value is an upper bound
     slab = store.read_variable(spark, path, "v", {"i": 2, "j": 1}, {"i": 3, "j": 2})
-    assert sorted(r.v for r in slab.where("v is not null").collect()) == [27.0, 29.0, 45.0, 47.0, 49.0]
+    assert sorted(r.v for r in slab.where("v is not null").collect()) == [25.0, 27.0, 29.0]
+    store.write_variable(df, path + "r", "v", {"_FillValue": 22.0, "valid_min": 13.0})
+    slab = store.read_variable(spark, path + "r", "v", {"i": 2, "j": 1}, {"i": 3, "j": 2})
+    assert sorted(r.v for r in slab.where("v is not null").collect()) == [13.0, 14.0, 23.0, 24.0]
+    store.write_variable(df, path + "n", "v", {"_FillValue": -1.0, "missing_value": 13.0})
+    slab = store.read_variable(spark, path + "n", "v", {"i": 2, "j": 1}, {"i": 3, "j": 2})
+    assert sorted(r.v for r in slab.where("v is not null").collect()) == [12.0, 14.0, 22.0, 23.0, 24.0]
     store.save_restart(df, str(tmp_path / "r"), ["i", "j"])
     assert store.read_restart(spark, str(tmp_path / "r")).count() == 100
     df.limit(50).write.mode("overwrite").parquet(str(tmp_path / "r/data"))
@@ -215,3 +223,52 @@ data_table:
     assert tree.get("/tracer/atmos/radon/units") == "kg" and tree.get("/tracer/atmos/radon/profile/surface") == 1.0
     tree.rename("/tracer/atmos", "/tracer/land")
     assert tree.children("/tracer") == ["land"] and config.parse_values("a=1,2; b=x") == {"a": ["1", "2"], "b": ["x"]}
+
+
+def test_surface_drag_solves_the_bulk_richardson_number(spark):
+    rows = [(285.0, 290.0, 30.0, 0.05, 0.01, 4.0), (291.0, 290.0, 30.0, 0.05, 0.01, 6.0), (290.0, 290.0, 30.0, 0.05, 0.01, 5.0), (299.0, 290.0, 30.0, 0.05, 0.01, 0.5)]
+    rows.append((290.0, 290.0, 30.0, None, 0.01, 5.0))
+    df = spark.createDataFrame(rows, "pt double, pt0 double, z double, z0 double, zt double, speed double")
+    unstable, stable, neutral, beyond, unknown = ph.surface_drag(df).collect()
+
+    def integral(phi, zeta, rough):
+        z = np.exp(np.linspace(math.log(rough), math.log(30.0), 20001))
+        y = phi(zeta * z / 30.0)
+        return float(((y[1:] + y[:-1]) / 2 * np.diff(np.log(z))).sum())
+
+    for row, sign in ((unstable, -1), (stable, 1)):
+        assert sign * row.zeta > 0
+        rich = -30 * 9.80 * (row.pt0 - row.pt) / row.pt0 / (row.speed**2 + 1e-4)
+        up = lambda x: 1 + x * (5 + x / 2) / (1 + x)
+        fm = integral(up if sign > 0 else lambda x: (1 - 16 * x) ** -0.25, row.zeta, 0.05)
+        ft = integral(up if sign > 0 else lambda x: (1 - 16 * x) ** -0.5, row.zeta, 0.01)
+        assert row.zeta * ft / fm**2 == pytest.approx(rich, rel=1e-5)
+        assert row.drag_m == pytest.approx((0.4 / fm) ** 2, rel=1e-5)
+        assert row.drag_t == pytest.approx(0.16 / fm / ft, rel=1e-5)
+        assert row.u_star == pytest.approx(0.4 / fm * row.speed, rel=1e-5)
+    assert neutral.drag_m == pytest.approx((0.4 / math.log(30 / 0.05)) ** 2)
+    assert unknown.drag_m is None and unknown.u_star is None
+    assert beyond.zeta is None and beyond.drag_m == pytest.approx(1e-5)
+
+
+def test_climatology_keeps_a_constant_and_wraps(spark):
+    layers = "c long, t long, top double, bottom double, q double"
+    source = spark.createDataFrame([(1, t, p, p + 10.0, float(t)) for t in (10, 20) for p in (10.0, 20.0)], layers)
+    model = spark.createDataFrame([(1, t, 0, 5.0, 25.0) for t in (10, 15, 20, 25)], "c long, t long, k int, top double, bottom double")
+    got = {r.t: r.value for r in climatology(source, model, ["c"]).collect()}
+    assert got == pytest.approx({10: 10.0, 15: 15.0, 20: 20.0})  # 25 lies outside the slices
+    got = {r.t: r.value for r in climatology(source, model, ["c"], period=20).collect()}
+    assert got == pytest.approx({10: 10.0, 15: 15.0, 20: 20.0, 25: 15.0})
+    got = {r.t: r.value for r in climatology(source, model, ["c"], period=20, outside="zero").collect()}
+    assert got[15] == pytest.approx(15.0 * 0.75)
+    got = {r.t: r.value for r in climatology(source, model, ["c"], vertical="linear").collect()}
+    assert got[15] == pytest.approx(15.0)
+    assert climatology(source.limit(0), model, ["c"]).count() == 0
+
+
+def test_points_on_shared_edges_belong_to_the_least_cell(spark):
+    corners = "cell long, " + ", ".join(f"x{i} double, y{i} double" for i in range(1, 5))
+    quads = spark.createDataFrame([(n, float(n), 0.0, n + 1.0, 0.0, n + 1.0, 1.0, float(n), 1.0) for n in range(3)], corners)
+    points = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.5, 0.5), (3, 3.5, 0.5), (4, None, 0.5)], "dst long, x double, y double")
+    assert {r.dst: r.cell for r in regrid.containing_cells(points, quads, 0.7).collect()} == {1: 0, 2: 2}
+

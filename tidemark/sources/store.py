@@ -20,7 +20,9 @@ def read_variable(spark: SparkSession, path: str, value: str, corner: dict[str,
     """A slab of a variable: from ``corner``, ``edges`` long, pushed down to the scan.
 
     With ``decode`` packed values are unpacked and values outside the valid range or
-    equal to the fill value become null, as the column's attributes say.
+    equal to the fill or missing value become null, as the column's attributes say.
+    Without a valid range the fill value bounds it: a positive one from above, another
+    from below, itself excluded (a NaN is excluded alone).
     """
     df = spark.read.parquet(path)
     for axis, first in (corner or {}).items():
@@ -31,7 +33,11 @@ def read_variable(spark: SparkSession, path: str, value: str, corner: dict[str,
     if not decode or not attributes:
         return df
     low, high = attributes.get("valid_range", (attributes.get("valid_min"), attributes.get("valid_max")))
-    fine = is_valid(F.col(value), low, high, attributes.get("_FillValue", attributes.get("missing_value")))
+    fill = attributes.get("_FillValue")
+    fine = is_valid(F.col(value), low, high, attributes.get("missing_value"))
+    if fill is not None:
+        bounds = low is None and high is None and fill == fill
+        fine &= F.col(value) != fill if not bounds else F.col(value) < fill if fill > 0 else F.col(value) > fill
     unpacked = unpack(F.col(value), attributes.get("scale_factor"), attributes.get("add_offset"))
     return df.withColumn(value, F.when(fine, unpacked))
 
