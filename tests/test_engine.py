@@ -272,3 +272,59 @@ def test_points_on_shared_edges_belong_to_the_least_cell(spark):
     points = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.5, 0.5), (3, 3.5, 0.5), (4, None, 0.5)], "dst long, x double, y double")
     assert {r.dst: r.cell for r in regrid.containing_cells(points, quads, 0.7).collect()} == {1: 0, 2: 2}
 
+
+
+def test_daylight_is_its_integral_over_the_interval(spark):
+    rows = [(la, lo, g, a, dt) for la in (-1.4, -0.3, 0.0, 0.8, 1.5) for lo in (0.0, 3.0) for g in (0.5, 5.9) for a in (0.3, 1.57, 4.7) for dt in (0.2, 3.0, 6.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double, gmt double, ang double, dt double")
+    mean = ph.diurnal_solar(*[F.col(c) for c in df.columns[:4]], dt=F.col("dt"))
+    whole = ph.diurnal_solar(*[F.col(c) for c in df.columns[:4]], dt=F.col("dt"), allow_negative=True)[0]
+    for r in df.select("*", mean[0].alias("cosz"), mean[1].alias("light"), whole.alias("whole")).collect():
+        dec = math.asin(-math.sin(ph.OBLIQUITY) * math.sin(r.ang))
+        t = r.gmt + r.lon - math.pi + (np.arange(40_000) + 0.5) / 40_000 * r.dt
+        z = math.sin(r.lat) * math.sin(dec) + math.cos(r.lat) * math.cos(dec) * np.cos(t)
+        assert r.whole == pytest.approx(z.mean(), abs=1e-6)
+        assert r.light == pytest.approx((z > 0).mean(), abs=2e-4)
+        assert r.cosz == pytest.approx(z[z > 0].mean() if (z > 0).any() else 0.0, abs=2e-4)
+    now = ph.diurnal_solar(F.lit(0.0), F.lit(0.0), F.lit(math.pi), F.lit(0.0))
+    assert tuple(spark.range(1).select(*now).first()) == pytest.approx((1.0, 1.0))
+
+
+def test_surface_layer_profile_and_neutral_drag(spark):
+    args = [F.lit(x) for x in (30.0, 10.0, 2.0, 0.05, 0.01, 0.3)]
+    plain = ph.wind_and_scalar_shares(*args, F.lit(0.02), neutral=True)
+    calm = ph.wind_and_scalar_shares(*args[:5], F.lit(0.0), F.lit(0.02))
+    want = (1 - math.log(3) / math.log(600), 1 - math.log(15) / math.log(3000))
+    got = spark.range(1).select(*[c.alias(f"c{n}") for n, c in enumerate((*plain, *calm))]).first()
+    assert tuple(got) == pytest.approx(want * 2)
+    air = spark.createDataFrame([(285.0, 290.0, 30.0, 0.05, 0.01, 0.02, 4.0)], "pt double, pt0 double, z double, z0 double, zt double, zq double, speed double")
+    row = ph.surface_drag(air, neutral=True).first()
+    assert row.drag_m == pytest.approx((0.4 / math.log(600)) ** 2)
+    assert row.drag_q == pytest.approx(0.16 / math.log(600) / math.log(1500))
+
+
+def test_gaps_fill_from_sides_not_from_lone_corners(spark):
+    nan = None
+    grid = [[nan, nan, nan, nan], [nan, 4.0, nan, nan], [nan, nan, nan, nan], [nan, nan, nan, nan]]
+    df = spark.createDataFrame([(i, j, x) for j, row in enumerate(grid) for i, x in enumerate(row)], "i int, j int, x double")
+    once = {(r.i, r.j): r.x for r in neighbours.fill_gaps(df, [], "i", "j", "x", ((0, 3), (0, 3)), passes=1).collect()}
+    assert len(once) == 16
+    # (0, 1) and (1, 0) lie on the edge, where the block is cut off, and still see a side
+    assert {c for c, x in once.items() if x is not None} == {(1, 1), (2, 1), (1, 2), (0, 1), (1, 0)}
+    full = neighbours.fill_gaps(df, [], "i", "j", "x", ((0, 3), (0, 3)))
+    assert {r.x for r in full.collect()} == {4.0}
+    empty = neighbours.fill_gaps(df.where("x is null"), [], "i", "j", "x", ((0, 3), (0, 3)))
+    assert empty.where("x is not null").count() == 0 and empty.count() == 15
+
+
+def test_permutations_separable_grids_and_reports(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "p int, q int")
+    assert {(r.p, r.q) for r in neighbours.inverse_permutation(df, [], "p", "q").collect()} == {(2, 1), (3, 2), (1, 3)}
+    with pytest.raises(Exception, match="not a permutation"):
+        neighbours.inverse_permutation(df.withColumn("q", F.lit(1)), [], "p", "q").collect()
+    cells = spark.createDataFrame([(g, i, j, i + 0.1 * g * j, float(j)) for g in (0, 1) for i in range(3) for j in range(3)], "g int, i int, j int, lon double, lat double")
+    assert {r.g: r.separable for r in regrid.is_separable(cells, ["g"]).collect()} == {0: True, 1: False}
+    t = spark.createDataFrame([(1, 300.0), (1, 10.0), (1, None), (1, math.nan)], "k int, t double")
+    assert ph.temperature_report(t, ["k"], "t").first().bad == 2
+    clip = spark.range(1).select(ph.clip_surface(F.lit(-0.2), "ice"), ph.clip_surface(F.lit(200.0), "sst"), ph.clip_surface(F.lit(None).cast("double"), "sst")).first()
+    assert tuple(clip) == (0.0, ph.ICE_CRITICAL, None)

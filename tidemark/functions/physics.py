@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,18 +216,21 @@ def _gain(zeta: Column, zeta0: Column) -> Column:
     return (5 - b) * F.log((1 + up) / (1 + up0)) + b * (up - up0)
 
 
-def surface_drag(df: DataFrame, rounds: int = 60) -> DataFrame:
+def surface_drag(df: DataFrame, rounds: int = 60, neutral: bool = False) -> DataFrame:
     """``df(pt, pt0, z, z0, zt, speed)`` with ``drag_m, drag_t, u_star, b_star`` and ``zeta``.
 
     The stability ``zeta`` of the bulk Richardson number is found by halving a bracket
     within each row (the number grows with ``zeta``), as a fold over ``rounds``: no
     Python and no iteration of the job. Beyond 0.95 of the critical number the least
-    drag holds and ``zeta`` is null. A row with a null input gets nulls.
+    drag holds and ``zeta`` is null. A row with a null input gets nulls. With a column
+    ``zq`` there is ``drag_q`` too. ``neutral`` takes ``zeta`` as zero everywhere.
     """
+    rough = ["z0", "zt", *(["zq"] if "zq" in df.columns else [])]
     buoyancy = GRAV * (F.col("pt0") - F.col("pt")) / F.col("pt0")
-    height = F.greatest("z", "z0", "zt")
+    height = F.greatest("z", *rough)
     rich = -F.col("z") * buoyancy / (F.col("speed") * F.col("speed") + 1.0e-4)
-    rich = F.when(F.col("z0").isNotNull() & F.col("zt").isNotNull(), rich)
+    known = reduce(and_, [F.col(c).isNotNull() for c in rough])
+    rich = F.when(known, rich * 0.0 if neutral else rich)
     df = df.withColumn("__b", buoyancy).withColumn("__h", height).withColumn("__ri", rich)
     h, z0, zt, ri = F.col("__h"), F.col("z0"), F.col("zt"), F.col("__ri")
 
@@ -247,7 +252,90 @@ def surface_drag(df: DataFrame, rounds: int = 60) -> DataFrame:
     beyond = ri >= SOLVED_SHARE * RICH_CRIT
     us = F.when(beyond, least).when(ri.isNotNull(), F.greatest(VONKARM / _profile_m(F.col("zeta"), h, z0), least))
     bs = F.when(beyond, least).when(ri.isNotNull(), F.greatest(VONKARM / _profile_t(F.col("zeta"), h, zt), least))
+    if "zq" in rough:
+        qs = F.when(beyond, least).when(ri.isNotNull(), F.greatest(VONKARM / _profile_t(F.col("zeta"), h, F.col("zq")), least))
+        df = df.withColumn("drag_q", us * qs)
     df = df.withColumn("__us", us).withColumn("__bs", bs)
     out = df.withColumn("drag_m", F.col("__us") * F.col("__us")).withColumn("drag_t", F.col("__us") * F.col("__bs"))
     out = out.withColumn("u_star", F.col("__us") * F.col("speed")).withColumn("b_star", F.col("__bs") * F.col("__b"))
     return out.drop("__b", "__h", "__ri", "__us", "__bs")
+
+
+def wind_and_scalar_shares(z: Column, ref: Column, ref_t: Column, z0: Column, zt: Column, u_star: Column, b_star: Column, neutral: bool = False) -> tuple[Column, Column]:
+    """Shares of the surface-to-``z`` difference of wind and of scalars reached at ``ref`` and ``ref_t``.
+
+    ``neutral``, and still air (``u_star`` not positive), use logarithms alone.
+    """
+    zeta = F.lit(0.0) if neutral else F.when(u_star > 0, -VONKARM * b_star * z / (u_star * u_star)).otherwise(0.0)
+    m = 1 - _profile_m(zeta, z, ref) / _profile_m(zeta, z, z0)
+    return m, 1 - _profile_t(zeta, z, ref_t) / _profile_t(zeta, z, zt)
+
+
+#: Fixed value: the least friction velocity.
+USTAR_MIN = 1.0e-10
+
+
+def diffusivity(z: Column, u_star: Column, b_star: Column, neutral: bool = False, stable: int = 1) -> tuple[Column, Column]:
+    """Diffusivities of momentum and heat at height ``z`` in the surface layer."""
+    u = F.greatest(u_star, F.lit(USTAR_MIN))
+    plain = VONKARM * u * z
+    if neutral:
+        return plain, plain
+    zeta = -VONKARM * b_star * z / (u * u)
+    return plain / phi_m(zeta, stable), plain / phi_t(zeta, stable)
+
+
+def diurnal_solar(lat: Column, lon: Column, gmt: Column, angle: Column, dt: Column | None = None, allow_negative: bool = False) -> tuple[Column, Column]:
+    """Cosine of the zenith angle and daylight fraction, at a time of day or over ``dt`` after it.
+
+    Times of day are angles (midnight at longitude 0 is zero, a day 2 pi); ``dt`` is at
+    most a day. Over ``dt`` the cosine is the mean over the lit part, found as the overlap
+    with this day's and the next day's light; with ``allow_negative`` it is the mean over
+    all of ``dt``.
+    """
+    dec = declination(angle)
+    a, b, h = F.sin(lat) * F.sin(dec), F.cos(lat) * F.cos(dec), half_day(lat, dec)
+    t = F.pmod(gmt + lon, F.lit(2 * PI)) - PI
+    if dt is None:
+        lit, cosz = F.abs(t) < h, a + b * F.cos(t)
+        light = F.when(lit, 1.0).otherwise(0.0)
+        return (cosz if allow_negative else F.when(lit, F.greatest(cosz, F.lit(0.0))).otherwise(0.0)), light
+    length, area = F.lit(0.0), F.lit(0.0)
+    for noon in (0.0, 2 * PI):
+        start = F.greatest(t, noon - h)
+        end = F.greatest(F.least(t + dt, noon + h), start)
+        length, area = length + (end - start), area + a * (end - start) + b * (F.sin(end) - F.sin(start))
+    if allow_negative:
+        return a + b * (F.sin(t + dt) - F.sin(t)) / dt, length / dt
+    return F.when(length > 0, F.greatest(area / length, F.lit(0.0))).otherwise(0.0), length / dt
+
+
+def es_slope(t: Column, form=es, step: float = 0.01) -> Column:
+    """Change of a saturation pressure with temperature, as a centred difference."""
+    return (form(t + step) - form(t - step)) / (2 * step)
+
+
+#: The temperatures in Celsius that saturation pressures are meant for.
+COLDEST, HOTTEST = -160.0, 100.0
+
+
+def temperature_report(df: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """Per key the number of temperatures outside the range of saturation pressures, the least and the most.
+
+    NaN is outside; null is counted nowhere.
+    """
+    bad = ~F.col(t).between(COLDEST + TFREEZE, HOTTEST + TFREEZE) | F.isnan(t)
+    return df.groupBy(*keys).agg(F.count_if(bad).alias("bad"), F.min(t).alias("low"), F.max(t).alias("high"))
+
+
+#: Fixed value: water is not colder.
+ICE_CRITICAL = 271.38
+
+
+def clip_surface(value: Column, kind: str) -> Column:
+    """Ice shares within 0 and 1; water temperatures not under freezing. Null stays null."""
+    if kind == "ice":
+        return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+    if kind == "sst":
+        return F.when(value.isNotNull(), F.greatest(value, F.lit(ICE_CRITICAL)))
+    raise ValueError("kind is ice or sst")

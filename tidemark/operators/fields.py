@@ -116,6 +116,12 @@ def override(model: DataFrame, table: list[Override], grid: str, field: str, val
     return joined.withColumn(value, new).drop("__new")
 
 
+def column_burden(layers: DataFrame, keys: list[str], gravity: float = 9.80, per_area: bool = False) -> DataFrame:
+    """Mass above an area of ``layers(keys, top, bottom, q)``; ``per_area`` where ``q`` is a layer's mass already."""
+    mass = F.col("q") if per_area else F.col("q") * (F.col("bottom") - F.col("top")) / gravity
+    return layers.groupBy(*keys).agg(F.sum(mass).alias("burden"))
+
+
 def interpolate_vertical(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Layer means by mass: ``source(keys, top, bottom, q)`` onto ``target(keys, k, top, bottom)``.
 

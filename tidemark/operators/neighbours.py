@@ -74,6 +74,48 @@ def flood_fill(cells: DataFrame, i: str, j: str, percent: str, seed: float, crit
     return reached
 
 
+def fill_gaps(df: DataFrame, keys: list[str], i: str, j: str, value: str, extent: tuple[tuple[int, int], tuple[int, int]], passes: int | None = None) -> DataFrame:
+    """Null cells as means of the known cells among their eight neighbours, pass by pass.
+
+    A cell with one known neighbour waits if that is a corner of the three-by-three
+    block, cut off at ``extent`` (first and last ``i``, first and last ``j``); or constants
+    would spread diagonally. Ends after ``passes``, or when a pass fills nothing; cells no
+    value reaches stay null. Only null cells are spread to their neighbours, and each
+    pass is written to the shared folder.
+    """
+    steps = df.sparkSession.createDataFrame([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], "di int, dj int")
+    cell = [*keys, i, j]
+
+    def at_corner(mine: str, theirs: str, ends: tuple[int, int]) -> Column:
+        low, high = F.greatest(F.col(mine) - 1, F.lit(ends[0])), F.least(F.col(mine) + 1, F.lit(ends[1]))
+        return (F.col(theirs) == low) | (F.col(theirs) == high)
+
+    known = df.where(F.col(value).isNotNull()).select(*cell, value)
+    blank = checkpointed(df.where(F.col(value).isNull()).select(*cell))
+    done = 0
+    while passes is None or done < passes:
+        around = blank.crossJoin(F.broadcast(steps))  # 8 steps
+        around = around.select(*cell, (F.col(i) + F.col("di")).alias("__i"), (F.col(j) + F.col("dj")).alias("__j"))
+        near = known.select(*keys, F.col(i).alias("__i"), F.col(j).alias("__j"), F.col(value).alias("__x"))
+        met = around.join(near, [*keys, "__i", "__j"]).groupBy(*cell).agg(
+            F.avg("__x").alias(value), F.count("*").alias("__n"), F.max("__i").alias("__i"), F.max("__j").alias("__j")
+        )
+        corner = at_corner(i, "__i", extent[0]) & at_corner(j, "__j", extent[1])
+        new = checkpointed(met.where((F.col("__n") > 1) | ~corner).select(*cell, value))
+        if new.isEmpty():
+            break
+        known, blank = checkpointed(known.unionByName(new)), checkpointed(blank.join(new, cell, "left_anti"))
+        done += 1
+    return known.unionByName(blank.select(*cell, F.lit(None).cast(df.schema[value].dataType).alias(value)))
+
+
+def inverse_permutation(df: DataFrame, keys: list[str], position: str, target: str) -> DataFrame:
+    """``position`` and ``target`` exchanged; a target given twice is an error."""
+    twice = F.count("*").over(Window.partitionBy(*keys, target)) > 1
+    checked = F.when(twice, F.raise_error(F.lit("not a permutation"))).otherwise(F.col(position))
+    return df.select(*keys, F.col(target).alias(position), checked.alias(target))
+
+
 def per_column(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """A recurrence along one column at a time; a column has as many rows as levels."""
     return df.groupBy(*keys).applyInPandas(fn, schema)

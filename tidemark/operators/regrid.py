@@ -88,6 +88,13 @@ def bracket(axis: list[float], value: Column, cyclic: float | None = None) -> tu
     return low, high, w
 
 
+def is_separable(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, separable``: longitudes of ``cells(keys, i, j, lon, lat)`` by ``i`` alone, latitudes by ``j`` alone."""
+    rows = cells.groupBy(*keys, "j").agg((F.min("lat") == F.max("lat")).alias("one"))
+    columns = cells.groupBy(*keys, "i").agg((F.min("lon") == F.max("lon")).alias("one"))
+    return rows.select(*keys, "one").unionByName(columns.select(*keys, "one")).groupBy(*keys).agg(F.bool_and("one").alias("separable"))
+
+
 def bilinear_weights(points: DataFrame, x_axis: list[float], y_axis: list[float], x: str = "x", y: str = "y", target: str = "dst", cyclic: float | None = None) -> DataFrame:
     """Four rows ``(dst, i, j, w)`` a point of a rectilinear grid."""
     i0, i1, wx = bracket(x_axis, F.col(x), cyclic)
