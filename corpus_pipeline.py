@@ -17,6 +17,7 @@ from tidemark.llm.quality import clean_by_lines
 from tidemark.llm.queries import PIECE_MODEL
 from tidemark.llm.shared import shared_table
 from tidemark.llm.simhash import one_of_each_group
+from tidemark.llm.similarity import one_of_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each_group(docs)
 
 
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles are alike to 0.8 the smallest id stays."""
+    return one_of_similar(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target proportions; what is taken more than once is repeated."""
     return mix_rows(docs)
@@ -51,6 +57,7 @@ STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
     ("near-duplicates", near_duplicates),
+    ("similar documents", similar),
     ("mix", mix),
     ("encode", encode),
 ]
