@@ -19,6 +19,9 @@ from tidemark.llm.shared import shared_table
 from tidemark.llm.simhash import one_of_each_group
 from tidemark.llm.similarity import one_of_similar
 
+#: Words from which a passage is long however few lines it has; op8's window.
+LONG_WORDS = 13
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that lose too much, or fail the base rules, go whole."""
@@ -35,6 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each_group(docs)
 
 
+def long_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of one or two lines go too if they hold 13 words or more."""
+    return line_dedup(docs, long_words=LONG_WORDS).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles are alike to 0.8 the smallest id stays."""
     return one_of_similar(docs)
@@ -57,6 +65,7 @@ STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
     ("near-duplicates", near_duplicates),
+    ("long lines", long_lines),
     ("similar documents", similar),
     ("mix", mix),
     ("encode", encode),

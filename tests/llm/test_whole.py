@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from tests.llm import brute
-from tidemark.llm import similarity
+from tidemark.llm import line_dedup, similarity
 
 
 def alike(rows: list[tuple]) -> tuple[set, set]:
@@ -66,3 +66,46 @@ def test_pipeline_leaves_no_similar_documents(spark, tables):
         docs = spark.createDataFrame(stage(spark, docs, tables).toPandas(), docs.schema)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert rows and not alike(rows)[1]
+
+
+def without_long_lines(rows: list[tuple], words: int = 13) -> dict:
+    """Texts without later runs of three lines, or of one or two of 13 words or more."""
+    first, own, out = {}, {}, {}
+    for i, t in sorted(rows):
+        own[i] = [(n, x.strip(" \t\x0b\x0c\r")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+        gone = set()
+        for size in (1, 2, 3):
+            for s in range(len(own[i]) - size + 1):
+                window = tuple(x for _, x in own[i][s : s + size])
+                if size < 3 and len(brute.words("\n".join(window))) < words:
+                    continue
+                at = first.setdefault(window, (i, s))
+                if at[0] != i or s - at[1] >= size:
+                    gone |= {n for n, _ in own[i][s : s + size]}
+        out[i] = t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+def test_line_dedup_takes_long_passages_of_few_lines(spark, tables):
+    long = " ".join(f"w{i}" for i in range(13))
+    pair = "one two three four five six\nseven eight nine ten eleven twelve thirteen"
+    rows = [(1, f"head\n{long}\ntail"), (2, long), (3, f"other\n {long} \nshort"), (4, pair), (5, f"a\n{pair}\nb"), (6, "short"), (7, "short"), (8, f"{long} x\n{long} x"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, long_words=13).collect()}
+    assert got == without_long_lines(rows)
+    assert (got[2], got[3], got[5], got[7], got[8]) == ("", "other\nshort", "a\nb", "short", f"{long} x")
+    small = spark.read.parquet(f"{tables}/documents.parquet")
+    want = without_long_lines([(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()])
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(small, long_words=13).collect()} == want
+
+
+def test_pipeline_leaves_no_long_repeated_line(spark, tables):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for name, stage in cp.STAGES:
+        if name == "mix":
+            break
+        docs = spark.createDataFrame(stage(spark, docs, tables).toPandas(), docs.schema)
+    lines = [x.strip() for r in docs.collect() for x in r.text.split("\n") if len(x.split()) >= 13]
+    assert lines and len(lines) == len(set(lines))

@@ -35,50 +35,67 @@ def _with_text(lines: Column) -> Column:
     return F.filter(numbered, lambda x: x["line"] != "")
 
 
-def _windows(docs: DataFrame, run_lines: int) -> DataFrame:
-    """Each window: its document, start, fingerprint and 128 bits over its lines."""
-    own = docs.select("doc_id", "mark", _with_text(_lines(F.col("text"))).alias("own")).where(F.size("own") >= run_lines)
+def _word_count(line: Column) -> Column:
+    return F.size(F.split(line, r"[\x20\x09-\x0D]+"))
+
+
+def _windows(docs: DataFrame, run_lines: int, long_words: int | None) -> DataFrame:
+    """Each window: its document, size, start, fingerprint and 128 bits over its lines.
+
+    Windows of fewer than ``run_lines`` lines are there if they hold ``long_words``.
+    """
+    least_lines = run_lines if long_words is None else 1
+    own = docs.select("doc_id", "mark", _with_text(_lines(F.col("text"))).alias("own")).where(F.size("own") >= least_lines)
     own = own.select("doc_id", "mark", F.transform("own", lambda x: x["line"]).alias("line"))
-    own = own.select("doc_id", "mark", "line", F.transform("line", lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"))).alias("hashed"))
-
-    def window(s: Column) -> Column:
-        least = F.array_min(F.slice("hashed", s + 1, run_lines))
-        lines = F.slice("line", s + 1, run_lines)
-        return F.struct(
-            least["h"].alias("print"), least["at"].alias("at"), s.cast("int").alias("start"),
-            F.xxhash64(F.lit(1), lines).alias("k1"), F.xxhash64(F.lit(2), lines).alias("k2"),
-        )
+    hashed = F.transform("line", lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at")))
+    own = own.select("doc_id", "mark", "line", hashed.alias("hashed"), F.transform("line", _word_count).alias("words"))
+
+    def windows(size: int) -> Column:
+        def window(s: Column) -> Column:
+            least = F.array_min(F.slice("hashed", s + 1, size))
+            lines = F.slice("line", s + 1, size)
+            return F.struct(
+                F.lit(size).alias("size"), least["h"].alias("print"), least["at"].alias("at"), s.cast("int").alias("start"),
+                F.xxhash64(F.lit(1), lines).alias("k1"), F.xxhash64(F.lit(2), lines).alias("k2"),
+            )
+
+        starts = F.when(F.size("line") >= size, F.sequence(F.lit(0), F.size("line") - size)).otherwise(F.array().cast("array<int>"))
+        if size < run_lines:
+            starts = F.filter(starts, lambda s: F.aggregate(F.slice("words", s + 1, size), F.lit(0), lambda a, n: a + n) >= long_words)
+        return F.transform(starts, window)
 
-    starts = F.sequence(F.lit(0), F.size("line") - run_lines)
-    return own.select("doc_id", "mark", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "mark", "w.*")
+    sizes = range(least_lines, run_lines + 1)
+    return own.select("doc_id", "mark", F.explode(F.concat(*map(windows, sizes))).alias("w")).select("doc_id", "mark", "w.*")
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
     """``(doc_id, mark, gone)`` for ``docs(doc_id, mark, text)`` that lose lines.
 
     ``gone`` numbers the lines to delete among the lines with text, from 0.
     """
-    windows = shared_table(_windows(docs, run_lines), "line-windows")
+    windows = shared_table(_windows(docs, run_lines, long_words), "line-windows")
     place = F.struct("doc_id", "mark", "at")
-    prints = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    prints = shared_table(prints.where("low <> high").select("print"), "line-prints")
-    matched = windows.join(prints, "print").select("doc_id", "mark", "start", "k1", "k2")
-    first = matched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
-    first = shared_table(first.where("n > 1").select("k1", "k2", "first"), "line-first")
+    prints = windows.groupBy("size", "print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    prints = shared_table(prints.where("low <> high").select("size", "print"), "line-prints")
+    matched = windows.join(prints, ["size", "print"]).select("doc_id", "mark", "size", "start", "k1", "k2")
+    first = matched.groupBy("size", "k1", "k2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
+    first = shared_table(first.where("n > 1").select("size", "k1", "k2", "first"), "line-first")
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    later = ~same | (F.col("start") - F.col("first.start") >= run_lines)
-    hits = matched.join(first, ["k1", "k2"]).where(later)
-    gone = F.explode(F.sequence(F.col("start"), F.col("start") + (run_lines - 1)))
+    later = ~same | (F.col("start") - F.col("first.start") >= F.col("size"))
+    hits = matched.join(first, ["size", "k1", "k2"]).where(later)
+    gone = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
     return hits.select("doc_id", "mark", gone.alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_lines: int = RUN_LINES, report: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_lines: int = RUN_LINES, report: bool = False,
+    long_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with later repeats of runs of ``run_lines`` or more lines deleted.
 
     A line is compared without the white space around it; blank lines stay and do not
-    break a run. A run is later if its window of ``run_lines`` lines occurs in a
+    break a run. With ``long_words`` runs of fewer lines go too if they hold so many
+    words, however few lines their document has. A run is later if its window of lines occurs in a
     document with a smaller id, or before in the same document without overlapping
     (the second of two adjacent copies goes). A null id is larger than any other; of
     rows with one id and different texts a hash of the text decides, and rows that
@@ -94,7 +111,8 @@ def line_dedup(
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     key, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     doc_id, mark = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("mark")
-    gone = repeated_lines(docs.select(F.col(id_col).alias(key), F.col(text_col).alias(text)).select(doc_id, mark, F.col(text).alias("text")), run_lines)
+    narrow = docs.select(F.col(id_col).alias(key), F.col(text_col).alias(text)).select(doc_id, mark, F.col(text).alias("text"))
+    gone = repeated_lines(narrow, run_lines, long_words)
 
     joined = plain.select("*", doc_id, mark).join(gone, ["doc_id", "mark"], "left")
     joined = joined.withColumn("lines", _lines(F.col(text)))
