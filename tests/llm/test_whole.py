@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import line_dedup, similarity
+from tidemark.llm import licenses, line_dedup, similarity
 
 
 def alike(rows: list[tuple]) -> tuple[set, set]:
@@ -109,3 +112,22 @@ def test_pipeline_leaves_no_long_repeated_line(spark, tables):
         docs = spark.createDataFrame(stage(spark, docs, tables).toPandas(), docs.schema)
     lines = [x.strip() for r in docs.collect() for x in r.text.split("\n") if len(x.split()) >= 13]
     assert lines and len(lines) == len(set(lines))
+
+
+def licences(spark, texts: dict) -> dict:
+    df = spark.createDataFrame([(t,) for t in texts], "doc_id string").withColumn("text", F.col("doc_id"))
+    return {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+
+
+def test_license_prefilter_loses_no_sentence(spark):
+    texts = {
+        "Distributed under GPL v3.": "GPL-3.0", "This program is GPLv2.": "GPL-2.0", "CC0 1.0 Universal.": "CC0-1.0", "Available as CC BY-SA 4.0.": "CC-BY-SA",
+        "Creative Commons Attribution 4.0 International.": "CC-BY", "All rights\nreserved.": "Proprietary", "Under the LGPL v3.": "LGPL", "AGPLv3": "AGPL",
+        "a licence to think": "", "plain prose, and more of it": "",
+    }
+    assert licences(spark, texts) == texts
+    for name, pattern in licenses.SENTENCES:
+        plain = re.sub(r"\[cs\]", "c", re.sub(r"\[0-9\]\{4\}", "2020", re.sub(r"\^|\?|\.\*", "", pattern)))
+        for part in re.split(r"\|(?![^(]*\))", plain):
+            example = re.sub(r"\(([^()|]*)[^()]*\)", r"\1", part).replace("[23]", "2").replace(" ", "\n ")
+            assert re.search(licenses.NEEDED, example), (name, example)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that every known sentence has one of.
+#: The SQL's words of the trade; narrower than ``NEEDED``.
 TRADE = "(?i)licen[cs]|copyright|permission|redistribut|warrant|public domain|liab|as is|all rights"
 
 #: Identifier and pattern of known licence sentences, normalised
@@ -58,6 +58,28 @@ SENTENCES = [
     ("co", r"^copyright (c )?([0-9]{4}|by )"),
 ]
 
+#: A word of every known sentence, as it may stand before normalisation.
+GAP = "[^a-z0-9]+"
+NEEDED = (
+    "(?i)licen[cs]|copyright|permission|redistribut|warrant|liab|endorse|gpl|cc0|unencumbered|"
+    + "|".join(x.replace(" ", GAP) for x in ("public domain", "as is", "all rights", "cc by", "creative commons", "general public"))
+)
+
+#: Abbreviations begin at a word here: ``lgpl v3`` is not ``gpl v3``.
+ABBREVIATED = {
+    "ag": r"gnu affero general public licen[cs]e|\bagpl",
+    "lg": r"gnu (lesser|library) general public licen[cs]e|\blgpl",
+    "g3": r"gnu general public licen[cs]e version 3|\bgpl ?v?3",
+    "g2": r"gnu general public licen[cs]e version 2|\bgpl ?v?2",
+    "cz": r"\bcc0|creative commons zero",
+    "cs": r"\bcc by nc sa|creative commons attribution non ?commercial share ?alike",
+    "cd": r"\bcc by nc nd|creative commons attribution non ?commercial no ?deriv",
+    "cn": r"\bcc by nc|creative commons attribution non ?commercial",
+    "ca": r"\bcc by sa|creative commons attribution share ?alike",
+    "cr": r"\bcc by nd|creative commons attribution no ?deriv",
+    "cc": r"\bcc by|creative commons attribution",
+}
+
 #: Licence and the sequence of identifiers that shows it, in order of
 #: precedence. ``~`` lets up to three other identifiers lie between.
 RULES = [
@@ -107,13 +129,13 @@ def _normalised(sentence: Column) -> Column:
 def _identifier(sentence: Column) -> Column:
     found = F.lit("")
     for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(pattern), F.lit(f"<{name}>")).otherwise(found)
+        found = F.when(sentence.rlike(ABBREVIATED.get(name, pattern)), F.lit(f"<{name}>")).otherwise(found)
     return found
 
 
 def identifiers(text: Column, ends: str) -> Column:
     """The known sentences of a text as ``<id><id>...``."""
-    some = F.filter(F.split(text, ends), lambda s: s.rlike(TRADE))
+    some = F.filter(F.split(text, ends), lambda s: s.rlike(NEEDED))
     return F.array_join(F.transform(F.transform(some, _normalised), _identifier), "")
 
 
@@ -128,7 +150,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(F.col(id_col), F.when(text.rlike(TRADE), text).otherwise("").alias("__text"))
+    held = docs.select(F.col(id_col), F.when(text.rlike(NEEDED), text).otherwise("").alias("__text"))
     held = held.select(F.col(id_col), identifiers(F.col("__text"), BY_LINE).alias("a"), identifiers(F.col("__text"), BY_STOP).alias("b"))
     for i, (_, rule) in enumerate(RULES):
         pattern = rule_pattern(rule)
@@ -150,7 +172,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def licenses_sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, with the words of ``TRADE``."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
