@@ -131,3 +131,13 @@ def test_license_prefilter_loses_no_sentence(spark):
         for part in re.split(r"\|(?![^(]*\))", plain):
             example = re.sub(r"\(([^()|]*)[^()]*\)", r"\1", part).replace("[23]", "2").replace(" ", "\n ")
             assert re.search(licenses.NEEDED, example), (name, example)
+
+
+def test_sentence_names_all_its_licenses(spark):
+    texts = {
+        "It is released under the MIT license or the GNU General Public License, version 3.": "GPL-3.0,MIT",
+        "Under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.": "GPL-or-later",
+        "GNU Lesser General Public License": "LGPL",
+        "Licensed under the Apache License, Version 2.0, all rights reserved": "Apache-2.0,Proprietary",
+    }
+    assert licences(spark, texts) == texts

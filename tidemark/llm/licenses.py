@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice, with line ends as ends of sentences (one-line
 notices) and as white space (wrapped licence texts). Sentences that have a word of the
-trade are normalised and mapped to identifiers of known licence sentences; the
+trade are normalised and mapped to the identifiers of all known licence sentences in
+them, the specific before the general; the
 sequence of identifiers of a text is then matched against licence rules in their
 order. A rule takes the identifiers it matches out of the sequence, so a general rule
 does not find again what a specific one has found.
@@ -111,6 +112,13 @@ RULES = [
     ("Proprietary", "ar"),
 ]
 
+#: Licences that a line end can cut out of a more specific one; then wrapped text decides.
+GENERAL = {"GPL": ("gl", "g3", "g2"), "CC-BY": ("cs", "cd", "cn", "ca", "cr"), "CC-BY-NC": ("cs", "cd")}
+
+#: Ends of sentences; a semicolon is none, since licence sentences go on behind it.
+LINE_ENDS = r"[.!?]+[\x20\x09-\x0D]+|\n+"
+STOP_ENDS = r"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09]*\n+"
+#: The SQL's ends of sentences.
 BY_LINE = r"[.!?;]+[\x20\x09-\x0D]+|\n+"
 BY_STOP = r"[.!?;]+[\x20\x09-\x0D]+|\n[\x20\x09]*\n+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,17 +134,23 @@ def _normalised(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
-def _identifier(sentence: Column) -> Column:
-    found = F.lit("")
-    for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(ABBREVIATED.get(name, pattern)), F.lit(f"<{name}>")).otherwise(found)
-    return found
+def _identifiers(sentence: Column) -> Column:
+    """All known sentences in one sentence, in their order: a match gives way to its mark."""
+    for name, pattern in SENTENCES:
+        own = ABBREVIATED.get(name, pattern).replace(".*", "[^<]*")
+        sentence = F.regexp_replace(sentence, own, f"<{name}>")
+    return F.array_distinct(F.regexp_extract_all(sentence, F.lit("<[a-z0-9]{2}>"), F.lit(0)))
 
 
 def identifiers(text: Column, ends: str) -> Column:
     """The known sentences of a text as ``<id><id>...``."""
     some = F.filter(F.split(text, ends), lambda s: s.rlike(NEEDED))
-    return F.array_join(F.transform(F.transform(some, _normalised), _identifier), "")
+    return F.array_join(F.flatten(F.transform(F.transform(some, _normalised), _identifiers)), "")
+
+
+def _specific(name: str) -> Column:
+    """Whether the text without its line ends shows a licence more specific than ``name``."""
+    return F.col("b").rlike("|".join(f"<{x}>" for x in GENERAL[name])) if name in GENERAL else F.lit(False)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,13 +165,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.select(F.col(id_col), F.when(text.rlike(NEEDED), text).otherwise("").alias("__text"))
-    held = held.select(F.col(id_col), identifiers(F.col("__text"), BY_LINE).alias("a"), identifiers(F.col("__text"), BY_STOP).alias("b"))
-    for i, (_, rule) in enumerate(RULES):
+    held = held.select(F.col(id_col), identifiers(F.col("__text"), LINE_ENDS).alias("a"), identifiers(F.col("__text"), STOP_ENDS).alias("b"))
+    for i, (name, rule) in enumerate(RULES):
         pattern = rule_pattern(rule)
         a, b = ("a", "b") if i == 0 else (f"a{i - 1}", f"b{i - 1}")
         held = held.select(
             "*" if i == 0 else F.expr("*"),
-            (F.col(a).rlike(pattern) | F.col(b).rlike(pattern)).alias(f"hit{i}"),
+            ((F.col(a).rlike(pattern) & ~_specific(name)) | F.col(b).rlike(pattern)).alias(f"hit{i}"),
             F.regexp_replace(a, pattern, "").alias(f"a{i}"),
             F.regexp_replace(b, pattern, "").alias(f"b{i}"),
         )
@@ -172,7 +186,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def licenses_sql() -> str:
-    """The same in DuckDB's SQL, with the words of ``TRADE``."""
+    """The same in DuckDB's SQL, with one identifier a sentence and the words of ``TRADE``."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
