@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_whole import alike, without_long_lines
 from tidemark.llm import components, exact_dedup, licenses, line_dedup, mixing, pieces, quality, queries, shared, simhash, substring_dedup, token_counts, url_filter
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa Lambda MU été 漢字 ∑um".split()
@@ -245,10 +246,49 @@ def test_mix_prefers_quality(spark):
     assert counts[9.0] > 1.5 * counts[1.0]
 
 
+def test_mix_selection_against_sorted_keys(docs, small):
+    """Whole epochs, then the shortest prefix of each source's rows in key order."""
+    for df in (docs, small):
+        weight = mixing.text_quality(F.col("text"))
+        got = {(r.doc_id): r for r in mixing.mix_sources(df, weight=weight).collect()}
+        keyed = df.select("doc_id", "source", mixing.draw_key(weight, F.col("doc_id"), seed=11).alias("k")).collect()
+        for source in {r.source for r in keyed}:
+            rows = sorted((r.k, r.doc_id) for r in keyed if r.source == source)
+            size = {i: got[i]["size"] for _, i in rows}
+            total, target = sum(size.values()), got[rows[0][1]].target
+            epochs = int(target // max(total, 1))
+            budget, start = target - epochs * total, 0
+            for _, i in rows:
+                chosen = start + size[i] / 2 <= budget and start < budget
+                assert got[i].taken == size[i] * (epochs + chosen), (source, i)
+                start += size[i]
+
+
+def test_mix_small_and_odd_weights(spark):
+    """Weights of any scale spread over many cells; none, zero or less do not fail."""
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    for scale in (1e-6, 1.0, 2e4):
+        key = mixing.draw_key(F.lit(scale), F.col("doc_id"), seed=11)
+        most = df.groupBy(mixing.cell_of(key).alias("c")).count().agg(F.max("count")).first()[0]
+        assert most < 40
+    odd = F.when(F.col("doc_id") % 4 == 0, 0.0).when(F.col("doc_id") % 4 == 1, -1.0).when(F.col("doc_id") % 4 == 2, F.lit(None)).otherwise(1.0)
+    two = df.withColumn("source", F.when(F.col("doc_id") < 10000, "s").otherwise("t"))
+    taken = mixing.mix_sources(two, weight=odd).where("source = 't' and taken > 0").select((F.col("doc_id") % 4).alias("m"))
+    assert 5000 < taken.count() < 10000 and taken.where("m > 1").count() == 5000  # the rows of weight 1 first
+
+
+def test_text_quality_ranks_prose_over_junk(spark):
+    texts = ["one line of prose\nand another line", "same line\nsame line\nsame line", "### *** $$$ %%%", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.text_quality(F.col("text")).alias("w")).collect()
+    w = {r.i: r.w for r in rows}
+    assert w[0] == 1.0 and w[1] == pytest.approx(1 / 3) and w[2] < 0.2 and all(x > 0 for x in w.values())
+
+
 def test_mix_rows_repeats_what_is_taken(docs):
     got = mixing.mix_rows(docs)
     assert got.columns == docs.columns
-    want = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(docs).where("taken > 0").collect()}
+    weight = mixing.text_quality(F.col("text"))
+    want = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(docs, weight=weight).where("taken > 0").collect()}
     assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == want
 
 
@@ -322,12 +362,16 @@ def test_pipeline_stages(spark, tables):
     cleaned = {i: quality.judge(t.encode() if t else None) for i, t in rows_of(before)}
     assert {i: t for i, t in rows_of(after)} == {i: v[10].decode() for i, v in cleaned.items() if v[6]}
     before, after = held["line dedup"]
-    want = {i: t for i, _, _, t in brute.line_runs(rows_of(before)) if brute.words(t)}
+    want = {i: t for i, t in without_long_lines(rows_of(before)).items() if brute.words(t)}
     assert dict(rows_of(after)) == want
+    long = [x.strip() for _, t in rows_of(after) for x in t.split("\n") if len(x.split()) >= 13]
+    assert long and len(long) == len(set(long))
     before, after = held["near-duplicates"]
-    assert sorted(i for i, _ in rows_of(after)) == sorted({c for _, _, c in brute.components(rows_of(before))})
+    assert {i for i, _ in rows_of(after)} == alike(rows_of(before))[0]
+    assert not alike(rows_of(after))[1]
     before, after = held["mix"]
-    times = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(before).where("taken > 0").collect()}
+    weight = mixing.text_quality(F.col("text"))
+    times = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(before, weight=weight).where("taken > 0").collect()}
     assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == times
     before, after = held["encode"]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))

@@ -10,7 +10,8 @@ rows of a source in key order are a weighted sample without replacement. A sourc
 takes its whole complete epochs first, then the shortest key prefix that reaches
 the rest of its budget. The prefix is found in two steps that no source, however
 large, brings to one task: sums per cell of key space (partially aggregated) place
-the budget in a cell, and only that cell's rows are sorted.
+the budget in a cell, and only that cell's rows are sorted. Cells divide the
+logarithm of the key, so that weights of any scale spread over them alike.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from tidemark.llm.shared import shared_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
-CELL_BITS = 14
+CELLS_AN_OCTAVE, BLOCK_BITS = 4096, 9
+LEAST_WEIGHT = 1e-9
+SYMBOLS = "#*$%&|<>"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -39,6 +42,29 @@ def uniform(*columns: Column, seed: int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def text_quality(text: Column) -> Column:
+    """A quality weight from 0.05 to 1: the share of lines that are no repeats, less for symbols.
+
+    Ten symbols (``#*$%&|<>``) in a hundred words halve the weight. Null and blank texts
+    have the weight of a text without repeats; they have no words to draw.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
+    fresh = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    weight = fresh / (1 + 10 * symbols / F.greatest(word_count(text), F.lit(1)))
+    return F.when(F.size(lines) > 0, F.greatest(weight, F.lit(0.05))).otherwise(1.0)
+
+
+def draw_key(weight: Column, *columns: Column, seed: int) -> Column:
+    """An exponential variate divided by the weight: the least keys are drawn first."""
+    weight = F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(LEAST_WEIGHT))
+    return -F.log(uniform(*columns, seed=seed)) / weight
+
+
+def cell_of(key: Column) -> Column:
+    return F.floor(F.log2(key) * CELLS_AN_OCTAVE).cast("int")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], limit: float) -> DataFrame:
     """``sources(source, source_size)`` with ``target``: one row per source, null last.
 
@@ -74,11 +100,14 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     keep_tie: bool = False,
+    weight: Column | None = None,
 ) -> DataFrame:
     """What the mix takes of each row: ``doc_id, size, source, source_size, target, taken``.
 
-    ``quality(doc_id, quality_weight)`` holds positive weights; rows without one
-    weigh 1, of several for an id the largest holds. Sources are ordered by code
+    Quality weights are a column of ``docs`` (``weight``, such as ``text_quality``) or a
+    table ``quality(doc_id, quality_weight)``, where of several for an id the largest
+    holds. Rows without one weigh 1; weights of zero or less count as the smallest,
+    so that such rows are drawn last. Sources are ordered by code
     point, null (its own source) last, and weigh ``weights`` in turn. ``taken`` is
     ``size`` times the complete epochs, plus ``size`` once more for rows in the
     selection, so it never exceeds ``limit`` times ``size``. The row that crosses
@@ -89,16 +118,13 @@ def mix_sources(
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(text_col).alias("tie"),
+        F.xxhash64(text_col).alias("tie"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("quality_weight"),
     )
-    if quality is None:
-        sized = sized.withColumn("quality_weight", F.lit(1.0))
-    else:
+    if quality is not None:
         best = quality.groupBy("doc_id").agg(F.max("quality_weight").alias("quality_weight"))
-        sized = sized.join(best, "doc_id", "left")
-    draw = -F.log(uniform(F.col("doc_id"), seed=seed)) / F.coalesce("quality_weight", F.lit(1.0))
-    cell = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * (1 << CELL_BITS)).cast("int")
-    sized = shared_table(sized.withColumn("key", draw).withColumn("cell", cell), "mix-sized")
+        sized = sized.drop("quality_weight").join(best, "doc_id", "left")
+    draw = draw_key(F.col("quality_weight"), F.col("doc_id"), seed=seed)
+    sized = shared_table(sized.withColumn("key", draw).withColumn("cell", cell_of(F.col("key"))), "mix-sized")
 
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
@@ -107,8 +133,8 @@ def mix_sources(
     plan = plan.withColumn("epochs", F.floor(F.col("target") / size).cast("long"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    # running sums in two steps, over blocks and within a block: 2 ** (CELL_BITS / 2) rows a group
-    block = F.shiftright("cell", CELL_BITS // 2).alias("block")
+    # running sums in two steps, over blocks and within a block: 2 ** BLOCK_BITS rows a group or so
+    block = F.shiftright("cell", BLOCK_BITS).alias("block")
     blocks = cells.groupBy("source", block).agg(F.sum("cell_size").alias("block_size"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("of_block"), F.coalesce(F.sum("block_size").over(earlier), F.lit(0)).alias("blocks_before"))
@@ -137,12 +163,15 @@ def mix_sources(
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, with all columns of ``docs``: each as often as it is taken.
 
+    Rows weigh by ``text_quality``.
+
     Rows that take nothing go. Rows are told apart by id, source and a hash of the
     text; rows that repeat all three share what they take together, evenly.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     key, text, source = (f"c{columns.index(c)}" for c in (id_col, text_col, source_col))
+    options = {"weight": text_quality(F.col(text_col))} | options
     mix = mix_sources(docs, None, id_col=id_col, text_col=text_col, source_col=source_col, keep_tie=True, **options)
     taken = mix.where("taken > 0").groupBy("doc_id", "source", "tie").agg(F.sum(F.col("taken") / F.col("size")).alias("times"), F.count("*").alias("rows"))
     taken = taken.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "tie", "times", "rows")

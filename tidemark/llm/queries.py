@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.licenses import licenses_sql, scan_licenses
 from tidemark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.mixing import mix_sources, text_quality
 from tidemark.llm.pieces import encode_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import simhash_components
@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(documents(spark, sf_dir), weight=text_quality(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
