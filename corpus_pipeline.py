@@ -16,7 +16,6 @@ from tidemark.llm.pieces import encode_documents
 from tidemark.llm.quality import clean_by_lines
 from tidemark.llm.queries import PIECE_MODEL
 from tidemark.llm.shared import shared_table
-from tidemark.llm.simhash import one_of_each_group
 from tidemark.llm.similarity import one_of_similar
 
 #: Words from which a passage is long however few lines it has; op8's window.
@@ -24,37 +23,43 @@ LONG_WORDS = 13
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that lose too much, or fail the base rules, go whole."""
+    """Failing lines go; documents that lose too much, or fail the base rules, go whole.
+
+    Null, empty and blank texts fail the base. Rows that repeat are judged alike.
+    """
     return clean_by_lines(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document of nothing else goes with them."""
-    return line_dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return one_of_each_group(docs)
-
+    """Later repeats of runs of three lines, or of fewer with 13 words or more, go.
 
-def long_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of one or two lines go too if they hold 13 words or more."""
+    A document of nothing else goes with them, as do null and blank texts; rows that
+    repeat id and text lose the same lines and not each other's.
+    """
     return line_dedup(docs, long_words=LONG_WORDS).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are alike to 0.8 the smallest id stays."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles are alike to 0.8 the smallest id stays.
+
+    Null ids are larger than any other; rows that repeat id and text stay once.
+    """
     return one_of_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target proportions; what is taken more than once is repeated."""
+    """Sources in their target proportions; what is taken more than once is repeated.
+
+    A null source is one of its own. Better documents (``quality_weights``) are drawn first.
+    """
     return mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit, begin and end included) of each document."""
+    """Token ids (little-endian unsigned 32-bit, begin and end included) of each document.
+
+    A null text has begin and end alone; rows may repeat.
+    """
     narrow = docs.select("doc_id", "source", "text")
     coded = encode_documents(narrow, public_tokenizers.path(PIECE_MODEL))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
@@ -65,8 +70,6 @@ STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
     ("near-duplicates", near_duplicates),
-    ("long lines", long_lines),
-    ("similar documents", similar),
     ("mix", mix),
     ("encode", encode),
 ]
