@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import reductions as red
 from tidemark.operators import windows as win
+from tidemark.operators.fields import masked
 from tidemark.plans.diagnostics import output, parse_plan
 
 BASE = 1_704_067_200_000_000  # 2024-01-01
@@ -47,8 +50,7 @@ def diag_sum(spark, folder):
 
 @query(_windowed("avg_value", "sum(value::DECIMAL(18,2))::DOUBLE / count(value)"))
 def diag_avg(spark, folder):
-    df = events(spark, folder).groupBy("user_id", "window_end").agg(F.sum("cents").cast("double").alias("s"), F.count("value").alias("n"))
-    return df.select("user_id", "window_end", (F.col("s") / F.col("n")).alias("avg_value"))
+    return red.reduce_by(events(spark, folder), ["user_id", "window_end"], "cents", "average", name="avg_value")
 
 
 @query(_windowed("rms_value", "round(sqrt(sum(value * value) / count(value)), 6)"))
@@ -59,9 +61,8 @@ def diag_rms(spark, folder):
 
 @query(_windowed("avg_value", "coalesce(sum(value::DECIMAL(18,2)) FILTER (event_type <> 'error'), 0)::DOUBLE / nullif(count(*) FILTER (event_type <> 'error'), 0)"))
 def diag_mask_variant(spark, folder):
-    kept = F.when(F.col("event_type") != "error", F.col("cents"))
-    df = events(spark, folder).withColumn("kept", kept).groupBy("user_id", "window_end").agg(F.sum("kept").cast("double").alias("s"), F.count("kept").alias("n"))
-    return df.select("user_id", "window_end", (F.col("s") / F.nullif("n", F.lit(0))).alias("avg_value"))
+    kept = masked(F.col("cents"), mask=F.col("event_type") != "error")
+    return red.reduce_by(events(spark, folder).withColumn("kept", kept), ["user_id", "window_end"], "kept", "average", name="avg_value")
 
 
 @query("SELECT l_suppkey, year(l_shipdate) AS y, round(sum(l_quantity * (1 - l_discount)) / sum(1 - l_discount), 6) AS avg_value FROM lineitem GROUP BY ALL")
@@ -81,32 +82,119 @@ WITH b AS (SELECT user_id, ((epoch_us(ts) % 86400000000) * 8 // 86400000000) + 1
 SELECT user_id, section::INTEGER AS section, s / (sum(n) OVER (PARTITION BY user_id) / 8) AS value FROM b""")
 def diag_diurnal8(spark, folder):
     df = events(spark, folder).withColumn("section", win.section(F.col("us"), 8))
-    out = red.diurnal(df, ["user_id"], "cents", "section", 8)
-    bins = df.groupBy("user_id", "section").agg(F.sum("cents").cast("double").alias("s"))
-    return out.drop("value", "count").join(bins, ["user_id", "section"]).join(
-        df.groupBy("user_id").agg((F.count("*") / 8).alias("share")), "user_id"
-    ).select("user_id", "section", (F.col("s") / F.col("share")).alias("value"))
+    return red.diurnal(df, ["user_id"], "cents", "section", 8).select("user_id", "section", "value")
+
+
+CALENDAR_PLAN = """
+title: calendars, clocks and regions
+base_date: 1995 1 1 0 0 0
+diag_files:
+- file_name: monthly
+  freq: 1 months
+  varlist:
+  - {module: shop, var_name: price, reduction: sum, output_name: total}
+- file_name: yearly
+  freq: 1 years
+  varlist:
+  - {module: shop, var_name: quantity, reduction: max, output_name: max_quantity}
+- file_name: clock_daily
+  freq: 1 days
+  use_clock_average: true
+  varlist:
+  - {module: web, var_name: value, reduction: max, output_name: max_value}
+- file_name: from_the_tenth
+  freq: 6 hours
+  start_time: 2024 1 10 0 0 0
+  varlist:
+  - {module: web, var_name: one, reduction: sum, output_name: n}
+- file_name: region
+  freq: -1
+  sub_region: {grid_type: index, corner1: "3 2", corner2: "3 3", corner3: "7 2", corner4: "7 3"}
+  varlist:
+  - {module: shop, var_name: price, reduction: max, output_name: max_price}
+- file_name: zbounds
+  freq: -1
+  varlist:
+  - {module: shop, var_name: price, reduction: max, output_name: max_price, zbounds: 2. 4.}
+  - {module: shop, var_name: one, reduction: sum, output_name: n, zbounds: 2. 4.}
+- file_name: bins
+  freq: 5 days
+  varlist:
+  - {module: web, var_name: value, reduction: diurnal4, output_name: value}
+- file_name: rotating_%4yr%2mo
+  freq: 1 days
+  new_file_freq: 1 months
+  varlist:
+  - {module: shop, var_name: quantity, reduction: max, output_name: max_quantity}
+"""
+
+
+def _stamp(name: str):
+    return F.timestamp_micros(F.col(name)).cast("timestamp_ntz").alias(name)
+
+
+def _planned_orders(spark, folder, name):
+    df = table(spark, folder, "orders").withColumn("name", F.lit("price")).withColumn("cents", F.col("o_totalprice").cast("decimal(18,2)"))
+    # a window holds what comes after the base; the first instant of the base belongs to the window before
+    plan = parse_plan(CALENDAR_PLAN.replace("1995 1 1", "1994 1 1"))
+    return output(plan, name, df, "o_orderdate", ["o_custkey"], "name", "cents")
+
+
+def _planned_lines(spark, folder, name, cells=("i", "j")):
+    """Line items on a grid of suppliers and line numbers; each is a price and a one."""
+    df = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_linenumber").alias("z"), "l_shipdate", "l_extendedprice")
+    both = F.explode(F.array(F.struct(F.lit("price").alias("name"), F.col("l_extendedprice").alias("v")), F.struct(F.lit("one").alias("name"), F.lit(1.0).alias("v"))))
+    rows = df.select("i", "j", "z", "l_shipdate", both.alias("x")).select("i", "j", "z", "l_shipdate", "x.*")
+    return output(parse_plan(CALENDAR_PLAN), name, rows, "l_shipdate", list(cells), "name", "v", z="z")
+
+
+@query("""
+WITH e AS (SELECT 1704067200000000 + ((epoch_us(ts) - 1704067200000000 + 432000000000 - 1) // 432000000000) * 432000000000 AS window_end, event_type,
+  (((epoch_us(ts) % 86400000000) * 4 // 86400000000) + 1)::INTEGER AS section, value FROM events),
+b AS (SELECT window_end, event_type, section, sum(value::DECIMAL(18,2))::DOUBLE AS s, count(*) AS n FROM e GROUP BY ALL)
+SELECT window_end, event_type, section, s / (sum(n) OVER (PARTITION BY window_end, event_type) / 4) AS value FROM b""")
+def diag_plan_diurnal(spark, folder):
+    df = table(spark, folder, "events").withColumn("name", F.lit("value")).withColumn("cents", F.col("value").cast("decimal(18,2)"))
+    plan = parse_plan(CALENDAR_PLAN.replace("1995 1 1", "2024 1 1"))
+    out = output(plan, "bins", df.withColumn("w", F.lit(1)), "ts", ["event_type"], "name", "cents", weight="w")
+    return out.select("window_end", "event_type", "section", F.col("value").cast("double").alias("value"))
+
+
+@query("""
+WITH w AS (SELECT l_suppkey, (date_trunc('day', l_shipdate - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, max(l_quantity) AS max_quantity FROM lineitem GROUP BY ALL)
+SELECT 'rotating_' || strftime(window_end - INTERVAL 1 MICROSECOND, '%Y%m') AS file, l_suppkey, epoch_us(window_end) AS window_end, max_quantity FROM w""")
+def diag_plan_rotation(spark, folder):
+    from tidemark.plans.diagnostics import file_begin
+
+    plan = parse_plan(CALENDAR_PLAN)
+    f = plan.files[-1]
+    df = table(spark, folder, "lineitem").withColumn("name", F.lit("quantity"))
+    out = output(plan, f.name, df, "l_shipdate", ["l_suppkey"], "name", "l_quantity")
+    begin = F.timestamp_micros(file_begin(F.col("window_end"), 788_918_400_000_000, f.name_freq)).cast("timestamp_ntz")
+    return out.withColumn("file", win.file_name(f.name, begin))
 
 
 @query("""
 WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate - INTERVAL 1 MICROSECOND) + INTERVAL 1 MONTH AS window_end, o_totalprice FROM orders)
 SELECT o_custkey, window_end::TIMESTAMP AS window_end, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM m GROUP BY ALL""")
 def diag_monthly(spark, folder):
-    df = table(spark, folder, "orders").withColumn("window_end", win.calendar_end(F.col("o_orderdate"), 1))
-    return df.groupBy("o_custkey", "window_end").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    out = _planned_orders(spark, folder, "monthly")
+    return out.select("o_custkey", _stamp("window_end"), F.col("total").cast("double").alias("total"))
 
 
 @query("""
 SELECT l_suppkey, (date_trunc('year', l_shipdate - INTERVAL 1 MICROSECOND) + INTERVAL 1 YEAR)::TIMESTAMP AS window_end, max(l_quantity) AS max_quantity FROM lineitem GROUP BY ALL""")
 def diag_yearly(spark, folder):
-    df = table(spark, folder, "lineitem").withColumn("window_end", win.calendar_end(F.col("l_shipdate"), 12))
-    return df.groupBy("l_suppkey", "window_end").agg(F.max("l_quantity").alias("max_quantity"))
+    df = table(spark, folder, "lineitem").withColumn("name", F.lit("quantity"))
+    out = output(parse_plan(CALENDAR_PLAN), "yearly", df, "l_shipdate", ["l_suppkey"], "name", "l_quantity")
+    return out.select("l_suppkey", _stamp("window_end"), "max_quantity")
 
 
 @query("SELECT event_type, (date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, max(value) AS max_value FROM events GROUP BY ALL")
 def diag_clock_daily(spark, folder):
-    df = table(spark, folder, "events").withColumn("window_end", win.clock_end(F.col("ts"), "day"))
-    return df.groupBy("event_type", "window_end").agg(F.max("value").alias("max_value"))
+    df = table(spark, folder, "events").withColumn("name", F.lit("value"))
+    out = output(parse_plan(CALENDAR_PLAN), "clock_daily", df, "ts", ["event_type"], "name", "value")
+    return out.select("event_type", _stamp("window_end"), "max_value")
 
 
 DAY = 86400 * win.SECOND
@@ -139,20 +227,20 @@ def diag_time_bnds(spark, folder):
 
 @query("SELECT l_suppkey, l_linenumber, max(l_extendedprice) AS max_price FROM lineitem WHERE l_suppkey BETWEEN 3 AND 7 AND l_linenumber BETWEEN 2 AND 3 GROUP BY ALL")
 def diag_region(spark, folder):
-    df = table(spark, folder, "lineitem").where(F.col("l_suppkey").between(3, 7) & F.col("l_linenumber").between(2, 3))
-    return df.groupBy("l_suppkey", "l_linenumber").agg(F.max("l_extendedprice").alias("max_price"))
+    return _planned_lines(spark, folder, "region").select(F.col("i").alias("l_suppkey"), F.col("j").alias("l_linenumber"), "max_price")
 
 
 @query("SELECT l_suppkey, count(*) AS n, max(l_extendedprice) AS max_price FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY ALL")
 def diag_zbounds(spark, folder):
-    df = table(spark, folder, "lineitem").where(F.col("l_linenumber").between(2, 4))
-    return df.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("max_price"))
+    out = _planned_lines(spark, folder, "zbounds", ["i"])
+    return out.where("max_price is not null").select(F.col("i").alias("l_suppkey"), F.col("n").cast("long").alias("n"), "max_price")
 
 
 @query(f"SELECT user_id, {END} AS window_end, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")
 def diag_start_time(spark, folder):
-    df = events(spark, folder).where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")))
-    return df.groupBy("user_id", "window_end").agg(F.count("*").alias("n"))
+    df = table(spark, folder, "events").withColumn("name", F.lit("one")).withColumn("one", F.lit(1.0))
+    out = output(parse_plan(CALENDAR_PLAN), "from_the_tenth", df, "ts", ["user_id"], "name", "one")
+    return out.select("user_id", "window_end", F.col("n").cast("long").alias("n"))
 
 
 PLAN = """
@@ -220,16 +308,33 @@ def interval_alarm(spark, folder):
     return events(spark, folder).where(win.interval_alarm(F.col("us"), DAY, F.lit(1_705_276_800_000_000))).select("event_id")
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("""
+WITH s AS (SELECT l_returnflag, sum((l_extendedprice * (1 - l_discount) * 70368744177664.0)::HUGEINT) AS u, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, (u // 70368744177664)::BIGINT AS whole, (u % 70368744177664)::BIGINT AS fraction,
+  (u // 70368744177664)::DOUBLE + (u % 70368744177664)::DOUBLE / 70368744177664.0 AS total, n FROM s""")
 def efp_sum(spark, folder):
+    """Values of a thousand or more have no bits below 2 ** -46, so two limbs hold the sum."""
     df = table(spark, folder, "lineitem").withColumn("x", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return red.exact_sum(df, ["l_returnflag"], "x").select("l_returnflag", F.round("total", 4).alias("total"), "n")
+    out = red.exact_sum(df, ["l_returnflag"], "x", with_limbs=True)
+    return out.select("l_returnflag", F.col("limb2").cast("long").alias("whole"), F.col("limb3").cast("long").alias("fraction"), "total", "n")
+
+
+@query("""
+SELECT user_id, bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0) AND bool_or(event_id % 83 = 0)) AS has_nan, bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) AS has_overflow,
+  CASE WHEN bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0) AND bool_or(event_id % 83 = 0)) OR bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) THEN 'none'
+       WHEN bool_or(event_id % 89 = 0) THEN 'up' WHEN bool_or(event_id % 83 = 0) THEN 'down' ELSE 'finite' END AS kind FROM events GROUP BY ALL""")
+def efp_flags(spark, folder):
+    """Sums of values of which some are NaN, infinite or too large."""
+    n = F.col("event_id")
+    x = F.when(n % 97 == 0, math.nan).when(n % 89 == 0, math.inf).when(n % 83 == 0, -math.inf).when(n % 79 == 0, 1e300).otherwise(F.col("value"))
+    out = red.exact_sum(table(spark, folder, "events").withColumn("x", x), ["user_id"], "x")
+    kind = F.when(F.col("total").isNull(), "none").when(F.col("total") == math.inf, "up").when(F.col("total") == -math.inf, "down").otherwise("finite")
+    return out.select("user_id", "has_nan", "has_overflow", kind.alias("kind"))
 
 
 @query("SELECT l_linenumber, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY ALL")
 def global_sum(spark, folder):
-    df = table(spark, folder, "lineitem")
-    return df.groupBy("l_linenumber").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("total"))
+    return red.global_sum(table(spark, folder, "lineitem"), ["l_linenumber"], "l_quantity", "decimal")
 
 
 @query("""
@@ -266,14 +371,26 @@ def chksum_real(spark, folder):
 
 @query("SELECT l_linenumber, round(sum(l_quantity * l_tax) / (SELECT sum(l_tax) FROM lineitem), 8) AS mean FROM lineitem GROUP BY ALL")
 def area_integral(spark, folder):
-    df = table(spark, folder, "lineitem")
-    area = df.agg(F.sum("l_tax").alias("area"))
-    parts = df.groupBy("l_linenumber").agg(F.sum(F.col("l_quantity") * F.col("l_tax")).alias("x"))
-    return parts.crossJoin(F.broadcast(area)).select("l_linenumber", F.round(F.col("x") / F.col("area"), 8).alias("mean"))  # one row each side
+    out = red.area_mean(table(spark, folder, "lineitem"), ["l_linenumber"], "l_quantity", "l_tax")
+    return out.select("l_linenumber", F.round("mean", 8).alias("mean"))
+
+
+@query("""
+WITH d AS (SELECT l_linenumber, CASE WHEN l_suppkey % 11 - 5 >= 0 THEN 1 ELSE -1 END AS hemisphere, l_quantity AS x, l_tax AS a FROM lineitem), s AS (SELECT hemisphere, sum(a) AS area FROM d GROUP BY ALL)
+SELECT l_linenumber, hemisphere, round(sum(x * a) / any_value(area), 8) AS mean FROM d JOIN s USING (hemisphere) GROUP BY ALL""")
+def hemispheric_integral(spark, folder):
+    df = table(spark, folder, "lineitem").withColumn("lat", F.col("l_suppkey") % 11 - 5)
+    out = red.area_mean(df, ["l_linenumber"], "l_quantity", "l_tax", latitude="lat")
+    return out.select("l_linenumber", "hemisphere", F.round("mean", 8).alias("mean"))
+
+
+@query("SELECT user_id % 5 AS g, count(*) AS calls, round(sum(value * (user_id + 1)) / sum(user_id + 1), 6) AS average FROM events GROUP BY ALL")
+def integral_average(spark, folder):
+    df = table(spark, folder, "events").withColumn("g", F.col("user_id") % 5).withColumn("a", (F.col("user_id") + 1).cast("double"))
+    return red.integral_average(df, ["g"], "value", "a", 1).select("g", "calls", F.round("average", 6).alias("average"))
 
 
-@query("SELECT l_suppkey, l_orderkey % 10 AS j, round(sum(l_quantity * l_discount) / sum(l_discount), 6) AS mean FROM lineitem GROUP BY ALL HAVING sum(l_discount) <> 0")
+@query("SELECT l_suppkey, l_orderkey % 10 AS j, round(sum(l_quantity * l_discount) / nullif(sum(l_discount), 0), 6) AS mean FROM lineitem GROUP BY ALL")
 def vertical_mean(spark, folder):
     df = table(spark, folder, "lineitem").withColumn("j", F.col("l_orderkey") % 10)
-    out = df.groupBy("l_suppkey", "j").agg(F.sum(F.col("l_quantity") * F.col("l_discount")).alias("x"), F.sum("l_discount").alias("w")).where("w <> 0")
-    return out.select("l_suppkey", "j", F.round(F.col("x") / F.col("w"), 6).alias("mean"))
+    return red.weighted_mean(df, ["l_suppkey", "j"], "l_quantity", "l_discount").select("l_suppkey", "j", F.round("mean", 6).alias("mean"))

@@ -24,6 +24,7 @@ ICE_TRIPLE = 273.16
 STEAM = 373.16
 
 
+#: Fixed values in the next two functions: coefficients of the Goff-Gratch formulae.
 def es_ice(t: Column) -> Column:
     """Saturation pressure over ice (Goff-Gratch)."""
     r = F.lit(ICE_TRIPLE) / t
@@ -89,10 +90,10 @@ def stable_mix(ri: Column, option: int = 1) -> Column:
     """Mixing of stable air at a Richardson number: 1 / phi^2, zero beyond the critical one."""
     b = 1 / RICH_CRIT
     if option == 1:
-        # phi^2 ri = zeta (1 + zeta ...) has one positive root in zeta
+        # ri = zeta / phi(zeta) times 1 + zeta: (r - b) zeta^2 + (r - 6) zeta - 1 = 0 with r = 1 / ri
         r = 1 / ri
         a, c = r - b, -1.0
-        q = r - 5
+        q = r - 6
         zeta = (-q + F.sqrt(q * q - 4 * a * c)) / (2 * a)
         phi = 1 + zeta * (5 + b * zeta) / (1 + zeta)
         mixed = 1 / (phi * phi)

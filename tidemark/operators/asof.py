@@ -47,24 +47,80 @@ def intervals(axis: DataFrame, time: str, value: str, period: int | None = None)
     return inner.unionByName(after).unionByName(before)
 
 
-MOST_INTERVALS = 100_000
+MOST_INTERVALS = 10_000
+
+
+def constants(values: list) -> Column:
+    """Numbers (or nulls) as one array of doubles that the planner folds, whatever its length."""
+    return F.split(F.lit(",".join("" if v is None else repr(float(v)) for v in values)), ",").try_cast("array<double>")
+
+
+def points_upto(axis: list[float], value: Column) -> Column:
+    """How many points of an increasing axis are at most ``value`` (int; null counts none).
+
+    The axis is one array in the plan, and a row halves it log2 times: a sum of powers of
+    two, each added if the point there is still at most the value.
+    """
+    n = len(axis)
+    if not n:
+        return F.lit(0)
+    points, powers = constants(axis), F.lit([1 << p for p in reversed(range(n.bit_length()))])
+
+    def step(at: Column, power: Column) -> Column:
+        ahead = at + power
+        return F.when((ahead <= n) & (F.element_at(points, F.least(ahead, F.lit(n))) <= value), ahead).otherwise(at)
+
+    return F.aggregate(powers, F.lit(0), step)
 
 
 def interpolate_list(df: DataFrame, spans: DataFrame, time: Column, name: str = "interpolated") -> DataFrame:
     """Interpolate at ``time`` in a short list's intervals; rows outside get null.
 
-    The list is broadcast only if it has at most ``MOST_INTERVALS`` rows (checked);
-    use ``asof_linear`` beyond.
+    The list's columns become arrays in the plan, searched by halving, if it has at most
+    ``MOST_INTERVALS`` rows (checked); use ``asof_linear`` beyond.
     """
     if spans.count() > MOST_INTERVALS:
         raise ValueError("too many intervals to broadcast: use asof_linear")
     t = F.col("__t")
-    inside = (t >= F.col("t1")) & (t < F.col("t2"))
-    joined = df.withColumn("__t", time).join(F.broadcast(spans), inside, "left")
+    rows = sorted((r for r in spans.collect() if r.t1 is not None and r.t2 is not None), key=lambda r: r.t1)
+    if any(a.t2 > b.t1 for a, b in zip(rows, rows[1:])):
+        raise ValueError("intervals overlap")
+    held = df.withColumn("__t", time).withColumn("__n", points_upto([r.t1 for r in rows], time))
+    inside = (F.col("__n") > 0) & (t < F.element_at(constants([r.t2 for r in rows] or [0.0]), F.greatest(F.col("__n"), F.lit(1))))
+    kinds = dict(spans.dtypes)
+    for c in spans.columns:
+        own = F.element_at(constants([r[c] for r in rows]), F.greatest(F.col("__n"), F.lit(1))) if rows else F.lit(None)
+        held = held.withColumn(c, F.when(inside, own).cast(kinds[c]))
+    joined = held.drop("__n")
     w = (t - F.col("t1")) / (F.col("t2") - F.col("t1"))
     return joined.withColumn(name, (1 - w) * F.col("x1") + w * F.col("x2")).drop("__t", "t1", "x1", "t2", "x2")
 
 
+def loop_time(time: Column, begin: int, end: int) -> Column:
+    """``time`` moved by whole periods into [begin, end)."""
+    if begin >= end:
+        raise ValueError("a time loop ends after it begins")
+    return F.pmod(time - F.lit(begin), F.lit(end - begin)) + F.lit(begin)
+
+
+def loop_date(time: Column, begin: str, end: str) -> Column:
+    """A timestamp moved into the loop [begin, end) by years, so that months and days stay.
+
+    The leap-year correction: both ends are the same day and time of a year. February 29
+    becomes the 28th in years without it.
+    """
+    first, last = (F.to_timestamp_ntz(F.lit(x)) for x in (begin, end))
+    if begin[4:] != end[4:] or begin >= end:
+        raise ValueError("a loop of dates has whole years")
+    years = int(end[:4]) - int(begin[:4])
+
+    def in_year(year: Column) -> Column:
+        return (time.cast("timestamp_ntz") + F.make_ym_interval(year - F.year(time), F.lit(0))).cast("timestamp_ntz")
+
+    moved = in_year(F.lit(int(begin[:4])) + F.pmod(F.year(time) - int(begin[:4]), F.lit(years)))
+    return F.when(moved < first, in_year(F.year(last))).otherwise(moved)
+
+
 def mid_weight(current: Column, half: Column, other_half: Column) -> tuple[Column, Column]:
     """Weight of the second period and whether it is the next one, between mid-points.
 
@@ -78,18 +134,15 @@ def mid_weight(current: Column, half: Column, other_half: Column) -> tuple[Colum
 
 def nearest_index(value: Column, axis: list[float]) -> Column:
     """1-based index of the nearest point of an increasing axis; ties go to the higher."""
-    middles = [(a + b) / 2 for a, b in zip(axis, axis[1:])]
-    points = F.array(*[F.lit(float(m)) for m in middles])
-    return (F.size(F.filter(points, lambda m: m <= value)) + 1).cast("int")
+    return points_upto([(a + b) / 2 for a, b in zip(axis, axis[1:])], value) + 1
 
 
 def fractional_index(value: Column, axis: list[float]) -> Column:
     """1-based fractional index in an increasing axis; -1 outside."""
-    out = F.lit(-1.0)
-    for i in reversed(range(len(axis) - 1)):
-        a, b = axis[i], axis[i + 1]
-        out = F.when((value >= a) & (value <= b), F.lit(float(i + 1)) + (value - a) / F.lit(float(b - a))).otherwise(out)
-    return out
+    points, n = constants(axis), len(axis)
+    low = F.least(F.greatest(points_upto(axis, value), F.lit(1)), F.lit(n - 1))
+    a, b = F.element_at(points, low), F.element_at(points, low + 1)
+    return F.when((value >= axis[0]) & (value <= axis[-1]), low + (value - a) / (b - a)).otherwise(-1.0)
 
 
 def bridge(past: DataFrame, now: DataFrame, future: DataFrame, time: str) -> DataFrame:

@@ -14,9 +14,9 @@ def climatology(source: DataFrame, model: DataFrame, keys: list[str], period: in
 
     Time is linear between slices and cyclic with ``period``; without one, a time
     outside the slices is left out. ``weighted`` means by mass over a layer, ``linear``
-    interpolates at layer middles. Where the model's column reaches beyond the source's,
+    interpolates between upper half-levels (``top``), at the model's. Where the model's column reaches beyond the source's,
     ``zero`` counts nothing; ``constant`` stretches the outermost source layers to it, or
-    extrapolates the last two middles if ``linear``.
+    extrapolates the last two half-levels if ``linear``.
 
     Slice times are the one short list; they alone are matched by range, columns by key.
     """
@@ -43,15 +43,15 @@ def climatology(source: DataFrame, model: DataFrame, keys: list[str], period: in
     # linear in time first, at fixed source layers: one column of layers per key and time
     at = layers.join(slices_of, "slice").groupBy(*columns, "top", "bottom").agg(F.sum(F.col("q") * F.col("part")).alias("q"))
     if vertical == "linear":
-        middle = ((F.col("top") + F.col("bottom")) / 2).alias("p")
-        wanted = model.select(*columns, "k", middle)
+        half_level = F.col("top").alias("p")
+        wanted = model.select(*columns, "k", half_level)
         if outside == "zero":
             ends = at.groupBy(*columns).agg(F.min("top").alias("least"), F.max("bottom").alias("most"))
             wanted = wanted.join(ends, columns).withColumn("out", (F.col("p") < F.col("least")) | (F.col("p") > F.col("most")))
-            found = linear_vertical(at.select(*columns, middle, "q"), wanted.select(*columns, "k", "p"), columns)
+            found = linear_vertical(at.select(*columns, half_level, "q"), wanted.select(*columns, "k", "p"), columns)
             found = found.join(wanted.select(*columns, "k", "out"), [*columns, "k"])
             return found.select(*columns, "k", F.when(F.col("out"), 0.0).otherwise(F.col("value")).alias("value"))
-        return linear_vertical(at.select(*columns, middle, "q"), wanted, columns)
+        return linear_vertical(at.select(*columns, half_level, "q"), wanted, columns)
     if outside == "constant":
         reach = model.groupBy(*columns).agg(F.min("top").alias("m_top"), F.max("bottom").alias("m_bottom"))
         whole = Window.partitionBy(*columns)

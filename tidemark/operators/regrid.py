@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import constants, points_upto
+
 
 def apply_weights(field: DataFrame, weights: DataFrame, source: list[str], target: list[str], value: str, weight: str = "w", missing_permit: int | None = None, corners: int = 4, name: str = "value") -> DataFrame:
     """Weighted means of valid source cells per target cell.
@@ -26,12 +28,21 @@ def apply_weights(field: DataFrame, weights: DataFrame, source: list[str], targe
     return out.drop("__valid")
 
 
-def overlaps(source: DataFrame, target: DataFrame, width: float) -> DataFrame:
+def overlaps(source: DataFrame, target: DataFrame, width: float, period: float | None = None) -> DataFrame:
     """Pairs of overlapping intervals ``(src, lo, hi)`` and ``(dst, lo, hi)`` with their length ``w``.
 
+    With a ``period`` (360 degrees) intervals are the same whatever whole periods they are
+    moved by; what a pair shares in several places adds up.
+
     Intervals are put in bins of ``width`` and meet by bin, so the range condition is
     checked within bins; a pair is kept in the bin where the overlap begins.
     """
+    if period is not None:
+        # sources begin in [0, period), targets too; both reach up to a period further
+        turned = lambda df, name: df.select(name, F.pmod("lo", F.lit(float(period))).alias("lo"), (F.pmod("lo", F.lit(float(period))) + F.col("hi") - F.col("lo")).alias("hi"))
+        copies = turned(source, "src").withColumn("turn", F.explode(F.array(*[F.lit(k * float(period)) for k in (-1, 0, 1)])))
+        copies = copies.select("src", (F.col("lo") + F.col("turn")).alias("lo"), (F.col("hi") + F.col("turn")).alias("hi"))
+        return overlaps(copies, turned(target, "dst"), width).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
     def binned(df: DataFrame, name: str) -> DataFrame:
         first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
@@ -47,10 +58,10 @@ def sine_latitude(df: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame
     return df.withColumn(low, F.sin(F.radians(low))).withColumn(high, F.sin(F.radians(high)))
 
 
-def conserve(field: DataFrame, source: DataFrame, target: DataFrame, value: str, width: float, mask: Column | None = None) -> DataFrame:
+def conserve(field: DataFrame, source: DataFrame, target: DataFrame, value: str, width: float, mask: Column | None = None, period: float | None = None) -> DataFrame:
     """Conservative means on target intervals: ``dst, value, mask_out``; 0 where nothing is valid."""
     m = F.when(F.col(value).isNotNull() & (mask if mask is not None else F.lit(True)), F.lit(1.0)).otherwise(F.lit(0.0))
-    rows = overlaps(source, target, width).join(field, "src").withColumn("m", m)
+    rows = overlaps(source, target, width, period).join(field, "src").withColumn("m", m)
     out = rows.groupBy("dst").agg(
         F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col("w") * F.col("m")).alias("x"), F.sum(F.col("w") * F.col("m")).alias("am"), F.sum("w").alias("a")
     )
@@ -65,27 +76,74 @@ def conserve_deviation(field: DataFrame, source: DataFrame, target: DataFrame, v
     return out.select("dst", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("deviation"))
 
 
-def bracket(axis: list[float], value: Column, cyclic: float | None = None) -> tuple[Column, Column, Column]:
+def box_overlaps(source: DataFrame, target: DataFrame, width: tuple[float, float], period: float | None = 360.0) -> DataFrame:
+    """Overlap areas of longitude-latitude boxes: ``(src, dst, w)``.
+
+    Boxes are ``(src or dst, lon0, lon1, lat0, lat1)`` in degrees. They meet in bins of
+    ``width`` degrees of longitude and latitude; ``w`` is the shared area on the unit
+    sphere. Longitudes wrap by ``period``.
+    """
+
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        cut = lambda c, n: F.floor(F.col(c) / width[n])
+        df = df.select(name, *[F.col(c).alias(f"{name}_{c}") for c in ("lon0", "lon1", "lat0", "lat1")], "lon0", "lon1", "lat0", "lat1")
+        df = df.withColumn("bx", F.explode(F.sequence(cut("lon0", 0), cut("lon1", 0)))).withColumn("by", F.explode(F.sequence(cut("lat0", 1), cut("lat1", 1))))
+        return df.drop("lon0", "lon1", "lat0", "lat1")
+
+    if period is not None:
+        span, begin = F.col("lon1") - F.col("lon0"), F.pmod("lon0", F.lit(float(period)))
+        turned = lambda df: df.withColumn("__s", span).withColumn("lon0", begin).withColumn("lon1", F.col("lon0") + F.col("__s")).drop("__s")
+        source, target = turned(source), turned(target)
+        source = source.withColumn("__k", F.explode(F.array(*[F.lit(k * float(period)) for k in (-1, 0, 1)])))
+        source = source.withColumn("lon0", F.col("lon0") + F.col("__k")).withColumn("lon1", F.col("lon1") + F.col("__k")).drop("__k")
+    pairs = binned(source, "src").join(binned(target, "dst"), ["bx", "by"])
+    west, east = F.greatest("src_lon0", "dst_lon0"), F.least("src_lon1", "dst_lon1")
+    south, north = F.greatest("src_lat0", "dst_lat0"), F.least("src_lat1", "dst_lat1")
+    here = (F.floor(west / width[0]) == F.col("bx")) & (F.floor(south / width[1]) == F.col("by"))
+    area = F.radians(east - west) * (F.sin(F.radians(north)) - F.sin(F.radians(south)))
+    found = pairs.where((west < east) & (south < north) & here).select("src", "dst", area.alias("w"))
+    return found.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def conserve_boxes(field: DataFrame, overlap: DataFrame, value: str, mask: str | None = None) -> DataFrame:
+    """Conservative means over ``box_overlaps``: ``dst, value, mask_out``; 0 where nothing is valid."""
+    m = F.when(F.col(value).isNotNull(), F.col(mask).cast("double") if mask else F.lit(1.0)).otherwise(0.0)
+    rows = overlap.join(field, "src").withColumn("m", m)
+    sums = rows.groupBy("dst").agg(F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col("w") * F.col("m")).alias("x"), F.sum(F.col("w") * F.col("m")).alias("am"), F.sum("w").alias("a"))
+    return sums.select("dst", F.when(F.col("am") > 0, F.col("x") / F.col("am")).otherwise(0.0).alias("value"), (F.col("am") / F.col("a")).alias("mask_out"))
+
+
+def land_fraction(field: DataFrame, overlap: DataFrame, value: str) -> DataFrame:
+    """Area-mean, standard deviation and ocean fraction of a topography: ``dst, mean, deviation, ocean_frac, ocean``.
+
+    The ocean is where ``value`` is under zero; ``ocean`` is whether it is over half.
+    """
+    rows = overlap.join(field.where(F.col(value).isNotNull()), "src")
+    v, w = F.col(value), F.col("w")
+    sums = rows.groupBy("dst").agg(F.sum(v * w).alias("x"), F.sum(v * v * w).alias("xx"), F.sum(F.when(v < 0, w).otherwise(0.0)).alias("o"), F.sum(w).alias("a"))
+    mean, square, ocean = (F.col(c) / F.col("a") for c in ("x", "xx", "o"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+    return sums.select("dst", mean.alias("mean"), spread.alias("deviation"), ocean.alias("ocean_frac"), (ocean > 0.5).alias("ocean"))
+
+
+def bracket(axis: list[float], value: Column, cyclic: float | None = None, upto: Column | None = None) -> tuple[Column, Column, Column]:
     """Lower and upper 1-based index and the upper weight; beyond the ends the nearest point.
 
     With a period the gap between last and first is an interval too. The axis is a list
-    on the driver (a grid's axis), folded into the expression.
+    on the driver (a grid's axis); it is one array in the plan, searched by halving.
+    ``upto`` is ``points_upto`` where it is a column already.
     """
-    n = len(axis)
-    low, high, w = F.lit(n), F.lit(n), F.lit(0.0)
-    if cyclic is not None:
-        gap = axis[0] + cyclic - axis[-1]
-        high = F.lit(1)
-        w = F.when(value >= axis[-1], (value - axis[-1]) / gap).otherwise((value + cyclic - axis[-1]) / gap)
-    for i in reversed(range(n - 1)):
-        inside = (value >= axis[i]) & (value < axis[i + 1])
-        low = F.when(inside, F.lit(i + 1)).otherwise(low)
-        high = F.when(inside, F.lit(i + 2)).otherwise(high)
-        w = F.when(inside, (value - axis[i]) / F.lit(axis[i + 1] - axis[i])).otherwise(w)
+    n, points = len(axis), constants(axis)
+    upto = points_upto(axis, value) if upto is None else upto
+    inside = (upto >= 1) & (upto < n)
+    low = F.when(upto < 1, n if cyclic is not None else 1).otherwise(upto)
+    high = F.when(inside, upto + 1).otherwise(1 if cyclic is not None else low)
+    a, b = F.element_at(points, F.greatest(low, F.lit(1))), F.element_at(points, F.greatest(high, F.lit(1)))
+    w = F.when(inside, (value - a) / (b - a))
     if cyclic is None:
-        below = value < axis[0]
-        low, high, w = F.when(below, 1).otherwise(low), F.when(below, 1).otherwise(high), F.when(below, 0.0).otherwise(w)
-    return low, high, w
+        return low, high, w.otherwise(0.0)
+    gap = axis[0] + cyclic - axis[-1]
+    return low, high, w.otherwise(F.when(upto >= n, (value - axis[-1]) / gap).otherwise((value + cyclic - axis[-1]) / gap))
 
 
 def is_separable(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,9 +155,9 @@ def is_separable(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def bilinear_weights(points: DataFrame, x_axis: list[float], y_axis: list[float], x: str = "x", y: str = "y", target: str = "dst", cyclic: float | None = None) -> DataFrame:
     """Four rows ``(dst, i, j, w)`` a point of a rectilinear grid."""
-    i0, i1, wx = bracket(x_axis, F.col(x), cyclic)
-    j0, j1, wy = bracket(y_axis, F.col(y))
-    df = points.select(target, i0.alias("i0"), i1.alias("i1"), wx.alias("wx"), j0.alias("j0"), j1.alias("j1"), wy.alias("wy"))
+    i0, i1, wx = bracket(x_axis, F.col(x), cyclic, F.col("__ux"))
+    j0, j1, wy = bracket(y_axis, F.col(y), None, F.col("__uy"))
+    df = points.withColumns({"__ux": points_upto(x_axis, F.col(x)), "__uy": points_upto(y_axis, F.col(y))}).select(target, i0.alias("i0"), i1.alias("i1"), wx.alias("wx"), j0.alias("j0"), j1.alias("j1"), wy.alias("wy"))
     corner = lambda i, j, a, b: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (a * b).alias("w"))
     east, north = F.col("wx"), F.col("wy")
     corners = F.array(corner("i0", "j0", 1 - east, 1 - north), corner("i1", "j0", east, 1 - north), corner("i1", "j1", east, north), corner("i0", "j1", 1 - east, north))
@@ -147,6 +205,18 @@ def inverse_distance(neighbours: DataFrame) -> DataFrame:
     return neighbours.withColumn("w", F.when(F.col("distance") <= 1e-10, 1e20).otherwise(1 / F.col("distance")))
 
 
+def apply_inverse_distance(field: DataFrame, neighbours: DataFrame, value: str) -> DataFrame:
+    """Inverse-distance means of valid neighbours, null where the nearest source is masked: ``dst, value``.
+
+    ``neighbours`` are ``dst, src, distance, rank`` of ``nearest_points``; a source that
+    ``field(src, value)`` lacks or holds as null is masked.
+    """
+    rows = inverse_distance(neighbours).join(field, "src", "left")
+    w = F.when(F.col(value).isNotNull(), F.col("w"))
+    out = rows.groupBy("dst").agg((F.sum(F.col(value) * w) / F.sum(w)).alias("value"), F.min_by(F.col(value).isNotNull(), "rank").alias("__near"))
+    return out.select("dst", F.when(F.col("__near"), F.col("value")).alias("value"))
+
+
 def clip(subject: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> np.ndarray:
     """A polygon (n, 2) cut to a box."""
     for axis, bound, sign in ((0, low[0], 1), (0, high[0], -1), (1, low[1], 1), (1, high[1], -1)):

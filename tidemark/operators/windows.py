@@ -51,6 +51,45 @@ def clock_end(time: Column, unit: str) -> Column:
     return (start + F.expr(step)).cast("timestamp_ntz")
 
 
+class Months(int):
+    """A span of whole calendar months, where other spans are microseconds."""
+
+
+def months_end(time: Column, base: int, months: int) -> Column:
+    """End (microseconds) of the window of calendar months after ``base`` that holds ``time``.
+
+    Ends fall on the base's day of the month and time of day; that day is 28 at most.
+    """
+    import datetime
+
+    start = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=base)
+    if start.day > 28:
+        raise ValueError("windows of months begin on day 28 or before")
+    offset = base - int((datetime.datetime(start.year, start.month, 1) - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1))
+    at = F.timestamp_micros(time - F.lit(offset + 1)).cast("timestamp_ntz")
+    n = F.year(at) * 12 + F.month(at) - (start.year * 12 + start.month)
+    ahead = n - F.pmod(n, F.lit(months)) + F.lit(months) + F.lit(start.year * 12 + start.month - 1)
+    first = F.make_date(floor_div(ahead, 12).cast("int"), (F.pmod(ahead, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return F.unix_date(first).cast("long") * F.lit(86400 * SECOND) + F.lit(offset)
+
+
+def span_end(time: Column, base: int, freq: int) -> Column:
+    """``window_end`` or, for ``Months``, ``months_end``."""
+    return months_end(time, base, int(freq)) if isinstance(freq, Months) else window_end(time, base, freq)
+
+
+def later(time: int, span: int) -> int:
+    """A time (microseconds) and a span after it."""
+    import datetime
+
+    if not isinstance(span, Months):
+        return time + span
+    start = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=time)
+    n = start.year * 12 + start.month - 1 + int(span)
+    moved = start.replace(year=n // 12, month=n % 12 + 1)
+    return time + int((moved - start) / datetime.timedelta(microseconds=1))
+
+
 @dataclass(frozen=True)
 class Phase:
     """Windows of ``freq`` from ``start`` to ``stop`` (microseconds)."""
@@ -65,7 +104,7 @@ def phase_end(time: Column, phases: list[Phase]) -> Column:
     out = F.lit(None).cast("long")
     for p in reversed(phases):
         inside = (time > p.start) & (time <= p.stop)
-        out = F.when(inside, F.least(window_end(time, p.start, p.freq), F.lit(p.stop))).otherwise(out)
+        out = F.when(inside, F.least(span_end(time, p.start, p.freq), F.lit(p.stop))).otherwise(out)
     return out
 
 

@@ -14,8 +14,8 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.reductions import reduction
-from tidemark.operators.windows import UNITS, Phase, file_name, micros, phase_end, section, window_end
+from tidemark.operators.reductions import even_share, reduction
+from tidemark.operators.windows import CALENDAR_UNITS, UNITS, Months, Phase, file_name, later, micros, phase_end, section, span_end
 
 METHODS = ("none", "min", "max", "sum", "average", "rms")
 
@@ -38,6 +38,7 @@ class OutputFile:
     start: str | None = None
     region: dict | None = None
     name_freq: int | None = None
+    clock: bool = False
 
 
 @dataclass(frozen=True)
@@ -48,12 +49,14 @@ class Plan:
 
 
 def _span(text: str | int, unit: str | None) -> int:
-    """``"6 hours"`` or a number with a unit of its own to microseconds; 0 and -1 stay."""
+    """``"6 hours"`` or a number with a unit of its own to microseconds or months; 0 and -1 stay."""
     parts = str(text).split()
     n = int(parts[0])
     unit = parts[1] if len(parts) > 1 else unit
     if n <= 0:
         return n
+    if unit in CALENDAR_UNITS:
+        return Months(n * CALENDAR_UNITS[unit])
     if unit not in UNITS:
         raise ValueError(f"unknown time unit {unit!r}")
     return n * UNITS[unit]
@@ -65,6 +68,23 @@ def _spans(value: str | int | None, unit: str | None) -> tuple[int, ...]:
     return tuple(_span(x.strip(), unit) for x in str(value).split(","))
 
 
+#: Columns of a region by its grid type.
+REGION_COLUMNS = {"index": ("i", "j"), "latlon": ("lon", "lat")}
+
+
+def _region(sub: dict | None) -> dict | None:
+    """Ranges by column: of a region by corners (its bounding box) and tile, or as they are."""
+    if not sub:
+        return None
+    if "grid_type" not in sub:
+        return sub
+    if sub["grid_type"] not in REGION_COLUMNS:
+        raise ValueError(f"unknown grid type {sub['grid_type']!r}")
+    corners = [c.split() if isinstance(c, str) else c for c in (sub[f"corner{n}"] for n in range(1, 5))]
+    ranges = {name: (min(axis), max(axis)) for name, axis in zip(REGION_COLUMNS[sub["grid_type"]], zip(*[map(float, c) for c in corners]))}
+    return ranges | ({"tile": (sub["tile"], sub["tile"])} if "tile" in sub else {})
+
+
 def parse_plan(text: str) -> Plan:
     """Read and check a diagnostics table."""
     raw = yaml.safe_load(text)
@@ -86,11 +106,22 @@ def parse_plan(text: str) -> Plan:
         names = [v.output for v in variables]
         if len(set(names)) != len(names):
             raise ValueError(f"{f['file_name']}: an output name is used twice")
+        clock = bool(f.get("use_clock_average", False))
+        if clock and not (len(freq) == 1 and freq[0] in (UNITS["hours"], UNITS["days"], Months(1), Months(12))):
+            raise ValueError(f"{f['file_name']}: clock averages are of one hour, day, month or year")
         rotation = _spans(f.get("new_file_freq"), f.get("new_file_freq_units", unit))
-        files.append(OutputFile(f["file_name"], freq, duration, tuple(variables), f.get("start_time"), f.get("sub_region"), rotation[0] if rotation else None))
+        files.append(OutputFile(f["file_name"], freq, duration, tuple(variables), _start(f.get("start_time")), _region(f.get("sub_region")), rotation[0] if rotation else None, clock))
     return Plan(raw.get("title", ""), f"{year:04}-{month:02}-{day:02} {hour:02}:{minute:02}:{second:02}", tuple(files))
 
 
+def _start(text) -> str | None:
+    """``2 1 1 0 0 0`` or a list of six as an ISO date and time."""
+    if text is None or (isinstance(text, str) and "-" in text):
+        return text
+    year, month, day, hour, minute, second = map(int, text.split() if isinstance(text, str) else text)
+    return f"{year:04}-{month:02}-{day:02} {hour:02}:{minute:02}:{second:02}"
+
+
 def _base_micros(base: str) -> int:
     import datetime
 
@@ -102,19 +133,22 @@ def _ends(f: OutputFile, base: int, time: Column) -> Column:
         return time
     if f.freq[0] == -1:
         return F.lit(None).cast("long")
+    if f.clock:  # aligned to 1970, the begin of an hour, day, month and year
+        return span_end(time, 0, f.freq[0])
     if len(f.freq) == 1:
-        return window_end(time, base, f.freq[0])
+        return span_end(time, base, f.freq[0])
     phases, at = [], base
     for freq, span in zip(f.freq, f.duration):
-        phases.append(Phase(at, at + span, freq))
-        at += span
+        phases.append(Phase(at, later(at, span), freq))
+        at = later(at, span)
     return phase_end(time, phases)
 
 
 def output(plan: Plan, name: str, source: DataFrame, time: str, cells: list[str], variable: str, value: str, z: str | None = None, weight: str | None = None) -> DataFrame:
     """The rows of one output file: ``window_end`` (microseconds), cells, a column a variable.
 
-    Diurnal variables add the column ``section``. Works on batch and streaming sources
+    Diurnal variables add the column ``section``; each section is divided by the window's
+    samples by the number of sections. Works on batch and streaming sources
     (a stream needs a watermark on its time column; its windows then close in order).
     """
     f = next(x for x in plan.files if x.name == name)
@@ -136,19 +170,44 @@ def output(plan: Plan, name: str, source: DataFrame, time: str, cells: list[str]
     if n:
         rows = rows.withColumn("section", section(t, n.pop()))
         keys.append("section")
-    aggregates = []
+    aggregates, shares = [], []
     for v in f.variables:
         chosen = F.col(variable) == v.name
         if v.zbounds and z:
             chosen &= F.col(z).between(*v.zbounds)
-        method = "average" if v.method.startswith("diurnal") else v.method
         x = F.when(chosen, F.col(value))
+        if v.method.startswith("diurnal"):
+            w = F.when(x.isNotNull(), F.col(weight) if weight else F.lit(1.0))
+            aggregates += [F.sum(x * w).alias(f"__sum_{v.output}"), F.sum(w).alias(f"__n_{v.output}")]
+            shares.append(even_share(f"`__sum_{v.output}`", f"`__n_{v.output}`", ["window_end", *cells], int(v.method[7:])).alias(v.output))
+            continue
+        method = v.method
         aggregates.append(reduction(method, x, F.when(chosen, F.col(time)), F.col(weight) if weight else None).alias(v.output))
-    return rows.groupBy(*keys).agg(*aggregates)
+    out = rows.groupBy(*keys).agg(*aggregates)
+    if not shares:
+        return out
+    return out.select(*keys, *[c for c in out.columns if c not in keys and not c.startswith("__")], *shares)
+
+
+def file_begin(end: Column, base: int, freq: int) -> Column:
+    """Begin (microseconds) of the file that holds a window's end."""
+    ends = span_end(end, base, freq)
+    if not isinstance(freq, Months):
+        return ends - F.lit(freq)
+    moved = F.timestamp_micros(ends).cast("timestamp_ntz") + F.make_ym_interval(F.lit(0), F.lit(-int(freq)))
+    return F.unix_micros(moved.cast("timestamp"))
+
+
+def write_output(plan: Plan, name: str, rows: DataFrame, path: str) -> None:
+    """Write the rows of one file of a plan, by file names of their own if it rotates."""
+    f = next(x for x in plan.files if x.name == name)
+    if f.name_freq is None:
+        rows.write.mode("append").parquet(f"{path}/{name}")
+    else:
+        write_rotating(rows, f.name, f.name_freq, _base_micros(plan.base), path)
 
 
 def write_rotating(df: DataFrame, template: str, freq: int, base: int, path: str) -> None:
     """Write windows as Parquet partitioned by file name, the name stamped with the file's begin."""
-    ends = window_end(F.col("window_end"), base, freq)
-    begin = F.timestamp_micros(ends - F.lit(freq)).cast("timestamp_ntz")
+    begin = F.timestamp_micros(file_begin(F.col("window_end"), base, freq)).cast("timestamp_ntz")
     df.withColumn("file", file_name(template, begin)).write.partitionBy("file").mode("append").parquet(path)
