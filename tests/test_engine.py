@@ -328,3 +328,72 @@ def test_permutations_separable_grids_and_reports(spark):
     assert ph.temperature_report(t, ["k"], "t").first().bad == 2
     clip = spark.range(1).select(ph.clip_surface(F.lit(-0.2), "ice"), ph.clip_surface(F.lit(200.0), "sst"), ph.clip_surface(F.lit(None).cast("double"), "sst")).first()
     assert tuple(clip) == (0.0, ph.ICE_CRITICAL, None)
+
+
+def test_exact_sum_flags_what_it_cannot_add(spark):
+    inf = math.inf
+    cases = {"up": [1.0, inf], "both": [inf, -inf, 2.0], "nan": [math.nan, 1.0], "large": [1e300, 1.0], "none": [None], "some": [1e20, 1.0, -1e20, None], "small": [5e-324, 0.25]}
+    df = spark.createDataFrame([(k, x) for k, xs in cases.items() for x in xs], "k string, x double")
+    got = {r.k: (r.total, r.has_nan, r.has_overflow, r.n) for r in reductions.exact_sum(df, ["k"], "x").collect()}
+    assert got == {
+        "up": (inf, False, False, 2), "both": (None, True, False, 3), "nan": (None, True, False, 2), "large": (None, False, True, 2),
+        "none": (None, False, False, 0), "some": (1.0, False, False, 3), "small": (0.25, False, False, 2),
+    }
+
+
+def test_stable_mix_solves_its_equation(spark):
+    df = spark.createDataFrame([(r / 50,) for r in range(1, 110)], "ri double").select("ri", ph.stable_mix(F.col("ri")).alias("mix"))
+    for r in df.collect():
+        if r.ri >= 2:
+            assert r.mix == 0
+            continue
+        low, high = 0.0, 1e9  # zeta / phi(zeta) rises
+        for _ in range(200):
+            zeta = (low + high) / 2
+            phi = 1 + zeta * (5 + 0.5 * zeta) / (1 + zeta)
+            low, high = (zeta, high) if zeta / phi < r.ri else (low, zeta)
+        assert r.mix == pytest.approx(phi**-2, rel=1e-6, abs=1e-9)
+
+
+def test_periodic_overlaps_wrap(spark):
+    source = spark.createDataFrame([(1, 350.0, 370.0), (2, 0.0, 720.0)], "src int, lo double, hi double").where("src = 1")
+    target = spark.createDataFrame([(1, -10.0, 10.0), (2, 365.0, 375.0), (3, 100.0, 110.0)], "dst int, lo double, hi double")
+    got = {r.dst: r.w for r in regrid.overlaps(source, target, 20.0, 360.0).collect()}
+    assert got == {1: pytest.approx(20.0), 2: pytest.approx(5.0)}
+
+
+def test_months_and_clocks_in_plans(spark):
+    text = """
+title: t
+base_date: 2000 1 15 6 0 0
+diag_files:
+- {file_name: m, freq: 2 months, new_file_freq: 1 years, varlist: [{module: a, var_name: x, reduction: max}]}
+- {file_name: c, freq: 1 months, use_clock_average: true, varlist: [{module: a, var_name: x, reduction: max}]}
+- {file_name: r, freq: -1, sub_region: {grid_type: latlon, corner1: 1. 2., corner2: 1. 5., corner3: 4. 2., corner4: 4. 5.}, varlist: [{module: a, var_name: x, reduction: max}]}
+"""
+    plan = parse_plan(text)
+    assert plan.files[2].region == {"lon": (1.0, 4.0), "lat": (2.0, 5.0)}
+    times = ["2000-01-15 06:00:00", "2000-01-15 06:00:01", "2000-03-15 06:00:00", "2000-03-15 06:00:01", "2000-12-31 00:00:00"]
+    df = spark.createDataFrame([(t, i, float(i)) for i, t in enumerate(times)], "t string, id int, v double").withColumn("t", F.to_timestamp_ntz("t")).withColumn("n", F.lit("x"))
+    stamp = F.timestamp_micros("window_end").cast("timestamp_ntz").cast("string")
+    got = {r.id: r.s for r in output(plan, "m", df, "t", ["id"], "n", "v").select("id", stamp.alias("s")).collect()}
+    assert got == {1: "2000-03-15 06:00:00", 2: "2000-03-15 06:00:00", 3: "2000-05-15 06:00:00", 4: "2001-01-15 06:00:00"}
+    got = {r.id: r.s for r in output(plan, "c", df, "t", ["id"], "n", "v").select("id", stamp.alias("s")).collect()}
+    assert got == {1: "2000-02-01 00:00:00", 2: "2000-04-01 00:00:00", 3: "2000-04-01 00:00:00", 4: "2001-01-01 00:00:00"}
+
+
+def test_long_axes_plan_quickly(spark):
+    import bisect
+    import time
+
+    axis = [i * 0.25 for i in range(1440)]
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 359.9, -1.0, 400.0, 100.0)], "x double")
+    began = time.time()
+    low, high, w = regrid.bracket(axis, F.col("x"))
+    rows = df.select("x", low.alias("low"), high.alias("high"), w.alias("w"), asof.nearest_index(F.col("x"), axis).alias("near"), asof.fractional_index(F.col("x"), axis).alias("frac")).collect()
+    assert time.time() - began < 20
+    for r in rows:
+        at = min(max(bisect.bisect_right(axis, r.x), 1), 1440)
+        assert r.low == at and r.high == (at + 1 if 0 <= r.x < axis[-1] else at)
+        assert r.near == min(range(1440), key=lambda i: (abs(axis[i] - r.x), -i)) + 1
+        assert r.frac == (pytest.approx(r.x * 4 + 1) if 0 <= r.x <= axis[-1] else -1)

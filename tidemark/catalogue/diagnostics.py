@@ -320,9 +320,9 @@ def efp_sum(spark, folder):
 
 
 @query("""
-SELECT user_id, bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0) AND bool_or(event_id % 83 = 0)) AS has_nan, bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) AS has_overflow,
-  CASE WHEN bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0) AND bool_or(event_id % 83 = 0)) OR bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) THEN 'none'
-       WHEN bool_or(event_id % 89 = 0) THEN 'up' WHEN bool_or(event_id % 83 = 0) THEN 'down' ELSE 'finite' END AS kind FROM events GROUP BY ALL""")
+SELECT user_id, bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0 AND event_id % 97 <> 0) AND bool_or(event_id % 83 = 0 AND event_id % 89 <> 0 AND event_id % 97 <> 0)) AS has_nan, bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) AS has_overflow,
+  CASE WHEN bool_or(event_id % 97 = 0) OR (bool_or(event_id % 89 = 0 AND event_id % 97 <> 0) AND bool_or(event_id % 83 = 0 AND event_id % 89 <> 0 AND event_id % 97 <> 0)) OR bool_or(event_id % 79 = 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0) THEN 'none'
+       WHEN bool_or(event_id % 89 = 0 AND event_id % 97 <> 0) THEN 'up' WHEN bool_or(event_id % 83 = 0 AND event_id % 89 <> 0 AND event_id % 97 <> 0) THEN 'down' ELSE 'finite' END AS kind FROM events GROUP BY ALL""")
 def efp_flags(spark, folder):
     """Sums of values of which some are NaN, infinite or too large."""
     n = F.col("event_id")

@@ -95,18 +95,83 @@ def frac_index(spark, folder):
 
 
 @query("""
-WITH f AS (SELECT l_suppkey % 36 AS src, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM lineitem GROUP BY ALL),
+WITH f AS (SELECT l_suppkey % 36 AS src, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM lineitem WHERE l_suppkey % 36 NOT BETWEEN 8 AND 12 GROUP BY ALL),
 s AS (SELECT i AS src, i * 10.0 AS lo, i * 10.0 + 10 AS hi FROM range(36) t(i)), d AS (SELECT i AS dst, i * 7.0 AS lo, i * 7.0 + 7 AS hi FROM range(52) t(i)),
 o AS (SELECT src, dst, least(s.hi, d.hi) - greatest(s.lo, d.lo) AS w FROM s JOIN d ON s.lo < d.hi AND d.lo < s.hi)
-SELECT dst, round(sum(x * w) / sum(w), 6) AS value, round(sum(w) / (SELECT sum(w) FROM o p WHERE p.dst = o.dst), 6) AS mask_out FROM o JOIN f USING (src) GROUP BY dst""")
+SELECT dst, round(coalesce(sum(x * w) / sum(w) FILTER (x IS NOT NULL), 0), 6) AS value, round(coalesce(sum(w) FILTER (x IS NOT NULL), 0) / sum(w), 6) AS mask_out FROM o LEFT JOIN f USING (src) GROUP BY dst""")
 def overlap_conserve(spark, folder):
-    field = table(spark, folder, "lineitem").groupBy((F.col("l_suppkey") % 36).alias("src"))
+    """Sources 8 to 12 are missing: targets within have value 0 and mask 0."""
+    field = table(spark, folder, "lineitem").where("l_suppkey % 36 not between 8 and 12").groupBy((F.col("l_suppkey") % 36).alias("src"))
     field = field.agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("s"), F.count("*").alias("n")).select("src", (F.col("s") / F.col("n")).alias("x"))
     edges = lambda name, n, w: spark.range(n).select(F.col("id").alias(name), (F.col("id") * w).alias("lo"), (F.col("id") * w + w).alias("hi"))
     source = edges("src", 36, 10.0)
     field = source.select("src").join(field, "src", "left")
     out = regrid.conserve(field, source, edges("dst", 52, 7.0), "x", 20.0)
-    return out.where("mask_out > 0").select("dst", F.round("value", 6).alias("value"), F.round("mask_out", 6).alias("mask_out"))
+    return out.select("dst", F.round("value", 6).alias("value"), F.round("mask_out", 6).alias("mask_out"))
+
+
+@query("""
+WITH f AS (SELECT l_suppkey % 36 AS src, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM lineitem GROUP BY ALL),
+s AS (SELECT i AS src, i * 10.0 + 355 AS lo, i * 10.0 + 365 AS hi FROM range(36) t(i)), d AS (SELECT i AS dst, i * 24.0 - 190 AS lo, i * 24.0 - 166 AS hi FROM range(15) t(i)),
+o AS (SELECT src, dst, sum(least(s.hi + 360 * k, d.hi) - greatest(s.lo + 360 * k, d.lo)) AS w FROM s, d, range(-4, 4) t(k) WHERE s.lo + 360 * k < d.hi AND d.lo < s.hi + 360 * k GROUP BY ALL)
+SELECT dst, round(sum(x * w) / sum(w), 6) AS value, round(sum(w), 6) AS width FROM o JOIN f USING (src) GROUP BY dst""")
+def overlap_periodic(spark, folder):
+    """Cells from 355 degrees on against cells from -190: the same circle, cut elsewhere."""
+    field = table(spark, folder, "lineitem").groupBy((F.col("l_suppkey") % 36).alias("src"))
+    field = field.agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("x"))
+    source = spark.range(36).select(F.col("id").alias("src"), (F.col("id") * 10.0 + 355).alias("lo"), (F.col("id") * 10.0 + 365).alias("hi"))
+    target = spark.range(15).select(F.col("id").alias("dst"), (F.col("id") * 24.0 - 190).alias("lo"), (F.col("id") * 24.0 - 166).alias("hi"))
+    width = regrid.overlaps(source, target, 24.0, 360.0).join(field.select("src"), "src").groupBy("dst").agg(F.sum("w").alias("width"))
+    out = regrid.conserve(field, source, target, "x", 24.0, period=360.0).join(width, "dst")
+    return out.select("dst", F.round("value", 6).alias("value"), F.round("width", 6).alias("width"))
+
+
+BOXES = """
+WITH f AS (SELECT l_suppkey % 36 AS i, l_linenumber - 1 AS j, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) - 25 AS x FROM lineitem GROUP BY ALL),
+s AS (SELECT i, j, i * 10.0 AS a, i * 10.0 + 10 AS b, j * 20.0 - 70 AS c, j * 20.0 - 50 AS d FROM range(36) t(i), range(7) u(j)),
+t AS (SELECT p * 10 + q AS dst, p * 30.0 - 15 AS a, p * 30.0 + 15 AS b, q * 25.0 - 75 AS c, q * 25.0 - 50 AS d FROM range(12) t(p), range(6) u(q)),
+o AS (SELECT dst, s.i, s.j, sum(radians(least(s.b + 360 * k, t.b) - greatest(s.a + 360 * k, t.a)) * (sin(radians(least(s.d, t.d))) - sin(radians(greatest(s.c, t.c))))) AS w
+  FROM s, t, range(-1, 2) r(k) WHERE s.a + 360 * k < t.b AND t.a < s.b + 360 * k AND s.c < t.d AND t.c < s.d GROUP BY ALL)"""
+
+
+def _boxes(spark):
+    n = F.col("id")
+    i, j = n % 36, F.floor(n / 36)
+    source = spark.range(252).select((i * 100 + j).alias("src"), (i * 10.0).alias("lon0"), (i * 10.0 + 10).alias("lon1"), (j * 20.0 - 70).alias("lat0"), (j * 20.0 - 50).alias("lat1"))
+    p, q = n % 12, F.floor(n / 12)
+    target = spark.range(72).select((p * 10 + q).alias("dst"), (p * 30.0 - 15).alias("lon0"), (p * 30.0 + 15).alias("lon1"), (q * 25.0 - 75).alias("lat0"), (q * 25.0 - 50).alias("lat1"))
+    return regrid.box_overlaps(source, target, (30.0, 25.0))
+
+
+def _box_field(spark, folder):
+    df = table(spark, folder, "lineitem").groupBy(((F.col("l_suppkey") % 36) * 100 + F.col("l_linenumber") - 1).alias("src"))
+    return df.agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count("*") - 25).alias("x"))
+
+
+@query(BOXES + """ SELECT dst, round(coalesce(sum(x * w) / sum(w) FILTER (x IS NOT NULL), 0), 6) AS value FROM o JOIN f USING (i, j) GROUP BY dst""")
+def conserve_boxes(spark, folder):
+    out = regrid.conserve_boxes(_box_field(spark, folder), _boxes(spark), "x")
+    return out.select("dst", F.round("value", 6).alias("value"))
+
+
+@query(BOXES + """ SELECT dst, round(sum(x * w) / sum(w), 6) AS mean, round(sum(CASE WHEN x < 0 THEN w ELSE 0 END) / sum(w), 6) AS ocean_frac,
+  round(sqrt(greatest(0, sum(x * x * w) / sum(w) - pow(sum(x * w) / sum(w), 2))), 4) AS deviation FROM o JOIN f USING (i, j) GROUP BY dst""")
+def land_fraction(spark, folder):
+    out = regrid.land_fraction(_box_field(spark, folder), _boxes(spark), "x")
+    return out.select("dst", F.round("mean", 6).alias("mean"), F.round("ocean_frac", 6).alias("ocean_frac"), F.round("deviation", 4).alias("deviation"))
+
+
+@query("""
+WITH r AS (SELECT extract(year FROM o_orderdate) AS y, o_orderkey, o_orderdate AS t FROM orders),
+m AS (SELECT o_orderkey, t, (t + to_years((1996 + (y - 1996 + 300) % 3 - y)::INT))::TIMESTAMP AS u FROM r)
+SELECT o_orderkey, CASE WHEN u < TIMESTAMP '1996-03-15 06:00:00' THEN (t + to_years((1999 - year(t))::INT))::TIMESTAMP ELSE u END AS moved,
+  788918400 + (epoch_us(t) // 1000000 - 788918400 + 86400000::BIGINT * 1000) % 86400000 AS plain FROM m""")
+def asof_loop(spark, folder):
+    """Dates moved into a loop of three years with the leap-year correction, and into a plain loop of a thousand days."""
+    df = table(spark, folder, "orders")
+    moved = asof.loop_date(F.col("o_orderdate"), "1996-03-15 06:00:00", "1999-03-15 06:00:00")
+    seconds = F.floor(micros(F.col("o_orderdate")) / SECOND)
+    return df.select("o_orderkey", moved.alias("moved"), asof.loop_time(seconds, 788_918_400, 788_918_400 + 86_400_000).cast("long").alias("plain"))
 
 
 FIELD = "WITH f AS (SELECT l_suppkey % 10 AS i, l_linenumber - 1 AS j, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM lineitem GROUP BY ALL)"
@@ -169,6 +234,22 @@ def knn_idw(spark, folder):
     return out.select("dst", F.round("value", 4).alias("value"), "n")
 
 
+@query(f"""
+WITH s AS (SELECT s_suppkey AS src, (s_suppkey * {GOLDEN}) % (2 * pi()) AS lon, asin(((s_suppkey * 37) % 199 - 99) / 100.0::DOUBLE) AS lat, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS x FROM supplier),
+d AS (SELECT c_custkey AS dst, (c_custkey * {GOLDEN} * 1.7) % (2 * pi()) AS lon, asin(((c_custkey * 53) % 199 - 99) / 100.5::DOUBLE) AS lat FROM customer),
+p AS (SELECT dst, src, x, acos(greatest(-1, least(1, sin(s.lat) * sin(d.lat) + cos(s.lat) * cos(d.lat) * cos(s.lon - d.lon)))) AS distance FROM s, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY distance, src) AS rank FROM p WHERE distance <= 0.4)
+SELECT dst, CASE WHEN bool_or(rank = 1 AND x IS NOT NULL) THEN round(sum(x / distance) / sum(1 / distance) FILTER (x IS NOT NULL), 4) END AS value FROM r WHERE rank <= 4 GROUP BY dst""")
+def masked_idw(spark, folder):
+    """A third of the sources is masked; targets nearest to one of these are missing."""
+    turn = F.lit(2 * math.pi)
+    s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * GOLDEN) % turn).alias("lon"), F.asin(((F.col("s_suppkey") * 37) % 199 - 99) / 100.0).alias("lat"))
+    d = table(spark, folder, "customer").select(F.col("c_custkey").alias("dst"), ((F.col("c_custkey") * GOLDEN * 1.7) % turn).alias("lon"), F.asin(((F.col("c_custkey") * 53) % 199 - 99) / 100.5).alias("lat"))
+    field = s.select("src", F.when(F.col("src") % 3 != 0, F.col("src").cast("double")).alias("x"))
+    out = regrid.apply_inverse_distance(field, regrid.nearest_points(s, d, 4, 0.4), "x")
+    return out.select("dst", F.round("value", 4).alias("value"))
+
+
 @query("""
 WITH f AS (SELECT l_suppkey % 36 AS src, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM lineitem GROUP BY ALL),
 s AS (SELECT i AS src, i * 10.0 AS lo, i * 10.0 + 10 AS hi FROM range(36) t(i)), d AS (SELECT i AS dst, i * 45.0 AS lo, i * 45.0 + 45 AS hi FROM range(8) t(i)),
@@ -251,3 +332,42 @@ def containing_cells(spark, folder):
         (x + 0.3).alias("x4"), (j + 1).alias("y4"),
     )
     return regrid.containing_cells(points, quads, 1.0)
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_linenumber AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+l AS (SELECT l_suppkey, 10.0 * n AS p1, q AS q1, lead(10.0 * n) OVER w AS p2, lead(q) OVER w AS q2, row_number() OVER w AS r, count(*) OVER (PARTITION BY l_suppkey) AS c FROM s WINDOW w AS (PARTITION BY l_suppkey ORDER BY n)),
+m AS (SELECT DISTINCT l_suppkey, k, 7.0 * k AS p FROM lineitem, range(6) t(k))
+SELECT l_suppkey, k, round(q1 + (p - p1) * (q2 - q1) / (p2 - p1), 6) AS value FROM m JOIN l USING (l_suppkey) WHERE p2 IS NOT NULL AND (p >= p1 OR r = 1) AND (p < p2 OR r = c - 1)""")
+def climatology_half_levels(spark, folder):
+    """Linear between upper half-levels, which both ends extrapolate."""
+    lines = table(spark, folder, "lineitem")
+    means = lines.where("l_linenumber <= 3").groupBy("l_suppkey", "l_linenumber").agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("q"))
+    top = F.col("l_linenumber") * 10.0
+    source = means.select("l_suppkey", top.alias("top"), (top + 10).alias("bottom"), "q")
+    source = source.select("l_suppkey", F.explode(F.expr("array(0L, 10L)")).alias("t"), "top", "bottom", "q")
+    model = lines.select("l_suppkey").distinct().select("l_suppkey", F.lit(2.5).alias("t"), F.explode(F.expr("sequence(0L, 5L)")).alias("k"))
+    model = model.withColumn("top", F.col("k") * 7.0).withColumn("bottom", F.col("k") * 7.0 + 7)
+    out = climatology(source, model, ["l_suppkey"], vertical="linear")
+    return out.select("l_suppkey", "k", F.round("value", 6).alias("value"))
+
+
+@query(FIELD + """, t AS (SELECT 0 AS s, i, j, x FROM f UNION ALL SELECT 6, i, j, 2 * x FROM f),
+p AS (SELECT c_custkey AS dst, (c_custkey % 90) / 10.0 AS px, (c_custkey % 60) / 10.0 AS py FROM customer),
+q AS (SELECT dst, px, py, least(floor(px), 8)::INT AS i0, least(floor(py), 5)::INT AS j0, px - least(floor(px), 8) AS a, py - least(floor(py), 5) AS b FROM p),
+c AS (SELECT dst, i0 AS i, j0 AS j, (1 - a) * (1 - b) AS w FROM q UNION ALL SELECT dst, i0 + 1, j0, a * (1 - b) FROM q UNION ALL SELECT dst, i0 + 1, j0 + 1, a * b FROM q UNION ALL SELECT dst, i0, j0 + 1, (1 - a) * b FROM q),
+m AS (SELECT dst, sum(x * w) / sum(w) AS x FROM c JOIN f USING (i, j) GROUP BY dst), k AS (SELECT 1 AS k UNION ALL SELECT 2)
+SELECT dst, h AS t, k, CASE WHEN px BETWEEN 2 AND 6 AND py BETWEEN 1 AND 4 AND x IS NOT NULL THEN round(0.5 * x * (1 + h / 6.0), 6) ELSE -1.0 END AS value
+FROM q LEFT JOIN m USING (dst), k, (SELECT unnest([1.5, 4.5]) AS h)""")
+def override_composite(spark, folder):
+    """A file's field at two times on a coarse grid over a region of a model with two levels."""
+    from tidemark.operators.fields import Override, override_from
+
+    key = F.col("c_custkey")
+    model = table(spark, folder, "customer").select(key.alias("dst"), (key % 90 / 10.0).alias("lon"), (key % 60 / 10.0).alias("lat"), F.lit(-1.0).alias("x"))
+    model = model.withColumn("t", F.explode(F.array(F.lit(1.5), F.lit(4.5)))).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    f = _field(spark, folder)
+    slices = f.select(F.lit(0.0).alias("t"), "i", "j", "x").unionByName(f.select(F.lit(6.0).alias("t"), "i", "j", (2 * F.col("x")).alias("x")))
+    row = Override("ATM", "sst", "sst_obs", 0.5, (2.0, 6.0, 1.0, 4.0))
+    out = override_from(model, [row], "ATM", "sst", "x", slices, [float(i) for i in range(10)], [float(j) for j in range(7)])
+    return out.select("dst", F.col("t"), "k", F.round("x", 6).alias("value"))

@@ -59,10 +59,9 @@ def nest_coarse(spark, folder):
 
 @query("WITH c AS (SELECT l_suppkey // 4 AS i, max(l_quantity) AS x FROM lineitem GROUP BY ALL) SELECT s_suppkey, x FROM supplier LEFT JOIN c ON i = s_suppkey // 4")
 def nest_fine(spark, folder):
-    coarse = nb.coarsen(table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_quantity").alias("x")), [], ["i"], 4, "x")
-    top = table(spark, folder, "lineitem").groupBy(F.floor(F.col("l_suppkey") / 4).alias("i")).agg(F.max("l_quantity").alias("x"))
+    coarse = nb.coarsen(table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_quantity").alias("x")), [], ["i"], 4, "x", "max")
     fine = table(spark, folder, "supplier").select("s_suppkey", F.col("s_suppkey").alias("i"))
-    return nb.refine(top.join(coarse.select("i"), "i"), fine, [], ["i"], 4, "x").select("s_suppkey", "x")
+    return nb.refine(coarse, fine, [], ["i"], 4, "x").select("s_suppkey", "x")
 
 
 @query("""

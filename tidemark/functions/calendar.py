@@ -63,14 +63,34 @@ def day_of_year(year: Column, month: Column, day: Column, calendar: str) -> Colu
     return before + F.when(leap_year(year, calendar) & (month > 2), 1).otherwise(0) + day
 
 
-def set_date(year: Column, month: Column, day: Column, calendar: str) -> Column:
-    """Day number of a date; an invalid date is an error."""
+def set_date(year: Column, month: Column, day: Column, calendar: str, strict: bool = True) -> Column:
+    """Day number of a date; an invalid date is an error, or null if not ``strict``."""
     _check(calendar)
     fine = month.between(1, 12) & (day >= 1) & (day <= days_in_month(year, F.greatest(F.lit(1), F.least(F.lit(12), month)), calendar)) & (year >= 1)
     number = days_before_year(year, calendar) + day_of_year(year, month, day, calendar) - 1
     text = F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string"))
     bad = F.raise_error(F.concat(F.lit(f"not a date of the {calendar} calendar: "), text)).cast("long")
-    return F.when(fine, number.cast("long")).otherwise(bad)
+    return F.when(fine, number.cast("long")).otherwise(bad if strict else F.lit(None).cast("long"))
+
+
+def parse_date(text: Column, calendar: str, strict: bool = True) -> tuple[Column, Column]:
+    """Day number and second of ``YYYY-MM-DD hh:mm:ss`` (parts from the hour on may lack), in any calendar."""
+    part = lambda n: F.try_element_at(F.split(F.trim(text), "[-T: ]+"), F.lit(n)).try_cast("int")
+    seconds = F.coalesce(part(4), F.lit(0)) * 3600 + F.coalesce(part(5), F.lit(0)) * 60 + F.coalesce(part(6), F.lit(0))
+    return set_date(part(1), part(2), part(3), calendar, strict), seconds.cast("long")
+
+
+def increment_time(days: Column, seconds: Column, more_days: Column, more_seconds: Column) -> tuple[Column, Column]:
+    """A time and a span after it (or before, if negative); a time before zero is an error."""
+    total = (days + more_days) * 86400 + seconds + more_seconds
+    total = F.when(total < 0, F.raise_error(F.lit("a time before zero")).cast("long")).otherwise(total)
+    return _div(total, 86400), F.pmod(total, F.lit(86400))
+
+
+def time_as_real(days: Column, seconds: Column, ticks: Column | None = None, ticks_a_second: int = 1) -> Column:
+    """Seconds of a time with its ticks, as a double."""
+    real = days.cast("double") * 86400 + seconds
+    return real if ticks is None else real + ticks / F.lit(float(ticks_a_second))
 
 
 def let(value: Column, use) -> Column:
@@ -104,13 +124,16 @@ def get_date(days: Column, calendar: str) -> tuple[Column, Column, Column]:
         # four years have 1461 days, the last of them one more than the others
         date = let(days, lambda n: let(F.pmod(n, F.lit(1461)), lambda r: let(F.least(_div(r, 365), F.lit(3)), lambda k: _in_year(
             _div(n, 1461) * 4 + k + 1, r - k * 365, calendar))))
-    return date["year"], date["month"], date["day"]
+    return tuple(F.when(days.isNotNull(), date[part]) for part in ("year", "month", "day"))
 
 
-def increment_months(year: Column, month: Column, day: Column, months: int, calendar: str) -> Column:
-    """Day number after some months; a day that the month lacks is an error, not clamped."""
+def increment_months(year: Column, month: Column, day: Column, months: int, calendar: str, strict: bool = True) -> Column:
+    """Day number after some months (before, if negative); a day that the month lacks is an error, not clamped.
+
+    It is null if not ``strict``.
+    """
     count = year * 12 + month - 1 + months
-    return set_date(_div(count, 12), F.pmod(count, F.lit(12)) + 1, day, calendar)
+    return set_date(_div(count, 12), F.pmod(count, F.lit(12)) + 1, day, calendar, strict)
 
 
 def calendar_time(value: Column, unit: str, since: tuple[int, int, int], calendar: str) -> tuple[Column, Column]:

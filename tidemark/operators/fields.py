@@ -116,6 +116,35 @@ def override(model: DataFrame, table: list[Override], grid: str, field: str, val
     return joined.withColumn(value, new).drop("__new")
 
 
+def override_from(model: DataFrame, table: list[Override], grid: str, field: str, value: str, slices: DataFrame, x_axis: list[float], y_axis: list[float], period: int | None = None, cyclic: float | None = None) -> DataFrame:
+    """``override`` from a file as it is: in time, on the file's grid, then factor and region, in one call.
+
+    ``model(dst, t, lon, lat, value)`` may hold several levels of a cell ``dst``: a field
+    without levels goes to each. ``slices(t, i, j, value)`` is on the axes' points
+    (counted from 0); slice times are the short list, cyclic with ``period``. Weights
+    are made once a cell, not once a time.
+    """
+    from tidemark.operators.asof import interpolate_list, intervals
+    from tidemark.operators.regrid import apply_weights, bilinear_weights
+
+    if first_match(table, grid, field) is None:
+        return model
+    times = slices.select("t").distinct().withColumn("x", F.col("t").cast("double"))
+    spans = intervals(times, "t", "x", period).withColumns({"s1": F.col("x1"), "s2": F.col("x2"), "a": F.col("t1").cast("double"), "b": F.col("t2").cast("double")})
+    u = F.pmod("t", F.lit(period)) if period is not None else F.col("t")
+    placed = interpolate_list(model.select("t").distinct().withColumn("__u", u), spans, F.col("__u")).where("s1 is not null")
+    w = (F.col("__u") - F.col("a")) / (F.col("b") - F.col("a"))
+    parts = F.array(F.struct(F.col("s1").alias("slice"), (1 - w).alias("part")), F.struct(F.col("s2").alias("slice"), w.alias("part")))
+    shares = placed.select("t", F.explode(parts).alias("p")).select("t", "p.slice", "p.part")
+    at = slices.withColumn("slice", F.col("t").cast("double")).drop("t").join(shares, "slice")
+    at = at.groupBy("t", "i", "j").agg(F.sum(F.col(value) * F.col("part")).alias(value))
+    weights = bilinear_weights(model.select("dst", "lon", "lat").distinct(), x_axis, y_axis, "lon", "lat", cyclic=cyclic)
+    weights = weights.select("dst", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "w")
+    wanted = model.select("dst", "t").distinct().join(weights, "dst")
+    source = apply_weights(at, wanted, ["t", "i", "j"], ["t", "dst"], value, name=value)
+    return override(model, table, grid, field, value, source, ["t", "dst"])
+
+
 def column_burden(layers: DataFrame, keys: list[str], gravity: float = 9.80, per_area: bool = False) -> DataFrame:
     """Mass above an area of ``layers(keys, top, bottom, q)``; ``per_area`` where ``q`` is a layer's mass already."""
     mass = F.col("q") if per_area else F.col("q") * (F.col("bottom") - F.col("top")) / gravity

@@ -34,10 +34,11 @@ def is_monotonic(df: DataFrame, keys: list[str], axis: str, value: str) -> DataF
     return rows.groupBy(*keys).agg((F.bool_and(rising) | F.bool_and(falling)).alias("monotonic"))
 
 
-def coarsen(df: DataFrame, keys: list[str], axes: list[str], refine: int, value: str) -> DataFrame:
-    """Means of ``refine`` fine cells along each axis (cells from 0)."""
+def coarsen(df: DataFrame, keys: list[str], axes: list[str], refine: int, value: str, how: str = "avg") -> DataFrame:
+    """Means (or ``sum``, ``min``, ``max``) of ``refine`` fine cells along each axis (cells from 0)."""
     coarse = [F.floor(F.col(a) / refine).cast("long").alias(a) for a in axes]
-    return df.groupBy(*keys, *coarse).agg(F.avg(value).alias(value), F.count(value).alias("n"))
+    aggregate = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how]
+    return df.groupBy(*keys, *coarse).agg(aggregate(value).alias(value), F.count(value).alias("n"))
 
 
 def refine(coarse: DataFrame, fine: DataFrame, keys: list[str], axes: list[str], by: int, value: str) -> DataFrame:
