@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import shared_table
 
+#: Each level halves the keys that are left; more levels than this cannot be chance.
+MOST_LEVELS = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,7 +117,9 @@ def build_cascade(keys: DataFrame, urls: DataFrame, lengths: list[int], universe
 
     others = urls.mapInArrow(wrong, "key string").distinct().join(keys, "key", "left_anti")
     levels, ours, theirs = [level], keys, shared_table(others, "url-keys")
-    while (n := theirs.count()) and len(levels) < 64:
+    while n := theirs.count():
+        if len(levels) == MOST_LEVELS:
+            raise RuntimeError(f"{n} keys are left after {MOST_LEVELS} levels of a cascade")
         level = Level(len(levels), n, 0.5)
         _fill(level, theirs)
         levels.append(level)
@@ -130,13 +134,13 @@ def filter_urls(
 
     ``rules(rule, verdict)`` holds ``host/path`` strings with a verdict each; of a rule
     given twice the least verdict holds. A rule fits its host and all subdomains if the
-    URL's path starts with the rule's; the longest rule that fits wins. Without one,
+    URL's path starts with the rule's; the longest rule that fits wins, of equally long ones the first by code point. Without one,
     ``rule`` is null and the verdict ``default``: the URL is not listed. A null URL or
     one without ``://`` has an empty host and path and fits no rule. Repeated rows give
     repeated rows; empty tables (of pages or rules) are fine; other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    urls = shared_table(pages.select(F.col(id_col), host.alias("host"), path.alias("path")), "urls")
     rules = rules.where("rule is not null and verdict is not null").groupBy(F.col("rule").alias("key")).agg(F.min("verdict").alias("verdict"))
     rules = shared_table(rules, "url-rules")
     # distinct lengths of rule paths, not rules: bounded by the longest URL
