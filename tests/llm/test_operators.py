@@ -149,7 +149,7 @@ def test_pieces(which, request):
     assert by_id((r.doc_id, bytes(r.token_ids), r.decoded) for r in coded.select("doc_id", "token_ids", "decoded").collect()) == by_id(want)
 
 
-@pytest.mark.parametrize(("which", "width", "group", "block"), [("docs", 13, 1 << 18, 4_000_000), ("docs", 13, 1, 300), ("docs", 5, 2, 1000), ("small", 13, 1 << 18, 20_000)])
+@pytest.mark.parametrize(("which", "width", "group", "block"), [("docs", 13, None, 4_000_000), ("docs", 13, 1, 300), ("docs", 5, 2, 1000), ("small", 13, 20, 20_000)])
 def test_remove_repeats(which, width, group, block, request):
     df = request.getfixturevalue(which)
     got = substring_dedup.remove_repeats(df, width=width, group=group, block_words=block).collect()
@@ -166,6 +166,9 @@ def test_remove_repeats_null_and_repeated_ids(spark):
 
 
 def test_subtree_finds_least_document_of_each_window():
+    common = [substring_dedup.shared_words(a, b) for a, b in zip([b"a ", b"a b ", b"a b c ", b"ab "], [b"a b ", b"a b c ", b"ab ", b"b "])]
+    assert common == [1, 2, 0, 0]
+    assert list(substring_dedup.internal_nodes(common)) == [(2, 1, 2), (1, 0, 2)]
     group = {b"a b c d": [4, 4], b"x a b c": [2, 2], b"q r s": [1, 1]}
     assert dict(substring_dedup.subtree(group, 3)) == {b"a b c d": [2, 4]}
 

@@ -7,13 +7,15 @@ are anchored alike and about a fifth of all positions become suffixes.
 1. One scan counts suffixes by prefix. A task sends each prefix once per block of
    documents, so a prefix that a third of all documents share costs an entry a block.
    Prefixes seen twice make their suffixes candidates; those with more than ``group``
-   suffixes are listed, and get longer prefixes in step 3 (the whole window).
+   suffixes are listed. Their windows are suffixes of their own, counted by their first
+   ``LONGER`` words; where that is still too many, the whole window is the prefix.
 2. Candidates go back to their documents, which are kept in a table bucketed by
    document, so that later steps need not shuffle texts again.
 3. Candidate suffixes travel as text, with the words to the left that windows at
    this anchor can reach. Prefix groups are owned by one task each; it sorts the
-   suffixes of a group into its subtree. Nodes of ``width`` words or more below
-   which two documents hang are the repeats, and give the least document of each.
+   suffixes of a group, whose common beginnings give the internal nodes of its subtree.
+   A node of ``width`` words or more below which two documents hang is a repeat; the
+   uppermost such node over a leaf has the least document of its window.
 4. Occurrences join their suffix's result; documents lose the covered words.
 """
 
@@ -33,7 +35,11 @@ from tidemark.llm.shared import parallelism, shared_folder, shared_table
 
 WIDTH = 13
 PREFIX = 4
-GROUP = 1 << 18
+LONGER = 8
+GROUPS = 1 << 12, 1 << 18  # suffixes of a group: split beyond the first at small inputs, the second at large
+LISTED = 1 << 16  # about so many groups are split at most between the two
+BUCKET_BYTES = 64 << 20  # of text whose prefixes one bucket counts
+MOST_BUCKETS = 1 << 16
 BLOCK_WORDS = 4_000_000
 CHUNK_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
@@ -68,15 +74,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of a text joined by single spaces, and where words start."""
-    raw = np.frombuffer(line, np.uint8)
-    spaces = np.flatnonzero(raw == 32)
-    start = np.concatenate([[0], spaces + 1])
-    end = np.concatenate([spaces, [len(raw)]])
-    up, down = _powers.upto(len(raw))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, U64)
-        np.cumsum(raw * up, out=total[1:])
-        return mixed((total[end] - total[start]) * down[start]), start
+    hashes, starts, at = [], [], 0
+    while at <= len(line):  # a long text slab by slab, cut at a space
+        stop = line.find(b" ", at + CHUNK_BYTES)
+        stop = len(line) if stop < 0 else stop
+        raw = np.frombuffer(line, np.uint8)[at:stop]
+        spaces = np.flatnonzero(raw == 32)
+        start = np.concatenate([[0], spaces + 1])
+        end = np.concatenate([spaces, [len(raw)]])
+        up, down = _powers.upto(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(raw) + 1, U64)
+            np.cumsum(raw * up[:-1], out=total[1:])
+            hashes.append(mixed((total[end] - total[start]) * down[start]))
+        starts.append(start + at)
+        at = stop + 1
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 class Anchors:
@@ -268,8 +281,12 @@ def _words_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], width: int, large: np.ndarray) -> Iterator[tuple]:
-    """(document id, mark, prefix key, text, first window) of each candidate of a table part."""
+def _suffixes(batches: Iterator[pa.RecordBatch], width: int, large: np.ndarray, larger: frozenset[int] | None) -> Iterator[tuple]:
+    """(document id, mark, prefix key, text, first window) of each candidate of a table part.
+
+    Without ``larger`` only the windows of large groups, with the key of their longer prefix.
+    """
+    longer = min(LONGER, width)
     for batch in batches:
         ids, marks = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
         lines, chosen = batch.column("words").to_pylist(), batch.column("ords").to_pylist()
@@ -280,20 +297,26 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, large: np.ndarray)
             picked = np.concatenate([np.frombuffer(chosen[i], np.uint32) + offset[n] for n, i in enumerate(at)]).astype(np.int64)
             doc, first, last, g = a.doc[picked], a.first[picked], a.last[picked], a.g[picked]
             big = np.isin(g, large)
+            if larger is None:
+                doc, first, last, g, big = (x[big] for x in (doc, first, last, g, big))
             joined = b" ".join(texts)
             starts = np.append(a.start, len(joined) + 1)
             begin = starts[first + a.base[doc]]
             end = starts[last + width + a.base[doc]] - 1
             keys = g.view(np.int64).tolist()
-            for n, d, s, e, k, f, l, b in zip(range(len(picked)), doc.tolist(), begin.tolist(), end.tolist(), keys, first.tolist(), last.tolist(), big.tolist()):
+            for n, d, s, e, k, f, l, b in zip(range(len(doc)), doc.tolist(), begin.tolist(), end.tolist(), keys, first.tolist(), last.tolist(), big.tolist()):
                 row = at[d]
                 if not b:
                     yield ids[row], marks[row], k, joined[s:e], f
                     continue
-                for w in range(f, l + 1):  # the group is large: its prefixes are whole windows
+                for w in range(f, l + 1):  # the group is large: its windows have longer prefixes
                     word = w + int(a.base[d])
-                    text = joined[int(starts[word]) : int(starts[word + width]) - 1]
-                    yield ids[row], marks[row], xxhash.xxh64_intdigest(text, k & 0xFFFFFFFF) - (1 << 63), text, w
+                    begin_at = int(starts[word])
+                    text = joined[begin_at : int(starts[word + width]) - 1]
+                    key = xxhash.xxh64_intdigest(joined[begin_at : int(starts[word + longer]) - 1], k & 0xFFFFFFFF) - (1 << 63)
+                    if larger and key in larger:
+                        key = xxhash.xxh64_intdigest(text, k & 0xFFFFFFFF) - (1 << 63)
+                    yield ids[row], marks[row], key, text, w
 
 
 _SUFFIX = pa.schema([("key", pa.int64()), ("text", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
@@ -305,7 +328,26 @@ def _print(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 5) - (1 << 63)
 
 
-def _emit_suffixes(width: int, large):
+def _count_longer(width: int, large):
+    """``key, n`` of the longer prefixes in large groups, added up by task as far as memory goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
+
+        for _, _, key, _, _ in _suffixes(batches, width, large.value, None):
+            held[key] = held.get(key, 0) + 1
+            if len(held) >= 500_000:
+                yield out()
+                held.clear()
+        yield out()
+
+    return run
+
+
+def _emit_suffixes(width: int, large, larger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list[int]] = {}
         size = 0
@@ -315,7 +357,7 @@ def _emit_suffixes(width: int, large):
             for i in range(0, len(rows), 20_000):
                 yield _packed(rows[i : i + 20_000], _SUFFIX)
 
-        for doc_id, _, key, text, _ in _suffixes(batches, width, large.value):
+        for doc_id, _, key, text, _ in _suffixes(batches, width, large.value, larger.value):
             span = held.get((key, text))
             if span is None:
                 held[key, text] = [doc_id, doc_id]
@@ -332,32 +374,60 @@ def _emit_suffixes(width: int, large):
     return run
 
 
+def shared_words(a: bytes, b: bytes) -> int:
+    """How many words two texts begin with in common; each word ends with a space."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the longest common beginning, by halving
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return a.count(b" ", 0, low)
+
+
+def internal_nodes(common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Internal nodes ``(depth, first leaf, last leaf)`` of a tree over sorted leaves, children first.
+
+    ``common[i]`` is what leaves ``i`` and ``i + 1`` share; nodes of depth 0 are left out.
+    """
+    path = [(0, 0)]  # depth and first leaf of the nodes above the leaf at hand
+    for i, depth in enumerate([*common, 0]):
+        first = i
+        while path[-1][0] > depth:
+            own, first = path.pop()
+            yield own, first, i
+        if path[-1][0] < depth:
+            path.append((depth, first))
+
+
 def subtree(group: dict[bytes, list[int]], width: int) -> Iterator[tuple[bytes, list[int]]]:
     """The least document of each window, for suffix texts that have a repeat.
 
-    ``group``: text to [least, largest] document. The suffixes at every window of the
-    texts are sorted; neighbours that share ``width`` words are below one node.
+    ``group``: text to [least, largest] document. The leaves are the suffixes at every
+    window of the texts. Nodes of ``width`` words or more are maximal repeats; of those
+    above a leaf the uppermost one holds all places of the leaf's window.
     """
     if len(group) == 1:
         ((text, (low, high)),) = group.items()
         if low < high:
             yield text, [low] * (text.count(b" ") + 2 - width)
         return
-    leaves = []
+    leaves, least = [], []
     for n, (text, (low, _)) in enumerate(group.items()):
-        words = text.split(b" ")
-        leaves += [(b" ".join(words[i : i + width]), low, n, i) for i in range(len(words) - width + 1)]
-    leaves.sort()
-    least: list[list[int]] = [[] for _ in group]
-    node, low = None, 0
-    placed = []
-    for edge, doc, n, i in leaves:  # the first leaf below a node has its least document
-        if edge != node:
-            node, low = edge, doc
-        placed.append((n, i, low))
-    placed.sort()
-    for n, _, low in placed:
-        least[n].append(low)
+        ended, at = text + b" ", 0
+        windows = text.count(b" ") + 2 - width
+        least.append([low] * windows)
+        for i in range(windows):
+            leaves.append((ended[at:], low, n, i))
+            at = ended.index(b" ", at) + 1
+    leaves.sort(key=lambda leaf: leaf[0])
+    common = [shared_words(a[0], b[0]) for a, b in zip(leaves, leaves[1:])]
+    for depth, first, last in internal_nodes(common):
+        if depth >= width:  # a node comes after those below it, so the uppermost has the last word
+            low = min(leaf[1] for leaf in leaves[first : last + 1])
+            for _, _, n, i in leaves[first : last + 1]:
+                least[n][i] = low
     for (text, (_, high)), found in zip(group.items(), least):
         if min(found) < high:
             yield text, found
@@ -388,10 +458,10 @@ def _own_suffixes(width: int):
     return run
 
 
-def _emit_places(width: int, large):
+def _emit_places(width: int, large, larger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for doc_id, mark, key, text, first in _suffixes(batches, width, large.value):
+        for doc_id, mark, key, text, first in _suffixes(batches, width, large.value, larger.value):
             rows.append((key, _print(text), doc_id, mark, first))
             if len(rows) >= 20_000:
                 yield _packed(rows, _PLACE)
@@ -429,10 +499,9 @@ def _remove(width: int):
     return run
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
     """A table in the shared folder, bucketed by document: joins on it leave texts where they are."""
     spark = df.sparkSession
-    name = f"tidemark_words_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     df.write.bucketBy(buckets, "doc_id", "mark").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -443,7 +512,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WIDTH,
-    group: int = GROUP,
+    group: int | None = None,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Remove words covered by a ``width``-word window that also starts in a smaller document.
@@ -454,18 +523,22 @@ def remove_repeats(
     texts lose nothing. A null id counts as larger than any other, and rows of one id
     are no smaller than each other; rows that repeat an id and its text get equal
     results. An empty table gives an empty result. Other columns are ignored.
-    ``group`` and ``block_words`` bound memory and do not change results. The list of
-    large groups that is broadcast has at most (suffixes / ``group``) entries of 8 bytes.
+    ``group`` and ``block_words`` bound memory and do not change results. By default a
+    group holds from 2 ** 12 suffixes at small inputs to 2 ** 18 at large ones. The lists
+    of large groups that are broadcast have at most (suffixes / ``group``) entries of 8
+    bytes. The result is written to the shared folder; nothing stays in the catalog.
     """
     spark = docs.sparkSession
-    buckets = parallelism(spark)
     narrow = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("mark"),
         F.col(text_col).cast("binary").alias("text"),
     )
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parallelism(spark), min(MOST_BUCKETS, size // BUCKET_BYTES))
+    group = group or max(GROUPS[0], min(GROUPS[1], size // 30 // LISTED))
     counted = narrow.mapInArrow(_count_prefixes(width, buckets, block_words), COUNTED)
-    owned = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own_prefixes(group), COUNTED)
+    owned = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_own_prefixes(group), COUNTED)
     owned = shared_table(owned, "prefixes")
     large = [np.frombuffer(r.a, U64) for r in owned.where("kind = 'L'").select("a").collect()]
     large = spark.sparkContext.broadcast(np.concatenate([np.zeros(0, U64), *large]))
@@ -473,15 +546,23 @@ def remove_repeats(
     chosen = owned.where("kind <> 'L'").groupBy("block").applyInArrow(_to_documents, CHOSEN)
     chosen = chosen.groupBy("doc_id", "mark").agg(F.first("ords").alias("ords"))
     texts = narrow.join(chosen, ["doc_id", "mark"], "left")
-    words = _bucketed(texts.mapInArrow(_words_joined, "doc_id long, mark long, words binary, ords binary"), buckets)
+    name = f"tidemark_words_{uuid.uuid4().hex}"
+    words = _bucketed(texts.mapInArrow(_words_joined, "doc_id long, mark long, words binary, ords binary"), name, parallelism(spark))
 
     held = words.where("ords is not null")
-    suffixes = held.mapInArrow(_emit_suffixes(width, large), "key long, text binary, low long, high long")
+    larger = []
+    if len(large.value):
+        longer = held.mapInArrow(_count_longer(width, large), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        larger = [r.key for r in longer.where(F.col("n") > group).select("key").collect()]
+    larger = spark.sparkContext.broadcast(frozenset(larger))
+    suffixes = held.mapInArrow(_emit_suffixes(width, large, larger), "key long, text binary, low long, high long")
     found = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_own_suffixes(width), "key long, print long, least array<long>")
     found = shared_table(found, "repeats")
-    places = held.mapInArrow(_emit_places(width, large), "key long, print long, doc_id long, mark long, first long")
+    places = held.mapInArrow(_emit_places(width, large, larger), "key long, print long, doc_id long, mark long, first long")
     starts = F.expr("transform(filter(sequence(0, size(least) - 1), i -> least[i] < doc_id), i -> first + i)")
     hits = places.join(found, ["key", "print"]).select("doc_id", "mark", starts.alias("starts")).where("size(starts) > 0")
     hits = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     result = words.drop("ords").join(hits, ["doc_id", "mark"], "left").mapInArrow(_remove(width), OUT)
+    result = shared_table(result, "without-repeats")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return result.withColumnRenamed("doc_id", id_col)
