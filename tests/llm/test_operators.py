@@ -85,8 +85,10 @@ def test_directory_doubles_until_buckets_fit():
     assert directory == sorted(directory) and all(n <= 10 or n == 100 for n in sizes.values())
 
 
-@pytest.mark.parametrize("which", ["docs", "small"])
-def test_line_dedup(which, request):
+@pytest.mark.parametrize(("which", "joined"), [("docs", 16), ("docs", 0), ("docs", 1000), ("small", 16), ("small", 3)])
+def test_line_dedup(which, joined, request, monkeypatch):
+    """All by windows, all by joined positions, and both: the same lines go."""
+    monkeypatch.setattr(line_dedup, "JOINED", joined)
     df = request.getfixturevalue(which)
     want = brute.line_runs(rows_of(df))
     got = line_dedup.line_dedup(df, report=True).collect()

@@ -1,16 +1,18 @@
 """Removal of repeated runs of lines, by winnowing.
 
 Lines with text are hashed; of each window of ``run_lines`` lines the least hash (the
-leftmost of equals) is a fingerprint. Equal windows choose the same line, so a run of
-``run_lines`` or more lines that repeats shares a fingerprint: a window whose
-fingerprint occurs once repeats nowhere. Positions are joined on fingerprints that
-occur again; a match is extended line by line to both sides, that is over every
-window whose fingerprint it is, and each window is compared with the first place in
-the corpus that has it. The matched windows of a document together are its maximal
-repeated runs.
+leftmost of equals) is a fingerprint. Equal windows choose the same line, so two runs of
+``run_lines`` or more equal lines share the fingerprint of every window. Only the chosen
+positions travel, each with the ``run_lines - 1`` line hashes before and after it.
+
+Positions of one fingerprint are joined pairwise where it occurs up to ``JOINED`` times:
+a match is extended to both sides line by line and deletes the later place's lines if
+``run_lines`` or more agree. A fingerprint that occurs more often (a common line) is told
+apart by whole windows: those that hold it are grouped by their lines, and each is
+compared with the first place in the corpus that has it. Both delete the same runs.
 
 Everything is DataFrame operations. First places are minima with partial aggregation,
-so a common line costs a task one row, and joins have one row per window on one side.
+so a common line costs a task one row a window, and joined groups are bounded.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import shared_table
 
 RUN_LINES = 3
+JOINED = 16  # positions of a fingerprint that are joined pairwise; more are told apart by windows
 BLANKS = " \t\x0b\x0c\r"
 NO_ID = (1 << 63) - 1
 
@@ -39,33 +42,80 @@ def _word_count(line: Column) -> Column:
     return F.size(F.split(line, r"[\x20\x09-\x0D]+"))
 
 
-def _windows(docs: DataFrame, run_lines: int, long_words: int | None) -> DataFrame:
-    """Each window: its document, size, start, fingerprint and 128 bits over its lines.
-
-    Windows of fewer than ``run_lines`` lines are there if they hold ``long_words``.
-    """
-    least_lines = run_lines if long_words is None else 1
+def _own_lines(docs: DataFrame, least_lines: int) -> DataFrame:
+    """Documents of ``least_lines`` lines with text or more: their lines, hashes and word counts."""
     own = docs.select("doc_id", "mark", _with_text(_lines(F.col("text"))).alias("own")).where(F.size("own") >= least_lines)
     own = own.select("doc_id", "mark", F.transform("own", lambda x: x["line"]).alias("line"))
-    hashed = F.transform("line", lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at")))
-    own = own.select("doc_id", "mark", "line", hashed.alias("hashed"), F.transform("line", _word_count).alias("words"))
+    return own.withColumn("h", F.transform("line", lambda x: F.xxhash64(x)))
+
+
+def _positions(docs: DataFrame, run_lines: int) -> DataFrame:
+    """Each window's least hash: its document, place and the line hashes around it."""
+    own = _own_lines(docs, run_lines).drop("line")
+    own = own.withColumn("hashed", F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    starts = F.sequence(F.lit(0), F.size("h") - run_lines)
+    chosen = F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice("hashed", s + 1, run_lines))))
+    rows = own.select("doc_id", "mark", "h", F.explode(chosen).alias("c"))
+    at, around = F.col("c.at"), run_lines - 1
+    left = F.slice("h", F.greatest(at - around, F.lit(0)) + 1, F.least(at, F.lit(around)))
+    return rows.select("doc_id", "mark", F.col("c.h").alias("print"), at.alias("at"), left.alias("left"), F.slice("h", at + 2, around).alias("right"))
+
+
+def _short_windows(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
+    """Windows of fewer than ``run_lines`` lines that hold ``long_words``: place, size and 128 bits over the lines."""
+    own = _own_lines(docs, 1).withColumn("words", F.transform("line", _word_count)).drop("line")
 
     def windows(size: int) -> Column:
-        def window(s: Column) -> Column:
-            least = F.array_min(F.slice("hashed", s + 1, size))
-            lines = F.slice("line", s + 1, size)
-            return F.struct(
-                F.lit(size).alias("size"), least["h"].alias("print"), least["at"].alias("at"), s.cast("int").alias("start"),
-                F.xxhash64(F.lit(1), lines).alias("k1"), F.xxhash64(F.lit(2), lines).alias("k2"),
-            )
+        starts = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.array().cast("array<int>"))
+        long = F.filter(starts, lambda s: F.aggregate(F.slice("words", s + 1, size), F.lit(0), lambda a, n: a + n) >= long_words)
+        return F.transform(long, lambda s: _window(F.slice("h", s + 1, size), s.cast("int"), size))
+
+    return own.select("doc_id", "mark", F.explode(F.concat(*map(windows, range(1, run_lines)))).alias("w")).select("doc_id", "mark", "w.*")
+
+
+def _window(hashes: Column, start: Column, size: int) -> Column:
+    return F.struct(F.lit(size).alias("size"), start.alias("start"), F.xxhash64(F.lit(1), hashes).alias("k1"), F.xxhash64(F.lit(2), hashes).alias("k2"))
+
+
+def _extended(a: Column, b: Column, sign: int, most: int) -> Column:
+    """How many hashes of two arrays agree, from their ends (``sign`` -1) or beginnings on."""
+    reach = F.lit(0)
+    for n in range(1, most + 1):
+        same = F.try_element_at(a, F.lit(sign * n)) == F.try_element_at(b, F.lit(sign * n))
+        reach = F.when((reach == n - 1) & same, n).otherwise(reach)
+    return reach
 
-        starts = F.when(F.size("line") >= size, F.sequence(F.lit(0), F.size("line") - size)).otherwise(F.array().cast("array<int>"))
-        if size < run_lines:
-            starts = F.filter(starts, lambda s: F.aggregate(F.slice("words", s + 1, size), F.lit(0), lambda a, n: a + n) >= long_words)
-        return F.transform(starts, window)
 
-    sizes = range(least_lines, run_lines + 1)
-    return own.select("doc_id", "mark", F.explode(F.concat(*map(windows, sizes))).alias("w")).select("doc_id", "mark", "w.*")
+def _joined(positions: DataFrame, run_lines: int) -> DataFrame:
+    """``doc_id, mark, line`` of later places among the few positions of each fingerprint."""
+    place = F.struct("doc_id", "mark", "at", "left", "right")
+    groups = positions.groupBy("print").agg(F.array_sort(F.collect_list(place)).alias("own"))
+
+    def lost(later: Column, n: Column) -> Column:
+        """Lines of the ``n``-th place (from 0) that it shares with an earlier one."""
+
+        def lines(earlier: Column) -> Column:
+            before = _extended(earlier["left"], later["left"], -1, run_lines - 1)
+            after = _extended(earlier["right"], later["right"], 1, run_lines - 1)
+            same = (earlier["doc_id"] == later["doc_id"]) & (earlier["mark"] == later["mark"])
+            apart = ~same | (later["at"] - earlier["at"] >= run_lines)
+            none = F.array().cast("array<int>")
+            return F.when(apart & (before + after + 1 >= run_lines), F.sequence(later["at"] - before, later["at"] + after)).otherwise(none)
+
+        return F.struct(later["doc_id"].alias("doc_id"), later["mark"].alias("mark"), F.array_distinct(F.flatten(F.transform(F.slice("own", 1, n), lines))).alias("lines"))
+
+    found = groups.select(F.explode(F.transform("own", lost)).alias("x")).select("x.*")
+    return found.select("doc_id", "mark", F.explode("lines").alias("line"))
+
+
+def _grouped(windows: DataFrame) -> DataFrame:
+    """``doc_id, mark, line`` of windows whose lines are at an earlier place."""
+    first = windows.groupBy("size", "k1", "k2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
+    first = shared_table(first.where("n > 1").select("size", "k1", "k2", "first"), "line-first")
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    later = ~same | (F.col("start") - F.col("first.start") >= F.col("size"))
+    hits = windows.join(first, ["size", "k1", "k2"]).where(later)
+    return hits.select("doc_id", "mark", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line"))
 
 
 def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
@@ -73,18 +123,22 @@ def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int
 
     ``gone`` numbers the lines to delete among the lines with text, from 0.
     """
-    windows = shared_table(_windows(docs, run_lines, long_words), "line-windows")
+    positions = shared_table(_positions(docs, run_lines), "line-positions")
     place = F.struct("doc_id", "mark", "at")
-    prints = windows.groupBy("size", "print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    prints = shared_table(prints.where("low <> high").select("size", "print"), "line-prints")
-    matched = windows.join(prints, ["size", "print"]).select("doc_id", "mark", "size", "start", "k1", "k2")
-    first = matched.groupBy("size", "k1", "k2").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n"))
-    first = shared_table(first.where("n > 1").select("size", "k1", "k2", "first"), "line-first")
-    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    later = ~same | (F.col("start") - F.col("first.start") >= F.col("size"))
-    hits = matched.join(first, ["size", "k1", "k2"]).where(later)
-    gone = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
-    return hits.select("doc_id", "mark", gone.alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
+    prints = positions.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
+    prints = shared_table(prints.where("low <> high").select("print", (F.col("n") > JOINED).alias("common")), "line-prints")
+    again = shared_table(positions.join(prints, "print"), "line-again")
+    lines = _joined(again.where("not common"), run_lines)
+
+    context = F.concat("left", F.array("print"), "right")
+    starts = F.sequence(F.lit(0), F.size("context") - run_lines)
+    common = again.where("common").select("doc_id", "mark", (F.col("at") - F.size("left")).alias("begin"), context.alias("context"))
+    windows = common.select("doc_id", "mark", F.explode(F.transform(starts, lambda s: _window(F.slice("context", s + 1, run_lines), F.col("begin") + s, run_lines))).alias("w"))
+    windows = windows.select("doc_id", "mark", "w.*")
+    if long_words is not None:
+        windows = windows.unionByName(_short_windows(docs, run_lines, long_words))
+    lines = lines.unionByName(_grouped(shared_table(windows, "line-windows")))
+    return lines.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
 
 
 def line_dedup(
