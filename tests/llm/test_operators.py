@@ -120,6 +120,19 @@ def test_quality_cleans_lines_first(spark):
     assert [(r.doc_id, r.text.strip()) for r in got] == [(1, prose)]
 
 
+def test_quality_rules_in_four_languages():
+    long = b"words without any end of a sentence in a line that is too long for a heading"
+    verdicts = {
+        "Startseite Anmelden Menü": "navigation", "Accueil Connexion": "navigation", "Inicio Iniciar sesión": "navigation", "Alle Rechte vorbehalten": "boilerplate",
+        "Tous droits réservés": "boilerplate", "Todos los derechos reservados": "boilerplate", "Weiterhin": "keep", "Der Weg führt weiter nach Norden.": "keep",
+    }
+    for line, want in verdicts.items():
+        assert quality.line_verdict(line.encode(), line.encode().split()) == want, line
+    assert quality.line_verdict(long, long.split()) == "punctuation"
+    wrapped = b"end of one. " + long  # text that is wrapped in the middle of a sentence
+    assert quality.line_verdict(wrapped, wrapped.split()) == "keep"
+
+
 @pytest.mark.parametrize("which", ["docs", "small"])
 def test_token_counts(which, request):
     from tokenizers import Tokenizer

@@ -2,8 +2,8 @@
 
 Each line is judged alone: a line fails if it is navigation (mostly menu separators
 or links), boilerplate (a notice of the site rather than of the text) or wrong in its
-punctuation: as many symbols as words, or no end of a sentence in a line too long for
-a heading. Failing lines are removed,
+punctuation: as many symbols as words, or no end of a sentence, at its end or within, in a line
+too long for a heading. Words of menus and notices are those of four languages. Failing lines are removed,
 and a document that loses too much of its text is rejected. Base measures of the
 whole text come first.
 """
@@ -26,11 +26,23 @@ MAX_LOST_PERCENT = 50
 HEADING_WORDS = 12
 
 MARKS = re.compile(rb"[|>]|\xc2\xbb|\xe2\x80\xa2")
-NAVIGATION = re.compile(rb"(?i)\b(home|login|log in|sign in|sign up|register|menu|next|previous|back to top|share|tweet|subscribe)\b")
-BOILERPLATE = re.compile(
-    rb"(?i)(cookie|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|lorem ipsum|copyright \d{4})"
+#: Words of menus and of site notices in English, German, French and Spanish.
+MENU_WORDS = (
+    "home|login|log in|sign in|sign up|register|menu|next|previous|back to top|share|tweet|subscribe|"
+    "startseite|anmelden|abmelden|registrieren|menü|weiter|zurück|nach oben|teilen|abonnieren|"
+    "accueil|connexion|inscription|suivant|précédent|haut de page|partager|s'abonner|"
+    "inicio|iniciar sesión|registrarse|menú|siguiente|anterior|volver arriba|compartir|suscribirse"
 )
-ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode(), "。".encode())
+NOTICES = (
+    r"cookie|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|lorem ipsum|copyright \d{4}|"
+    "nutzungsbedingungen|datenschutzerklärung|alle rechte vorbehalten|hier klicken|impressum|"
+    "conditions d'utilisation|politique de confidentialité|tous droits réservés|cliquez ici|mentions légales|"
+    "términos (de uso|y condiciones)|política de privacidad|todos los derechos reservados|haga clic aquí|aviso legal"
+)
+NAVIGATION = re.compile(rb"(?i)(?<![\w\x80-\xff])(" + MENU_WORDS.encode() + rb")(?![\w\x80-\xff])")
+BOILERPLATE = re.compile(rb"(?i)(" + NOTICES.encode() + rb")")
+ENDS = tuple(x.encode() for x in (*".!?:;\"')", "…", "”", "“", "’", "»", "。", "！", "？", "؟", "।"))
+SENTENCE_END = re.compile(rb"[.!?](\s|$)|" + "…|。|！|？|؟|।".encode())
 
 
 def line_verdict(line: bytes, words: list[bytes]) -> str:
@@ -44,7 +56,7 @@ def line_verdict(line: bytes, words: list[bytes]) -> str:
         return "boilerplate"
     if len(line) - len(line.translate(None, SYMBOLS)) >= max(3, len(words)):
         return "punctuation"
-    if len(words) > HEADING_WORDS and not line.rstrip().endswith(ENDS):
+    if len(words) > HEADING_WORDS and not line.rstrip().endswith(ENDS) and not SENTENCE_END.search(line):
         return "punctuation"
     return "keep"
 
@@ -120,6 +132,7 @@ VERDICT_TYPE = (
 
 
 def _runner(text_at: int, cleaned: bool):
+    """Rows with their texts cleaned, or the other columns with the verdict alone."""
     fields = FIELDS if cleaned else FIELDS[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +145,8 @@ def _runner(text_at: int, cleaned: bool):
                 text = pa.array([t if a + b + c == 0 else x for t, a, b, c, x in lost], type=pa.binary())
                 new[-1] = text.cast(pa.string())
             names = [n for n, _ in fields]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            held = [i for i in range(batch.num_columns) if cleaned or i != text_at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in held], *new], names=[*[batch.schema.names[i] for i in held], *names])
 
     return run
 
@@ -148,8 +162,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text"))
     kind = narrow.schema[0].dataType.simpleString()
-    out = narrow.mapInArrow(_runner(1, False), f"`{id_col}` {kind}, __text binary, {VERDICT_TYPE}")
-    return out.drop("__text")
+    return narrow.mapInArrow(_runner(1, False), f"`{id_col}` {kind}, {VERDICT_TYPE}")
 
 
 def clean_by_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
