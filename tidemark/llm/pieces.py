@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 BLOCK_CHARS = 1 << 20  # texts encoded together
 LONG_PART = 64
-REMEMBERED_CHARS = 6_000_000  # of parts, in each of two generations
+REMEMBERED_CHARS = 3_000_000  # of parts, in each of two generations
 PAIR_BITS = 20
 
 codecs.register_error("tidemark-each-byte", lambda e: ("�" * (e.end - e.start), e.end))

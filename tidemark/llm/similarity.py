@@ -36,7 +36,8 @@ WIDTH = 5
 SIMILARITY = (4, 5)  # at least four fifths
 BANDS, ROWS = 25, 6
 RUN_ALL, RUN_NEAR = 16, 4
-CHUNK = 4096
+CHUNK = 1024
+TEXTS_AT_ONCE = 500
 BLOCK, PROBES = 128, 1024  # texts held and texts compared with them in one unit of the second step
 
 
@@ -77,13 +78,15 @@ _FACTORS = _factors()
 
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        if not sets:
-            continue
-        keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
-        node = np.repeat(batch.column(0).to_numpy(), BANDS)
-        size = np.repeat(np.array([len(s) for s in sets], np.int64), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size)], names=["key", "node", "size"])
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(at, TEXTS_AT_ONCE)
+            keys, sizes = [], []
+            for text in part.column(1):  # one text's shingles at a time
+                parts = shingles(text.as_py())
+                keys.append(band_keys(parts))
+                sizes.append(len(parts))
+            node, size = np.repeat(part.column(0).to_numpy(), BANDS), np.repeat(np.array(sizes, np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size)], names=["key", "node", "size"])
 
 
 _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("size", pa.int64())])
@@ -135,9 +138,9 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = lru_cache(256)(shingles)
+    known = lru_cache(64)(shingles)
     for batch in batches:
-        keep = [similar(known(a), known(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        keep = [similar(known(a.as_py()), known(b.as_py())) for a, b in zip(batch.column(2), batch.column(3))]
         out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
         if out.num_rows:
             yield out
