@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with SQL that gives the same rows."""
 
-from tidemark.catalogue import diagnostics, exchange, fields, functions, interpolation, series, surface
+from tidemark.catalogue import diagnostics, exchange, fields, functions, interpolation, registries, series, surface, tiles
 from tidemark.catalogue.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "diagnostics", "exchange", "fields", "functions", "interpolation", "series", "surface"]
+__all__ = ["QUERIES", "SQL", "diagnostics", "exchange", "fields", "functions", "interpolation", "registries", "series", "surface", "tiles"]

@@ -263,7 +263,11 @@ def overlap_deviation(spark, folder):
     return out.select("dst", F.round("deviation", 4).alias("deviation"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT s_suppkey, s_suppkey % 12 * 10 - 55.0::DOUBLE AS y FROM supplier),
+v AS (SELECT * FROM (VALUES (0, -5, -3), (1, -3, -5), (2, 3, -5), (3, 5, -3), (4, 5, 3), (5, 3, 5), (6, -3, 5), (7, -5, 3)) t(n, a, b)),
+e AS (SELECT s_suppkey, radians((q.a - p.a)::DOUBLE) AS dx, radians(y + p.b) AS one, radians(y + q.b) AS two FROM s, v p JOIN v q ON q.n = (p.n + 1) % 8)
+SELECT s_suppkey AS src, s_suppkey AS dst, round(-sum(dx * sin((one + two) / 2) * CASE WHEN one = two THEN 1 ELSE sin((one - two) / 2) / ((one - two) / 2) END), 9) AS area FROM e GROUP BY s_suppkey""")
 def polygon_overlap(spark, folder):
     """Overlap areas of a rotated square per supplier with the 10-degree box it is centred in."""
     deg = math.pi / 180
@@ -277,7 +281,7 @@ def polygon_overlap(spark, folder):
     return regrid.clip_overlaps(pairs).select("src", "dst", F.round("w", 9).alias("area"))
 
 
-@query()
+@query("SELECT c_custkey, round((c_custkey % 5) * (1 + c_custkey % 11 / 11.0::DOUBLE) + 2 * (1 + c_custkey % 7 / 7.0::DOUBLE), 6) AS value FROM customer")
 def regrid_bicubic(spark, folder):
     points = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 11 / 11.0).alias("t"), (F.col("c_custkey") % 7 / 7.0).alias("u"))
     shape = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: ((n % 4) * (F.col("c_custkey") % 5) + F.floor(n / 4) * 2).cast("double"))

@@ -81,7 +81,14 @@ def spline_1d(spark, folder):
     return nb.spline(df.select("p_brand", F.col("s").cast("double").alias("x"), "y"), targets, ["p_brand"]).select("p_brand", "at", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (SELECT l_suppkey, l_linenumber AS k, max(l_quantity) AS d FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY k) AS n, count(*) OVER (PARTITION BY l_suppkey) AS last FROM g),
+down(l_suppkey, n, e, f) AS (SELECT l_suppkey, n, 1 / 4.0::DOUBLE, d / 4.0::DOUBLE FROM r WHERE n = 1
+ UNION ALL SELECT r.l_suppkey, r.n, 1 / (4 - e), (d - f) / (4 - e) FROM down JOIN r ON r.l_suppkey = down.l_suppkey AND r.n = down.n + 1),
+up(l_suppkey, n, x) AS (SELECT l_suppkey, n, f FROM down JOIN r USING (l_suppkey, n) WHERE n = last
+ UNION ALL SELECT down.l_suppkey, down.n, f - e * x FROM up JOIN down ON down.l_suppkey = up.l_suppkey AND down.n = up.n - 1)
+SELECT l_suppkey, k, round(x, 9) AS x FROM up JOIN r USING (l_suppkey, n)""")
 def tridiag_solve(spark, folder):
     df = table(spark, folder, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("k")).agg(F.max("l_quantity").alias("d"))
     df = df.select("l_suppkey", "k", F.lit(1.0).alias("a"), F.lit(4.0).alias("b"), F.lit(1.0).alias("c"), "d")
