@@ -144,14 +144,25 @@ def _ends(f: OutputFile, base: int, time: Column) -> Column:
     return phase_end(time, phases)
 
 
-def output(plan: Plan, name: str, source: DataFrame, time: str, cells: list[str], variable: str, value: str, z: str | None = None, weight: str | None = None) -> DataFrame:
+def output(
+    plan: Plan, name: str, source: DataFrame, time: str, cells: list[str], variable: str, value: str,
+    z: str | None = None, weight: str | None = None, late: str = "1 millisecond",
+) -> DataFrame:
     """The rows of one output file: ``window_end`` (microseconds), cells, a column a variable.
 
     Diurnal variables add the column ``section``; each section is divided by the window's
-    samples by the number of sections. Works on batch and streaming sources
-    (a stream needs a watermark on its time column; its windows then close in order).
+    samples by the number of sections. Attributes of a variable are its column's metadata.
+
+    The source may be a stream without a watermark. A window of it closes once a sample
+    has come whose own window ends later by ``late`` or more, which is a millisecond at
+    least, or a window would close at its own first sample; windows close in order, and
+    ``tidemark.streaming.windows.finish_plan`` writes the last. Diurnal variables and windows that
+    end with the run need the whole window at once and are an error on a stream.
     """
     f = next(x for x in plan.files if x.name == name)
+    streaming = source.isStreaming
+    if streaming and (f.freq[0] == -1 or any(v.method.startswith("diurnal") for v in f.variables)):
+        raise ValueError(f"{name}: diurnal variables and windows of the whole run are not made from a stream")
     base = _base_micros(plan.base)
     t = micros(F.col(time))
     rows = source.where(F.col(variable).isin([v.name for v in f.variables])).where(t > base)
@@ -167,6 +178,9 @@ def output(plan: Plan, name: str, source: DataFrame, time: str, cells: list[str]
     if len(n) > 1:
         raise ValueError(f"{name}: one number of diurnal sections a file")
     keys = ["window_end", *cells]
+    if streaming:
+        rows = rows.withColumn("window_time", F.timestamp_micros("window_end")).withWatermark("window_time", late)
+        keys[0] = "window_time"
     if n:
         rows = rows.withColumn("section", section(t, n.pop()))
         keys.append("section")
@@ -179,11 +193,13 @@ def output(plan: Plan, name: str, source: DataFrame, time: str, cells: list[str]
         if v.method.startswith("diurnal"):
             w = F.when(x.isNotNull(), F.col(weight) if weight else F.lit(1.0))
             aggregates += [F.sum(x * w).alias(f"__sum_{v.output}"), F.sum(w).alias(f"__n_{v.output}")]
-            shares.append(even_share(f"`__sum_{v.output}`", f"`__n_{v.output}`", ["window_end", *cells], int(v.method[7:])).alias(v.output))
+            shares.append(even_share(f"`__sum_{v.output}`", f"`__n_{v.output}`", ["window_end", *cells], int(v.method[7:])).alias(v.output, metadata=v.attributes))
             continue
         method = v.method
-        aggregates.append(reduction(method, x, F.when(chosen, F.col(time)), F.col(weight) if weight else None).alias(v.output))
+        aggregates.append(reduction(method, x, F.when(chosen, F.col(time)), F.col(weight) if weight else None).alias(v.output, metadata=v.attributes))
     out = rows.groupBy(*keys).agg(*aggregates)
+    if streaming:
+        return out.select(F.unix_micros("window_time").alias("window_end"), *[c for c in out.columns if c != "window_time"])
     if not shares:
         return out
     return out.select(*keys, *[c for c in out.columns if c not in keys and not c.startswith("__")], *shares)
@@ -207,7 +223,12 @@ def write_output(plan: Plan, name: str, rows: DataFrame, path: str) -> None:
         write_rotating(rows, f.name, f.name_freq, _base_micros(plan.base), path)
 
 
+def with_file_name(df: DataFrame, template: str, freq: int, base: int) -> DataFrame:
+    """Windows with the column ``file``: the template stamped with the begin of the file they belong to."""
+    begin = F.timestamp_micros(file_begin(F.col("window_end"), base, freq)).cast("timestamp_ntz")
+    return df.withColumn("file", file_name(template, begin))
+
+
 def write_rotating(df: DataFrame, template: str, freq: int, base: int, path: str) -> None:
     """Write windows as Parquet partitioned by file name, the name stamped with the file's begin."""
-    begin = F.timestamp_micros(file_begin(F.col("window_end"), base, freq)).cast("timestamp_ntz")
-    df.withColumn("file", file_name(template, begin)).write.partitionBy("file").mode("append").parquet(path)
+    with_file_name(df, template, freq, base).write.partitionBy("file").mode("append").parquet(path)
