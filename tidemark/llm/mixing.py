@@ -3,7 +3,7 @@
 Targets: the sources share the corpus's size by weight; a source is filled up to a
 multiple of its own size and the excess goes to the others by weight, until none is
 above (water filling). Sorted by limit over weight the filled sources come first, so
-one running sum over the table of sources finds the level.
+running sums over the distinct ratios find the level.
 
 Sampling: a row's key is an exponential variate divided by its quality weight; the
 rows of a source in key order are a weighted sample without replacement. A source
@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_table
+from tidemark.llm.shared import shared_table, with_ranks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
 CELLS_AN_OCTAVE, BLOCK_BITS = 4096, 9
+CELLS_A_RATIO_OCTAVE = 64
 LEAST_WEIGHT = 1e-9
 SYMBOLS = "#*$%&|<>"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -68,26 +69,32 @@ def cell_of(key: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple[float, ...], limit: float) -> DataFrame:
     """``sources(source, source_size)`` with ``target``: one row per source, null last.
 
-    The windows order the table of sources, not the rows of the corpus.
+    The level of the water is that of the first ratio of limit to weight which it does
+    not exceed. Sources of one ratio are one row of the running sums, so ties share one
+    level. Sums run over cells of the ratio's logarithm and then within a cell; no task
+    holds all sources. An empty or textless table has targets of 0.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    order = [F.col("source").isNull().alias("last"), F.col("source").cast("binary").alias("bytes")]
+    s = with_ranks(sources, order)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = sources.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    s = s.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
     s = s.withColumn("most", F.lit(float(limit)) * F.col("source_size"))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    s = (
-        s.withColumn("total", F.sum(F.col("source_size").cast("double")).over(everything))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("filled", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("used", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("filled")) / (F.col("all_weight") - F.col("used")))
-        .withColumn("above", F.col("level") * F.col("weight") > F.col("most"))
-    )
-    # the first source that is not above sets the level for it and all after it
-    s = s.withColumn("level", F.min(F.when(~F.col("above"), F.struct(F.col("most") / F.col("weight"), "level"))).over(everything)["level"])
-    return s.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    s = shared_table(s.withColumn("ratio", F.col("most") / F.col("weight")), "mix-sources")
+
+    total, all_weight = s.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    cell = F.when(F.col("ratio") > 0, F.floor(F.log2("ratio") * CELLS_A_RATIO_OCTAVE)).otherwise(-(1 << 20)).cast("int")
+    ratios = s.groupBy("ratio").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight")).withColumn("cell", cell)
+    cells = ratios.groupBy("cell").agg(F.sum("most").alias("cell_most"), F.sum("weight").alias("cell_weight"))
+    earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # some 64 rows an octave of ratios
+    cells = cells.select("cell", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"before_{c}") for c in ("cell_most", "cell_weight")])
+    upto = Window.partitionBy("cell").orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.coalesce(F.sum(c).over(upto), F.lit(0.0)).alias(f"in_{c}") for c in ("most", "weight")]
+    ratios = ratios.select("cell", "ratio", *within).join(cells, "cell")
+    left = F.lit(total) - F.col("before_cell_most") - F.col("in_most")
+    level = left / (F.lit(all_weight) - F.col("before_cell_weight") - F.col("in_weight"))
+    found = ratios.withColumn("level", level).where("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("least")).first()["least"]
+    fair = F.least("most", F.lit(found["level"]) * F.col("weight")) if found else F.col("most")
+    return s.select("source", "source_size", fair.alias("target"))
 
 
 def mix_sources(

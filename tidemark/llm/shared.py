@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,3 +40,26 @@ def shared_table(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_ranks(df: DataFrame, order: list[Column], groups: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``rank``: the position, from 0, of each row in its group by ``order``.
+
+    ``order`` are expressions over ``df`` that begin with the groups' own order. Rows
+    are dealt by ranges and sorted within them; a position is the row's place in its
+    range plus the counts of the ranges before, so no group, however large, is sorted
+    in one task. Rows that tie in all of ``order`` share a range.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    placed = shared_table(placed.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", 33).alias("_part")
+    counts = placed.groupBy(*groups, part).agg(F.count("*").alias("_count"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    counts = counts.select("_first", "_before", F.col("_part").alias("_of"), *[F.col(g).alias(f"_of_{g}") for g in groups])
+    same = part == F.col("_of")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    ranked = placed.join(counts, same)
+    return ranked.select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_before")).alias("rank"))
