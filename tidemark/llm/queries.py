@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.licenses import licenses_sql, scan_licenses
 from tidemark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from tidemark.llm.merkle import MERKLE_SQL, merkle_manifest, tampered
 from tidemark.llm.mixing import mix_sources, text_quality
 from tidemark.llm.pieces import encode_documents
 from tidemark.llm.quality import quality_rules
@@ -73,11 +74,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle_manifest(documents(spark, sf_dir), claims=tampered())
+    digest = F.sha2(F.concat_ws("", "proof"), 256)
+    return manifest.select("doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_exact_dedup,
         op6_license_scan, op7_sentencepiece, op8_substring_dedup, op9_url_filter, op10_simhash,
+        op12_merkle_manifest,
     )
 }
 
@@ -92,4 +100,5 @@ SQL: dict[str, str] = {
     "op5_exact_dedup": EXACT_DEDUP_SQL,
     "op6_license_scan": licenses_sql(),
     "op9_url_filter": URL_FILTER_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
