@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import parallelism, shared_table, with_ranks
+from tidemark.llm.sql import crc32_sql
 
 ARITY = 2
 BAND = 10
@@ -292,13 +293,6 @@ def tampered(id_col: str = "doc_id", value_col: str = "n_chars", every: int = 7)
     return {value_col: F.when(hit, F.col(value_col) + 1).otherwise(F.col(value_col))}
 
 
-def crc32_sql(text: str) -> str:
-    """DuckDB's expression for the unsigned CRC-32 of an ASCII text."""
-    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
-    turn = "CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, s: {turn}), 4294967295)"
-
-
 _FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR, '-')"
 _LEAF = " || ".join(_FIELD.format(c) for c in COLUMNS)
 _CLAIM = _LEAF.replace("(n_chars)", f"(n_chars + CASE WHEN coalesce({crc32_sql('doc_id::VARCHAR')} % 7 = 0, false) THEN 1 ELSE 0 END)")

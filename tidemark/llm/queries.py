@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversations import TRIE_SQL, conversation_trie
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.language import identify_languages
 from tidemark.llm.licenses import licenses_sql, scan_licenses
 from tidemark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from tidemark.llm.merkle import MERKLE_SQL, merkle_manifest, tampered
@@ -74,18 +76,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = merkle_manifest(documents(spark, sf_dir), claims=tampered())
     digest = F.sha2(F.concat_ws("", "proof"), 256)
     return manifest.select("doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_exact_dedup,
         op6_license_scan, op7_sentencepiece, op8_substring_dedup, op9_url_filter, op10_simhash,
-        op12_merkle_manifest,
+        op11_language_id, op12_merkle_manifest, op13_conversation_trie,
     )
 }
 
@@ -101,4 +111,5 @@ SQL: dict[str, str] = {
     "op6_license_scan": licenses_sql(),
     "op9_url_filter": URL_FILTER_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
+    "op13_conversation_trie": TRIE_SQL,
 }
