@@ -46,6 +46,23 @@ def test_stream_of_a_plan_equals_batch(spark, tmp_path, name, columns):
         assert "file" in read_plan(source, name, out).columns
 
 
+@pytest.mark.parametrize("name", ["a", "m%4yr%2mo"])
+@pytest.mark.parametrize("runs", [0, 1])
+def test_a_stream_that_closes_nothing(spark, tmp_path, name, runs):
+    """No batch at all, or one that leaves every window open: the end writes them, once."""
+    plan, out = parse_plan(PLAN), str(tmp_path / "out")
+    samples(spark, 1, 4).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    for _ in range(runs):
+        stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+        write_plan(plan, name, stream, out, str(tmp_path / "check"), *COLUMNS).awaitTermination()
+    want = sorted(map(str, output(plan, name, source, *COLUMNS).drop("file").collect()))
+    for _ in range(2):
+        finish_plan(plan, name, source, out, *COLUMNS)
+        got = read_plan(source, name, out)
+        assert sorted(map(str, got.select(output(plan, name, source, *COLUMNS).columns).collect())) == want and want
+
+
 def test_a_stream_makes_no_diurnal_file(spark, tmp_path):
     samples(spark, 1, 5).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(samples(spark, 1, 2).schema).parquet(str(tmp_path / "in"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
+from tidemark.functions.tables import scratch_folder
 from tidemark.operators import fields as op
+from tidemark.sources import arrays
 
 
 def lines(spark, folder):
@@ -159,3 +163,12 @@ def vertical_linear(spark, folder):
     target = _column(spark, folder, 8, 7.0, False).select("col", "k", F.col("top").alias("p"))
     out = op.linear_vertical(source, target, ["col"])
     return out.select("col", F.col("k").cast("long").alias("k"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT l_suppkey, l_linenumber::BIGINT AS l_linenumber, max(l_quantity) AS x FROM lineitem WHERE l_suppkey BETWEEN 3 AND 60 AND l_linenumber >= 2 GROUP BY ALL")
+def array_slab(spark, folder):
+    """A slab of a chunked array: the filters on both axes are met in the scan."""
+    grid = lines(spark, folder).groupBy("l_suppkey", "l_linenumber").agg(F.max("l_quantity").alias("x"))
+    path = f"{scratch_folder(spark)}/tidemark-array-{uuid.uuid4().hex}"
+    arrays.write_array(grid, path, ["l_suppkey", "l_linenumber"], "x", [16, 4])
+    return arrays.read_array(spark, path, {"l_suppkey": 3, "l_linenumber": 2}, {"l_suppkey": 58})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import interpolate_list, intervals
-from tidemark.operators.fields import interpolate_vertical, linear_vertical
+from tidemark.operators.fields import between_records, interpolate_vertical, linear_vertical
 
 
 def climatology(source: DataFrame, model: DataFrame, keys: list[str], period: int | None = None, vertical: str = "weighted", outside: str = "constant") -> DataFrame:
@@ -18,6 +18,9 @@ def climatology(source: DataFrame, model: DataFrame, keys: list[str], period: in
     ``zero`` counts nothing; ``constant`` stretches the outermost source layers to it, or
     extrapolates the last two half-levels if ``linear``.
 
+    A source layer is missing at a time unless both slices around it hold a value (nulls
+    and absent rows are missing); a model layer that touches a missing one is null.
+
     Slice times are the one short list; they alone are matched by range, columns by key.
     """
     if vertical not in ("weighted", "linear") or outside not in ("constant", "zero"):
@@ -35,13 +38,15 @@ def climatology(source: DataFrame, model: DataFrame, keys: list[str], period: in
     placed = interpolate_list(model.select("t").distinct().withColumn("u", u), spans, F.col("u"))
     placed = placed.where("s1 is not null and (until is null or u = until)")
     w = (F.col("u") - F.col("a")) / (F.col("b") - F.col("a"))
-    parts = F.array(F.struct(F.col("s1").alias("slice"), (1 - w).alias("part")), F.struct(F.col("s2").alias("slice"), w.alias("part")))
-    slices_of = placed.select("t", F.explode(parts).alias("p")).select("t", "p.slice", "p.part")
-
-    layers = source.withColumnRenamed("t", "slice")
+    shares = placed.select("t", "s1", "s2", w.alias("part"))
+    if period is None:  # the last slice alone is its own second
+        shares = shares.withColumn("s2", F.when(F.col("s1") == F.col("s2"), F.lit(None)).otherwise(F.col("s2")))
     columns = [*keys, "t"]
     # linear in time first, at fixed source layers: one column of layers per key and time
-    at = layers.join(slices_of, "slice").groupBy(*columns, "top", "bottom").agg(F.sum(F.col("q") * F.col("part")).alias("q"))
+    layers = source.select(F.col("t").cast("double").alias("slice"), *keys, "top", "bottom", F.col("q").alias("x"))
+    alone = layers.join(shares.where("s2 is null").select("t", F.col("s1").alias("slice")), "slice").drop("slice")
+    at = between_records(layers, shares.where("s2 is not null"), [*keys, "top", "bottom"])
+    at = at.unionByName(alone).withColumnRenamed("x", "q")
     if vertical == "linear":
         half_level = F.col("top").alias("p")
         wanted = model.select(*columns, "k", half_level)

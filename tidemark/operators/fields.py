@@ -117,12 +117,13 @@ def override(model: DataFrame, table: list[Override], grid: str, field: str, val
 
 
 def override_from(model: DataFrame, table: list[Override], grid: str, field: str, value: str, slices: DataFrame, x_axis: list[float], y_axis: list[float], period: int | None = None, cyclic: float | None = None) -> DataFrame:
-    """``override`` from a file as it is: in time, on the file's grid, then factor and region, in one call.
+    """``override`` from a file as it is: onto the model's cells, in time, then factor and region, in one call.
 
     ``model(dst, t, lon, lat, value)`` may hold several levels of a cell ``dst``: a field
     without levels goes to each. ``slices(t, i, j, value)`` is on the axes' points
-    (counted from 0); slice times are the short list, cyclic with ``period``. Weights
-    are made once a cell, not once a time.
+    (counted from 0); slice times are the short list, cyclic with ``period``. Each slice
+    is regridded once (missing corners lend their weight to the others); a cell is
+    replaced only where both slices around the time have a value there.
     """
     from tidemark.operators.asof import interpolate_list, intervals
     from tidemark.operators.regrid import apply_weights, bilinear_weights
@@ -134,15 +135,27 @@ def override_from(model: DataFrame, table: list[Override], grid: str, field: str
     u = F.pmod("t", F.lit(period)) if period is not None else F.col("t")
     placed = interpolate_list(model.select("t").distinct().withColumn("__u", u), spans, F.col("__u")).where("s1 is not null")
     w = (F.col("__u") - F.col("a")) / (F.col("b") - F.col("a"))
-    parts = F.array(F.struct(F.col("s1").alias("slice"), (1 - w).alias("part")), F.struct(F.col("s2").alias("slice"), w.alias("part")))
-    shares = placed.select("t", F.explode(parts).alias("p")).select("t", "p.slice", "p.part")
-    at = slices.withColumn("slice", F.col("t").cast("double")).drop("t").join(shares, "slice")
-    at = at.groupBy("t", "i", "j").agg(F.sum(F.col(value) * F.col("part")).alias(value))
+    shares = placed.select("t", "s1", "s2", w.alias("part"))
+    # each slice is regridded once, whatever times ask for it
     weights = bilinear_weights(model.select("dst", "lon", "lat").distinct(), x_axis, y_axis, "lon", "lat", cyclic=cyclic)
     weights = weights.select("dst", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "w")
-    wanted = model.select("dst", "t").distinct().join(weights, "dst")
-    source = apply_weights(at, wanted, ["t", "i", "j"], ["t", "dst"], value, name=value)
-    return override(model, table, grid, field, value, source, ["t", "dst"])
+    held = slices.where(F.col(value).isNotNull()).select(F.col("t").cast("double").alias("slice"), "i", "j", value)
+    cells = held.join(weights, ["i", "j"]).groupBy("slice", "dst")
+    cells = cells.agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"))
+    both = between_records(cells, shares, ["dst"])
+    return override(model, table, grid, field, value, both.withColumnRenamed("x", value), ["t", "dst"])
+
+
+def between_records(records: DataFrame, shares: DataFrame, keys: list[str]) -> DataFrame:
+    """``t, keys, x``: ``records(slice, keys, x)`` linear in time, by ``shares(t, s1, s2, part)``.
+
+    ``part`` is the second record's weight. Both records must hold a value, else ``x`` is
+    null, even where one of them has no weight.
+    """
+    parts = F.array(F.struct(F.col("s1").alias("slice"), (1 - F.col("part")).alias("w")), F.struct(F.col("s2").alias("slice"), F.col("part").alias("w")))
+    wanted = shares.select("t", F.explode(parts).alias("p")).select("t", "p.slice", "p.w")
+    sums = records.join(wanted, "slice").groupBy("t", *keys).agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.count("x").alias("n"))
+    return sums.withColumn("x", F.when(F.col("n") == 2, F.col("x"))).drop("n")
 
 
 def column_burden(layers: DataFrame, keys: list[str], gravity: float = 9.80, per_area: bool = False) -> DataFrame:
@@ -154,13 +167,15 @@ def column_burden(layers: DataFrame, keys: list[str], gravity: float = 9.80, per
 def interpolate_vertical(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Layer means by mass: ``source(keys, top, bottom, q)`` onto ``target(keys, k, top, bottom)``.
 
-    Layers of a column meet by column, so the range condition is checked within it.
+    Layers of a column meet by column, so the range condition is checked within it. A
+    target that touches a null layer is null.
     """
     t = target.select(*keys, "k", F.col("top").alias("t_top"), F.col("bottom").alias("t_bottom"))
     low, high = F.greatest("top", "t_top"), F.least("bottom", "t_bottom")
     part = F.greatest(high - low, F.lit(0.0)) * F.col("q") / (F.col("t_bottom") - F.col("t_top"))
     joined = t.join(source, keys)
-    return joined.groupBy(*keys, "k").agg(F.sum(part).alias("value"))
+    gap = F.bool_or((high > low) & F.col("q").isNull())
+    return joined.groupBy(*keys, "k").agg(F.when(~gap, F.coalesce(F.sum(part), F.lit(0.0))).alias("value"))
 
 
 def linear_vertical(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

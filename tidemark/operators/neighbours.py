@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,25 @@ def centred_gradient(keys: list[str], axis: str, value: str, spacing: Column | f
     return F.when(before.isNull(), (after - x) / spacing).when(after.isNull(), (x - before) / spacing).otherwise(inner)
 
 
+def gradient_lon_lat(df: DataFrame, keys: list[str], i: str, j: str, value: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``df`` with ``east`` and ``north``: slopes on the unit sphere, centred, one-sided at the ends of both axes.
+
+    Points of one row (``j``) or column (``i``) are taken in order, whatever their steps, in
+    radians; longitudes wrap. A row or column of one point, and a pole's ``east``, are null.
+    """
+
+    def step(order, column: str) -> Column:
+        return F.coalesce(F.lead(column).over(order), F.col(column)) - F.coalesce(F.lag(column).over(order), F.col(column))
+
+    along, across = Window.partitionBy(*keys, j).orderBy(i), Window.partitionBy(*keys, i).orderBy(j)
+    turn = 2 * math.pi
+    width = step(along, lon)
+    width = width - F.when(width > math.pi, turn).when(width < -math.pi, -turn).otherwise(0.0)
+    level = F.cos(lat)
+    east = step(along, value) / F.when((width != 0) & (F.abs(level) > 1e-10), width * level)
+    return df.withColumns({"east": east, "north": step(across, value) / F.nullif(step(across, lat), F.lit(0.0))})
+
+
 def is_monotonic(df: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame:
     """Whether values strictly rise or strictly fall along an axis."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(axis))

@@ -59,13 +59,22 @@ def sine_latitude(df: DataFrame, low: str = "lo", high: str = "hi") -> DataFrame
 
 
 def conserve(field: DataFrame, source: DataFrame, target: DataFrame, value: str, width: float, mask: Column | None = None, period: float | None = None) -> DataFrame:
-    """Conservative means on target intervals: ``dst, value, mask_out``; 0 where nothing is valid."""
+    """Conservative means on target intervals: ``dst, value, mask_out``; 0 where nothing is valid.
+
+    Every target has a row, also one that no source touches.
+    """
     m = F.when(F.col(value).isNotNull() & (mask if mask is not None else F.lit(True)), F.lit(1.0)).otherwise(F.lit(0.0))
     rows = overlaps(source, target, width, period).join(field, "src").withColumn("m", m)
     out = rows.groupBy("dst").agg(
         F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col("w") * F.col("m")).alias("x"), F.sum(F.col("w") * F.col("m")).alias("am"), F.sum("w").alias("a")
     )
-    return out.select("dst", F.when(F.col("am") > 0, F.col("x") / F.col("am")).otherwise(0.0).alias("value"), (F.col("am") / F.col("a")).alias("mask_out"))
+    return _means(target.select("dst").join(out, "dst", "left"))
+
+
+def _means(sums: DataFrame) -> DataFrame:
+    """``dst, value, mask_out`` from sums ``x`` and valid area ``am`` of area ``a``, null where nothing overlaps."""
+    value = F.when(F.col("am") > 0, F.col("x") / F.col("am")).otherwise(0.0)
+    return sums.select("dst", value.alias("value"), F.coalesce(F.col("am") / F.col("a"), F.lit(0.0)).alias("mask_out"))
 
 
 def conserve_deviation(field: DataFrame, source: DataFrame, target: DataFrame, value: str, width: float) -> DataFrame:
@@ -105,12 +114,16 @@ def box_overlaps(source: DataFrame, target: DataFrame, width: tuple[float, float
     return found.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def conserve_boxes(field: DataFrame, overlap: DataFrame, value: str, mask: str | None = None) -> DataFrame:
-    """Conservative means over ``box_overlaps``: ``dst, value, mask_out``; 0 where nothing is valid."""
+def conserve_boxes(field: DataFrame, overlap: DataFrame, value: str, mask: str | None = None, target: DataFrame | None = None) -> DataFrame:
+    """Conservative means over overlaps ``(src, dst, w)``: ``dst, value, mask_out``; 0 where nothing is valid.
+
+    A cell that ``field`` lacks is not valid. With ``target(dst)`` every target has a row,
+    also one that no source touches.
+    """
     m = F.when(F.col(value).isNotNull(), F.col(mask).cast("double") if mask else F.lit(1.0)).otherwise(0.0)
-    rows = overlap.join(field, "src").withColumn("m", m)
+    rows = overlap.join(field, "src", "left").withColumn("m", m)
     sums = rows.groupBy("dst").agg(F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col("w") * F.col("m")).alias("x"), F.sum(F.col("w") * F.col("m")).alias("am"), F.sum("w").alias("a"))
-    return sums.select("dst", F.when(F.col("am") > 0, F.col("x") / F.col("am")).otherwise(0.0).alias("value"), (F.col("am") / F.col("a")).alias("mask_out"))
+    return _means(sums if target is None else target.select("dst").join(sums, "dst", "left"))
 
 
 def land_fraction(field: DataFrame, overlap: DataFrame, value: str) -> DataFrame:

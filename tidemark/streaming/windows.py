@@ -67,10 +67,13 @@ def read_plan(source: DataFrame, name: str, path: str) -> DataFrame:
 def finish_plan(plan: Plan, name: str, source: DataFrame, path: str, time: str, *columns, **options) -> None:
     """Write the windows that the stream still holds open, from a batch read of its source.
 
-    Windows close in order, so only samples after the last closed window's end are read.
+    Windows close in order, so only samples after the last closed window's end are read;
+    all of them if the stream closed none.
     Call it once the stream has ended; called again it writes the same rows.
     """
-    written = source.sparkSession.read.parquet(f"{path}/{name}")
-    last = written.where("batch >= 0").agg(F.max("window_end")).first()[0]
+    shape = output(plan, name, source, time, *columns, **options).schema
+    _write_batch(plan, name, source.sparkSession.createDataFrame([], shape), path, -1)  # the folder is there, whatever the stream wrote
+    reader = source.sparkSession.read.schema(f"window_end {shape['window_end'].dataType.simpleString()}, batch int")
+    last = reader.parquet(f"{path}/{name}").where("batch >= 0").agg(F.max("window_end")).first()[0]
     rest = source if last is None else source.where(micros(F.col(time)) > last)
     _write_batch(plan, name, output(plan, name, rest, time, *columns, **options), path, -1)
