@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
+from tidemark.functions.tables import scratch_folder
 from tidemark.operators import reductions as red
 from tidemark.operators import windows as win
 from tidemark.operators.fields import masked
 from tidemark.plans.diagnostics import output, parse_plan
+from tidemark.streaming.stateful import finish_stateful, write_stateful
+from tidemark.streaming.windows import read_plan
 
 BASE = 1_704_067_200_000_000  # 2024-01-01
 SIX_HOURS = 6 * 3600 * win.SECOND
@@ -160,6 +164,23 @@ def diag_plan_diurnal(spark, folder):
     return out.select("window_end", "event_type", "section", F.col("value").cast("double").alias("value"))
 
 
+@query("""
+WITH e AS (SELECT 1704067200000000 + ((epoch_us(ts) - 1704067200000000 + 432000000000 - 1) // 432000000000) * 432000000000 AS window_end, event_type,
+  (((epoch_us(ts) % 86400000000) * 4 // 86400000000) + 1)::INTEGER AS section, value FROM events),
+b AS (SELECT window_end, event_type, section, sum(value::DECIMAL(18,2))::DOUBLE AS s, count(*) AS n FROM e GROUP BY ALL)
+SELECT window_end, event_type, section, round(s / (sum(n) OVER (PARTITION BY window_end, event_type) / 4), 6) AS value FROM b""")
+def diag_stream_diurnal(spark, folder):
+    """The events as a stream: sections of the day are held as state, the last window comes out of it."""
+    plan = parse_plan(CALENDAR_PLAN.replace("1995 1 1", "2024 1 1"))
+    shape = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(shape).parquet(f"{folder}/events.parque[t]").withColumn("name", F.lit("value"))
+    path = f"{scratch_folder(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    write_stateful(plan, "bins", stream, f"{path}/out", f"{path}/check", "ts", ["event_type"], "name", "value").awaitTermination()
+    finish_stateful(plan, "bins", spark, f"{path}/out", f"{path}/check", ["event_type"])
+    out = read_plan(table(spark, folder, "events"), "bins", f"{path}/out")
+    return out.select("window_end", "event_type", "section", F.round("value", 6).alias("value"))
+
+
 @query("""
 WITH w AS (SELECT l_suppkey, (date_trunc('day', l_shipdate - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY)::TIMESTAMP AS window_end, max(l_quantity) AS max_quantity FROM lineitem GROUP BY ALL)
 SELECT 'rotating_' || strftime(window_end - INTERVAL 1 MICROSECOND, '%Y%m') AS file, l_suppkey, epoch_us(window_end) AS window_end, max_quantity FROM w""")
