@@ -384,7 +384,10 @@ def chksum_int(spark, folder):
     return df.groupBy("l_returnflag").agg(red.checksum(F.col("x")).alias("chksum"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT l_returnflag, l_extendedprice AS x, floor(log2(l_extendedprice))::BIGINT AS e FROM lineitem),
+b AS (SELECT l_returnflag, (e + 1023)::HUGEINT * 4503599627370496 + ((x / pow(2, e) - 1) * 4503599627370496)::HUGEINT AS bits FROM e)
+SELECT l_returnflag, printf('%016x', sum(bits) % 18446744073709551616::HUGEINT) AS chksum FROM b GROUP BY ALL""")
 def chksum_real(spark, folder):
     df = red.double_bits(table(spark, folder, "lineitem"), "l_extendedprice")
     return df.groupBy("l_returnflag").agg(red.checksum(F.col("bits")).alias("chksum"))

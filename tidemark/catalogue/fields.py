@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue.registry import query, table
 from tidemark.functions.tables import scratch_folder
 from tidemark.operators import fields as op
-from tidemark.sources import arrays
+from tidemark.sources import arrays, gathering
 
 
 def lines(spark, folder):
@@ -172,3 +172,30 @@ def array_slab(spark, folder):
     path = f"{scratch_folder(spark)}/tidemark-array-{uuid.uuid4().hex}"
     arrays.write_array(grid, path, ["l_suppkey", "l_linenumber"], "x", [16, 4])
     return arrays.read_array(spark, path, {"l_suppkey": 3, "l_linenumber": 2}, {"l_suppkey": 58})
+
+
+@query("""
+WITH g AS (SELECT l_suppkey % 6 AS tile, l_suppkey // 6 AS i, l_linenumber::BIGINT AS j, max(l_quantity) AS x FROM lineitem GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY j, i) - 1 AS number FROM g WHERE (i * 3 + j) % 4 <> 0)
+SELECT g.tile, g.i, g.j, number, coalesce(c.x, -1.0::DOUBLE) AS x FROM g LEFT JOIN c USING (tile, i, j)""")
+def gathered_cells(spark, folder):
+    """Cells under a mask written by number and expanded again, the others filled."""
+    s = F.col("l_suppkey")
+    grid = lines(spark, folder).groupBy((s % 6).alias("tile"), F.floor(s / 6).alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(F.max("l_quantity").alias("x"))
+    path = f"{scratch_folder(spark)}/tidemark-gathered-{uuid.uuid4().hex}"
+    gathering.write_gathered(grid, path, (F.col("i") * 3 + F.col("j")) % 4 != 0)
+    numbers = spark.read.parquet(f"{path}/cells")
+    out = gathering.read_gathered(spark, path, grid=grid.select("tile", "i", "j"), fill={"x": -1.0})
+    return out.join(numbers, ["tile", "i", "j"], "left").select("tile", "i", "j", "number", "x")
+
+
+@query("""
+WITH g AS (SELECT l_suppkey AS i, l_linenumber::BIGINT AS j, max(l_quantity) AS x FROM lineitem GROUP BY ALL)
+SELECT i, j, CASE WHEN i BETWEEN 2 AND (SELECT max(i) FROM g) - 1 AND j BETWEEN 2 AND 6 AND (i < 4 OR j > 4) THEN x ELSE 0.0::DOUBLE END AS x FROM g""")
+def region_restart(spark, folder):
+    """The western and northern strips of a box, two cells wide, put back into an empty field."""
+    grid = lines(spark, folder).groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(F.max("l_quantity").alias("x"))
+    last = grid.agg(F.max("i")).first()[0]
+    path = f"{scratch_folder(spark)}/tidemark-region-{uuid.uuid4().hex}"
+    gathering.save_region(grid, path, (2, last - 1, 2, 6), 2)
+    return gathering.restore_region(spark, path, grid.withColumn("x", F.lit(0.0)), ["i", "j"], ("W", "N")).select("i", "j", "x")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -386,3 +387,98 @@ def override_composite(spark, folder):
     row = Override("ATM", "sst", "sst_obs", 0.5, (2.0, 6.0, 1.0, 4.0))
     out = override_from(model, [row], "ATM", "sst", "x", slices, [float(i) for i in range(10)], [float(j) for j in range(7)])
     return out.select("dst", F.col("t"), "k", F.round("x", 6).alias("value"))
+
+
+NEAR_POINTS = """, p AS (SELECT c_custkey AS dst, (c_custkey % 90) / 10.0 AS px, (c_custkey % 60) / 10.0 AS py FROM customer),
+q AS (SELECT dst, least(floor(px), 8)::INT AS i0, least(floor(py), 5)::INT AS j0, px - least(floor(px), 8) AS wx, py - least(floor(py), 5) AS wy FROM p),
+h AS (SELECT i, j, x FROM f WHERE (i * 7 + j * 5) % 11 > 3),
+c AS (SELECT q.*, a.x AS sw, b.x AS se, d.x AS ne, e.x AS nw FROM q LEFT JOIN h a ON a.i = i0 AND a.j = j0 LEFT JOIN h b ON b.i = i0 + 1 AND b.j = j0 LEFT JOIN h d ON d.i = i0 + 1 AND d.j = j0 + 1 LEFT JOIN h e ON e.i = i0 AND e.j = j0 + 1),
+n AS (SELECT *, (sw IS NULL)::INT + (se IS NULL)::INT + (ne IS NULL)::INT + (nw IS NULL)::INT AS gone FROM c),
+z AS (SELECT *, CASE WHEN wx <= 0.5 AND wy <= 0.5 THEN 1 WHEN wx >= 0.5 AND wy <= 0.5 THEN 2 WHEN wx >= 0.5 THEN 3 ELSE 4 END AS zone,
+  (sw IS NULL AND wx <= 0.5 AND wy <= 0.5) OR (se IS NULL AND wx >= 0.5 AND wy <= 0.5) OR (ne IS NULL AND wx >= 0.5 AND wy >= 0.5) OR (nw IS NULL AND wx <= 0.5 AND wy >= 0.5) AS lost,
+  CASE WHEN gone = 1 THEN CASE WHEN sw IS NULL OR ne IS NULL THEN (se + nw) / 2 ELSE (sw + ne) / 2 END ELSE list_avg(list_filter([sw, se, ne, nw], lambda v: v IS NOT NULL)) END AS middle FROM n),
+r AS (SELECT *, CASE zone WHEN 1 THEN [sw, coalesce((sw + se) / 2, sw), coalesce((sw + nw) / 2, sw)] WHEN 2 THEN [se, coalesce((sw + se) / 2, se), coalesce((se + ne) / 2, se)]
+  WHEN 3 THEN [ne, coalesce((nw + ne) / 2, ne), coalesce((se + ne) / 2, ne)] ELSE [nw, coalesce((nw + ne) / 2, nw), coalesce((nw + sw) / 2, nw)] END AS v, abs(1 - 2 * wx) AS a, abs(1 - 2 * wy) AS b FROM z)
+SELECT dst, CASE WHEN gone = 0 THEN round((1 - wx) * (1 - wy) * sw + wx * (1 - wy) * se + wx * wy * ne + (1 - wx) * wy * nw, 6)
+  WHEN gone < 4 AND NOT lost THEN round(a * b * v[1] + (1 - a) * b * v[2] + a * (1 - b) * v[3] + (1 - a) * (1 - b) * middle, 6) END AS value FROM r"""
+
+
+@query(FIELD + NEAR_POINTS)
+def bilinear_missing(spark, folder):
+    """A third of the points is missing: each target keeps to the quadrant it lies in."""
+    points = table(spark, folder, "customer").select(F.col("c_custkey").alias("dst"), (F.col("c_custkey") % 90 / 10.0).alias("x"), (F.col("c_custkey") % 60 / 10.0).alias("y"))
+    field = _field(spark, folder).where("(i * 7 + j * 5) % 11 > 3")
+    out = regrid.bilinear_near(field, points, [float(i) for i in range(10)], [float(j) for j in range(7)], "x")
+    return out.select("dst", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH s AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderpriority AS p, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) AS x FROM orders WHERE year(o_orderdate) IN (1995, 1998) GROUP BY ALL),
+t AS (SELECT DISTINCT o_orderdate::TIMESTAMP AS t FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-15' AND TIMESTAMP '1998-12-15'),
+b AS (SELECT t, CASE WHEN t < date_trunc('month', t) + INTERVAL 14 DAY THEN date_trunc('month', t) - INTERVAL 1 MONTH ELSE date_trunc('month', t) END AS a FROM t),
+w AS (SELECT t, a, a + INTERVAL 1 MONTH AS b, (epoch(t) - epoch(a + INTERVAL 14 DAY)) / (epoch(a + INTERVAL 1 MONTH) - epoch(a)) AS w FROM b),
+e AS (SELECT t, a AS moment, 1 - w AS w FROM w UNION ALL SELECT t, b, w FROM w),
+y AS (SELECT *, month(moment) AS m, CASE WHEN year(moment) >= 1998 THEN 1998 ELSE 1995 END AS lo, CASE WHEN year(moment) <= 1995 THEN 1995 ELSE 1998 END AS hi FROM e),
+z AS (SELECT *, CASE WHEN lo = hi THEN 0 ELSE (epoch(moment) - epoch(make_date(lo, m, 1))) / (epoch(make_date(hi, m, 1)) - epoch(make_date(lo, m, 1)))::DOUBLE END AS share FROM y),
+u AS (SELECT t, m, yy, sum(ww) AS w FROM (SELECT t, m, lo AS yy, (1 - share) * w AS ww FROM z UNION ALL SELECT t, m, hi, share * w FROM z) GROUP BY ALL HAVING sum(ww) > 0)
+SELECT t, p, CASE WHEN count(x) = (SELECT count(*) FROM u v WHERE v.t = u.t) THEN round(sum(x * w), 3) END AS x FROM u JOIN s ON s.y = yy AND s.m = u.m GROUP BY t, p""")
+def climatology_month_year(spark, folder):
+    """Monthly means of two years that do not follow one another, at all days of orders between them."""
+    from tidemark.operators.climatology import months_between_years
+
+    df = table(spark, folder, "orders")
+    year = F.year("o_orderdate")
+    means = df.where(year.isin(1995, 1998)).groupBy(year.alias("year"), F.month("o_orderdate").alias("month"), F.col("o_orderpriority").alias("p"))
+    source = means.agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("x")).withColumn("day", F.lit(15))
+    out = months_between_years(source, df.select(F.col("o_orderdate").alias("t")), ["p"])
+    return out.select("t", "p", F.round("x", 3).alias("x"))
+
+
+UNEVEN_X, UNEVEN_Y = [0.0, 30.0, 65.0, 100.0, 150.0, 190.0, 240.0, 275.0, 300.0, 335.0], [-60.0, -35.0, -20.0, 0.0, 15.0, 40.0, 70.0]
+
+
+def _cubic_sql(value: str, n: int, points: str, period: str | None) -> str:
+    """Four rows ``dst, k, w`` a target: a cubic's weights along one axis ``points(k, p)``."""
+    gap = lambda a, b: f"({b} - {a} + CASE WHEN {b} < {a} THEN {period} ELSE 0 END)" if period else f"({b} - {a})"
+    wrap = (lambda e: f"(({e}) + {n}) % {n}") if period else (lambda e: f"greatest(0, least({n - 1}, {e}))")
+    return f"""SELECT dst, unnest([{wrap('lo - 1')}, lo, hi, {wrap('hi + 1')}]) AS k, unnest([-h10 * l, h00 - h11 * r, h01 + h10 * l, h11 * r]) AS w FROM (
+  SELECT b.*, (1 + 2 * t) * (1 - t) ** 2 AS h00, t * (1 - t) ** 2 AS h10, t * t * (3 - 2 * t) AS h01, t * t * (t - 1) AS h11, {gap('pl', 'ph')} / {gap('m.p', 'ph')} AS l, {gap('pl', 'ph')} / {gap('pl', 'q.p')} AS r
+  FROM (SELECT a.dst, a.lo, a.hi, x.p AS pl, y.p AS ph, (v - x.p + {f'CASE WHEN v < x.p THEN {period} ELSE 0 END' if period else '0'}) / {gap('x.p', 'y.p')} AS t
+    FROM (SELECT dst, {value} AS v, {f"(count_if({points}.p <= {value}) - 1 + {n}) % {n}" if period else f"least(count_if({points}.p <= {value}) - 1, {n - 2})"} AS lo, ({f"(count_if({points}.p <= {value}) - 1 + {n}) % {n} + 1) % {n}" if period else f"least(count_if({points}.p <= {value}) - 1, {n - 2}) + 1)"} AS hi FROM p, {points} GROUP BY dst, {value}) a
+    JOIN {points} x ON x.k = lo JOIN {points} y ON y.k = hi) b JOIN {points} m ON m.k = {wrap('lo - 1')} JOIN {points} q ON q.k = {wrap('hi + 1')})"""
+
+
+def _axis_sql(axis: list[float]) -> str:
+    return "SELECT unnest(range(%d)) AS k, unnest([%s])::DOUBLE AS p" % (len(axis), ", ".join(map(str, axis)))
+
+
+@query(FIELD + f""", xa AS ({_axis_sql(UNEVEN_X)}), ya AS ({_axis_sql(UNEVEN_Y)}),
+p AS (SELECT c_custkey AS dst, (c_custkey * 37 % 3600) / 10.0::DOUBLE AS px, (c_custkey * 53 % 1300) / 10.0::DOUBLE - 60 AS py FROM customer),
+wx AS ({_cubic_sql('px', 10, 'xa', '360')}), wy AS ({_cubic_sql('py', 7, 'ya', None)})
+SELECT a.dst, round(sum(a.w * b.w * x), 6) AS value FROM wx a JOIN wy b USING (dst) JOIN f ON f.i = a.k AND f.j = b.k GROUP BY a.dst""")
+def bicubic_field(spark, folder):
+    """Sixteen points around each target, uneven steps, longitudes that close, one-sided slopes at the last latitudes."""
+    from tidemark.operators.interpolation import interpolate, make_weights
+
+    key = F.col("c_custkey")
+    points = table(spark, folder, "customer").select(key.alias("dst"), (key * 37 % 3600 / 10.0).alias("x"), (key * 53 % 1300 / 10.0 - 60).alias("y"))
+    field = _field(spark, folder).select((F.col("j") * 10 + F.col("i")).cast("long").alias("src"), "x")
+    out = interpolate(field, make_weights("bicubic", points, axes=(UNEVEN_X, UNEVEN_Y), cyclic=360.0), "x")
+    return out.select("dst", F.round("x", 6).alias("value"))
+
+
+@query(BOXES + """, z AS (SELECT l_returnflag AS level, l_suppkey % 36 AS i, l_linenumber - 1 AS j, max(l_quantity) AS x FROM lineitem GROUP BY ALL),
+e AS (SELECT t.dst, level FROM t, (SELECT DISTINCT level FROM z)), m AS (SELECT dst, level, sum(x * w) AS x, sum(w) AS w FROM o JOIN z USING (i, j) GROUP BY ALL), a AS (SELECT dst, sum(w) AS w FROM o GROUP BY dst)
+SELECT e.dst, e.level, round(coalesce(m.x / m.w, 0), 6) AS value, round(coalesce(m.w / a.w, 0), 6) AS mask FROM e LEFT JOIN m USING (dst, level) LEFT JOIN a ON a.dst = e.dst""")
+def regrid_front(spark, folder):
+    """Conservative weights written, read again and applied to a field of several levels."""
+    from tidemark.functions.tables import scratch_folder
+    from tidemark.operators.interpolation import interpolate, read_weights, write_weights
+
+    overlap, target = _boxes(spark)
+    path = f"{scratch_folder(spark)}/tidemark-weights-{uuid.uuid4().hex}"
+    write_weights(overlap.withMetadata("w", {"method": "conservative"}), path)
+    src = (F.col("l_suppkey") % 36) * 100 + F.col("l_linenumber") - 1
+    field = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("level"), src.alias("src")).agg(F.max("l_quantity").alias("x"))
+    out = interpolate(field, read_weights(spark, path), "x", target=target)
+    return out.select("dst", "level", F.round("x", 6).alias("value"), F.round("mask", 6).alias("mask"))

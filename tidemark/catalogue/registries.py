@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import registry as reg
+from tidemark.operators.gas_flux import Flux, fluxes, register
 
 TRACERS = """WITH f AS (SELECT p_type AS model, p_brand AS tracer, min(p_partkey) AS place, max_by(p_name, p_partkey) FILTER (p_partkey % 3 = 0) AS longname,
  max_by('kg ' || p_size, p_partkey) FILTER (p_partkey % 3 = 1) AS units, max_by(CASE WHEN p_size > 25 THEN 'Diagnostic' ELSE 'prognostic' END, p_partkey) FILTER (p_partkey % 3 = 2) AS kind
@@ -74,3 +75,34 @@ def flux_set(spark, folder):
 def flux_spawn(spark, folder):
     meta = spark.range(5).select(F.col("id").alias("bc"), (F.col("id") + 1).alias("n_fields"))
     return reg.spawn(meta, fields(spark, folder).select("i", "j", "k"), 1.5)
+
+
+FLUXES = [
+    Flux("co2", "air_sea_gas_flux", "ocmip2", (9.36e-07, 9.8692e-06)),
+    Flux("o2", "air_sea_gas_flux", "linear", (2.0e-07, 3.0, 9.8692e-06)),
+    Flux("cfc", "air_sea_gas_flux_generic", "ocmip2", (6.97e-07, 9.8692e-06)),
+    Flux("iron", "air_sea_deposition", "dry", (55.847,)),
+    Flux("silt", "land_sea_runoff", "river", (1.0,)),
+]
+CHANGES = [{"name": "o2", "parameters": {2: 5.0}}, {"name": "silt", "parameters": [2.5, 9.0], "factor": 1000.0}, {"name": "iron", "implementation": "wet"}]
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity / 3 AS u, 1.0e5 + l_extendedprice / 10 AS ps, 3.0e-4 + l_discount / 1000 AS pc, 30 + l_tax * 100 AS al, 0.01 * (1 + l_linenumber) AS cs, 500 + l_quantity AS sc, l_extendedprice AS x FROM lineitem),
+f AS (SELECT *, 6.97e-07 * u * u * sqrt(660 / sc) AS kw, al * pc * ps * 9.8692e-06 AS b FROM c)
+SELECT l_orderkey, l_linenumber, 'co2' AS name, round(1e9 * 9.36e-07 * u * u * (cs - b), 4) AS flux, NULL::DOUBLE AS kw, NULL::DOUBLE AS flux0, NULL::DOUBLE AS deltap FROM f
+UNION ALL SELECT l_orderkey, l_linenumber, 'o2', round(1e9 * 2.0e-07 * greatest(0, u - 5) * (cs - b), 4), NULL, NULL, NULL FROM f
+UNION ALL SELECT l_orderkey, l_linenumber, 'cfc', round(1e9 * kw * (cs - b), 4), round(1e9 * kw, 4), round(1e9 * kw * cs, 4), round((cs - b) / (al * 9.8692e-06), 4) FROM f
+UNION ALL SELECT l_orderkey, l_linenumber, 'iron', round(x / 55.847, 4), NULL, NULL, NULL FROM f
+UNION ALL SELECT l_orderkey, l_linenumber, 'silt', round(1000 * x / 2.5, 2), NULL, NULL, NULL FROM f""")
+def gas_fluxes(spark, folder):
+    """Five fluxes with defaults and changes, in one pass over the cells."""
+    q = F.col("l_quantity")
+    cells = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", (q / 3).alias("u10"), (1.0e5 + F.col("l_extendedprice") / 10).alias("psurf"), (3.0e-4 + F.col("l_discount") / 1000).alias("pcair"),
+        (30 + F.col("l_tax") * 100).alias("alpha"), (0.01 * (1 + F.col("l_linenumber"))).alias("csurf"), (500 + q).alias("sc_no"), F.col("l_extendedprice").alias("mass"),
+    )
+    out = fluxes(cells, register(FLUXES, CHANGES), ["l_orderkey", "l_linenumber"], {"iron": {"deposition": "mass"}, "silt": {"runoff": "mass"}})
+    digits = F.when(F.col("name") == "iron", F.round("flux", 4)).when(F.col("name") == "silt", F.round("flux", 2)).otherwise(F.round(F.col("flux") * 1e9, 4))
+    scaled = lambda c: F.round(F.col(c) * 1e9, 4).alias(c)
+    return out.select("l_orderkey", "l_linenumber", "name", digits.alias("flux"), scaled("kw"), scaled("flux0"), F.round("deltap", 4).alias("deltap"))

@@ -177,6 +177,50 @@ def bilinear_weights(points: DataFrame, x_axis: list[float], y_axis: list[float]
     return df.select(target, F.explode(corners).alias("c")).select(target, "c.*")
 
 
+def bilinear_near(field: DataFrame, points: DataFrame, x_axis: list[float], y_axis: list[float], value: str, cyclic: float | None = None) -> DataFrame:
+    """Bilinear values that keep to what is near where corners are missing: ``dst, value``.
+
+    ``field(i, j, value)`` is on the axes' points, from 0; null and absent points are
+    missing. ``points(dst, x, y)``. A cell of four corners is bilinear as a whole. Else its
+    quadrants are: a quadrant is missing if its own corner is (on a line between quadrants
+    any of their corners); its other points are the middles of the cell's sides (or the
+    corner, where the side's other end is missing) and of the cell, which is the mean of
+    the corners that are left, of three those of the whole diagonal.
+    """
+    i0, i1, wx = bracket(x_axis, F.col("x"), cyclic, F.col("__ux"))
+    j0, j1, wy = bracket(y_axis, F.col("y"), None, F.col("__uy"))
+    df = points.withColumns({"__ux": points_upto(x_axis, F.col("x")), "__uy": points_upto(y_axis, F.col("y"))})
+    df = df.select("dst", i0.alias("i0"), i1.alias("i1"), wx.alias("wx"), j0.alias("j0"), j1.alias("j1"), wy.alias("wy"))
+    corner = lambda a, b: F.struct(F.lit(2 * b + a).alias("c"), (F.col(f"i{a}") - 1).cast("long").alias("i"), (F.col(f"j{b}") - 1).cast("long").alias("j"))
+    met = df.withColumn("at", F.explode(F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1)))).select("dst", "wx", "wy", "at.*")
+    held = field.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col(value).cast("double").alias("v"))
+    cell = met.join(held, ["i", "j"], "left").groupBy("dst").agg(
+        F.first("wx").alias("wx"), F.first("wy").alias("wy"), *[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"v{c}") for c in range(4)]
+    )
+    east, north = F.col("wx"), F.col("wy")
+    v = {(a, b): F.col(f"v{2 * b + a}") for a in (0, 1) for b in (0, 1)}
+
+    def between(p: Column, q: Column, near: Column, side_x: Column, side_y: Column, middle: Column) -> Column:
+        return p * q * near + (1 - p) * q * side_x + p * (1 - q) * side_y + (1 - p) * (1 - q) * middle
+
+    whole = between(1 - east, 1 - north, v[0, 0], v[1, 0], v[0, 1], v[1, 1])
+    known = [F.when(c.isNotNull(), 1).otherwise(0) for c in v.values()]
+    n = sum(known[1:], known[0])
+    one, other = (v[0, 0] + v[1, 1]) / 2, (v[1, 0] + v[0, 1]) / 2
+    left = sum((F.coalesce(c, F.lit(0.0)) for c in list(v.values())[1:]), F.coalesce(v[0, 0], F.lit(0.0)))
+    middle = F.when(n == 3, F.coalesce(one, other)).otherwise(left / n)
+    out = F.lit(None).cast("double")
+    lost = F.lit(False)
+    for a, b in ((0, 1), (1, 1), (1, 0), (0, 0)):
+        wa, wb = (east if a else 1 - east), (north if b else 1 - north)
+        here, near = (wa >= 0.5) & (wb >= 0.5), v[a, b]
+        side_x, side_y = ((near + F.coalesce(o, near)) / 2 for o in (v[1 - a, b], v[a, 1 - b]))
+        # weights of the quadrant's own corner, doubled
+        out = F.when(here, between(2 * wa - 1, 2 * wb - 1, near, side_x, side_y, middle)).otherwise(out)
+        lost = lost | (here & near.isNull())
+    return cell.select("dst", F.when(n == 4, whole).when((n > 0) & ~lost, out).alias("value"))
+
+
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Angle between two points, all in radians."""
     cosine = F.sin(lat1) * F.sin(lat2) + F.cos(lat1) * F.cos(lat2) * F.cos(lon1 - lon2)
@@ -326,6 +370,57 @@ def bicubic(patches: DataFrame, keys: list[str]) -> DataFrame:
     return patches.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", value double")
 
 
+def _cubic_axis(axis: list[float], value: Column, upto: Column, cyclic: float | None) -> tuple[Column, Column, Column]:
+    """The interval ``__k`` of a place, its part ``__t`` and, from both, the four points (from 0) around with weights.
+
+    Hermite's cubic between the two, with slopes by differences of the points beside each
+    over what lies between them; at the ends of the axis, of the point itself and its one
+    neighbour. What only depends on the interval is worked out here, an array an item.
+    """
+    n = len(axis)
+    if n < 2:
+        raise ValueError("an axis has two points or more")
+    around = []
+    for k in range(n if cyclic is not None else n - 1):
+        if cyclic is not None:
+            places, at = [(k + d) % n for d in (-1, 0, 1, 2)], [axis[(k + d) % n] + cyclic * ((k + d) // n) for d in (-1, 0, 1, 2)]
+        else:
+            places = [max(k - 1, 0), k, k + 1, min(k + 2, n - 1)]
+            at = [axis[x] for x in places]
+        step = at[2] - at[1]
+        around.append((*places, step / (at[2] - at[0]), step / (at[3] - at[1]), at[1], step))
+    lists = [constants(list(x)) for x in zip(*around)]
+    if cyclic is not None:
+        interval = F.when(upto < 1, n).otherwise(upto)
+    else:
+        interval = F.least(F.greatest(upto, F.lit(1)), F.lit(n - 1))
+    item = lambda k: F.element_at(lists[k], F.col("__k"))
+    past = F.pmod(value - item(6), F.lit(cyclic)) if cyclic is not None else value - item(6)
+    t = F.col("__t")
+    h00, h10, h01, h11 = (1 + 2 * t) * (1 - t) * (1 - t), t * (1 - t) * (1 - t), t * t * (3 - 2 * t), t * t * (t - 1)
+    weights = (-h10 * item(4), h00 - h11 * item(5), h01 + h10 * item(4), h11 * item(5))
+    parts = F.array(*[F.struct(item(k).cast("long").alias("k"), w.alias("w")) for k, w in enumerate(weights)])
+    return interval, F.least(F.greatest(past / item(7), F.lit(0.0)), F.lit(1.0)), parts
+
+
+def bicubic_weights(points: DataFrame, x_axis: list[float], y_axis: list[float], x: str = "x", y: str = "y", target: str = "dst", cyclic: float | None = None) -> DataFrame:
+    """Rows ``(dst, i, j, w)`` (points from 0) of a bicubic surface over a rectilinear grid of any steps.
+
+    The surface has the field's values at the grid's points and slopes by differences of
+    their neighbours, both along the axes and across; it is a product of two cubics, so its
+    weights on the sixteen points around are products too and sum to one. Beyond the axes
+    the nearest edge is followed; ``cyclic`` closes the x axis. Apply them with
+    ``apply_weights``.
+    """
+    df = points.select(target, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    for name, axis, period, c in (("xs", x_axis, cyclic, "__x"), ("ys", y_axis, None, "__y")):
+        interval, t, parts = _cubic_axis(axis, F.col(c), F.col("__u"), period)
+        df = df.withColumn("__u", points_upto(axis, F.col(c))).withColumn("__k", interval).withColumn("__t", t).withColumn(name, parts).drop("__u", "__k", "__t")
+    df = df.select(target, "ys", F.explode("xs").alias("a")).select(target, "a", F.explode("ys").alias("b"))
+    # an end of an axis stands twice among the four
+    return df.groupBy(target, F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("w"))
+
+
 def containing_cells(points: DataFrame, quads: DataFrame, width: float) -> DataFrame:
     """``(dst, cell)``: the cell of a curvilinear grid that holds each point, the least if on an edge.
 

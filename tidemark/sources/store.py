@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.fields import is_valid, unpack
-from tidemark.operators.reductions import checksum
+from tidemark.operators.reductions import checksum, double_bits
 
 
 def write_variable(df: DataFrame, path: str, value: str, attributes: dict | None = None, partition: list[str] | None = None, mode: str = "errorifexists") -> None:
@@ -47,11 +47,26 @@ def describe(df: DataFrame) -> list[tuple[str, str, dict]]:
     return [(f.name, f.dataType.simpleString(), dict(f.metadata)) for f in df.schema]
 
 
-def save_restart(df: DataFrame, path: str, integers: list[str]) -> None:
-    """Write a table with the checksums of its integer columns beside it."""
+def _sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Checksums of columns: of integers their sum, of reals that of their bits, of others that of a hash."""
+    kinds, sums = dict(df.dtypes), []
+    for n, c in enumerate(columns):
+        kind = kinds[c]
+        if kind in ("double", "float"):
+            df = double_bits(df.withColumn(f"__{n}", F.col(c).cast("double")), f"__{n}", f"__{n}")
+            df = df.withColumn(f"__{n}", F.when(F.col(c).isNotNull(), F.col(f"__{n}")))
+            sums.append(checksum(F.col(f"__{n}")).alias(c))
+        elif kind in ("tinyint", "smallint", "int", "bigint"):
+            sums.append(checksum(F.col(c)).alias(c))
+        else:
+            sums.append(checksum(F.when(F.col(c).isNotNull(), F.xxhash64(c))).alias(c))
+    return df.agg(*sums)
+
+
+def save_restart(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Write a table with the checksums of the named columns (integers, reals by their bits, others by a hash) beside it."""
     df.write.parquet(f"{path}/data")
-    sums = df.sparkSession.read.parquet(f"{path}/data").agg(*[checksum(F.col(c)).alias(c) for c in integers])
-    sums.write.parquet(f"{path}/checksums")
+    _sums(df.sparkSession.read.parquet(f"{path}/data"), columns).write.parquet(f"{path}/checksums")
 
 
 def read_restart(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
@@ -59,7 +74,7 @@ def read_restart(spark: SparkSession, path: str, verify: bool = True) -> DataFra
     df = spark.read.parquet(f"{path}/data")
     if verify:
         saved = spark.read.parquet(f"{path}/checksums").first().asDict()
-        found = df.agg(*[checksum(F.col(c)).alias(c) for c in saved]).first().asDict()
+        found = _sums(df, list(saved)).first().asDict()
         if wrong := [c for c in saved if saved[c] != found[c]]:
             raise ValueError(f"checksums differ: {', '.join(wrong)}")
     return df
