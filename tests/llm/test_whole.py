@@ -129,7 +129,7 @@ EXAMPLES = {
     "mn": "The above copyright notice and this permission notice shall be included in all copies", "mw": "The software is provided 'as is', without warranty of any kind",
     "ml": "In no event shall the authors or copyright holders be liable", "is": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "iw": "The software is provided 'as is' and the author disclaims all warranties", "ag": "AGPLv3", "lg": "LGPL-2.1", "gl": "GPL-2.0-or-later", "g3": "gpl v3", "g2": "GPLv2",
-    "gp": "GNU\nGeneral Public License", "mz": "MPL 2.0", "ep": "Eclipse Public License 2.0",
+    "gp": "GNU\nGeneral Public License", "mz": "MPL 2.0", "ep": "Eclipse Public License 2.0", "m1": "Mozilla Public License 1.1", "bo": "Boost Software License - Version 1.0", "zl": "zlib license", "bd": "BSD licensed",
     "br": "Redistribution and use in source and binary forms, with or without modification, are permitted", "bs": "Redistributions of source code must retain the above copyright notice",
     "bb": "Redistributions in binary form must reproduce the above copyright notice", "bn": "Neither the name of the X nor its members may be used to endorse or promote products",
     "bw": "This software is provided by the authors 'as is' and any express or implied warranties", "b3": "3-clause BSD", "b2": "BSD 2-Clause License", "cz": "CC0 1.0",
@@ -159,6 +159,23 @@ def test_licenses_in_gaps_and_unknown_sentences(spark):
     assert {r.doc_id: (r.n_sentences, r.n_unknown) for r in licenses.scan_licenses(df).collect()} == {1: (1, 2), 2: (0, 0), 3: (0, 0)}
 
 
+def test_wordings_of_notices(spark):
+    """Licences by hand, each in a wording of its own (fixed values)."""
+    texts = {
+        "GNU General Public License, version 2 or later": "GPL-or-later", "Under GPL v2.0+": "GPL-or-later", "GPLv3+ applies": "GPL-or-later", "GPL version 2 or any later version": "GPL-or-later",
+        "Licensed under Apache 2.0": "Apache-2.0", "New BSD License": "BSD-3-Clause", "Simplified BSD License": "BSD-2-Clause", "A BSD license": "BSD", "Boost Software License - Version 1.0": "BSL-1.0",
+        "zlib license": "Zlib", "Mozilla Public License 1.1": "MPL-1.1", "The license is MIT.": "MIT", "MIT-licensed code": "MIT", "Licensed under the MIT and BSD licenses": "BSD,MIT", "This is GPL software": "GPL",
+        "GPL-2.0": "GPL-2.0", "GPL 2 + extras": "GPL-2.0", "GNU General Public License, version 2\nor later": "GPL-or-later", "the new\nBSD license": "BSD-3-Clause", "C++ and 1+1, license fee": "",
+    }
+    assert licences(spark, texts) == texts
+
+
+def test_gaps_of_any_length(spark):
+    between = ". ".join(["zlib license", "Boost Software License", "Eclipse Public License 2.0", "MPL 2.0", "MPL 1.1", "CC0"])
+    text = f"{EXAMPLES['mp']}. {between}. {EXAMPLES['mn']}. {between}. {EXAMPLES['mw']}."
+    assert licences(spark, {text: 0})[text] == "BSL-1.0,CC0-1.0,EPL-2.0,MIT,MPL-1.1,MPL-2.0,Zlib"
+
+
 def test_sentence_names_all_its_licenses(spark):
     texts = {
         "It is released under the MIT license or the GNU General Public License, version 3.": "GPL-3.0,MIT",

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 #: (lower case, single spaces, no punctuation), the more specific first. Short names
 #: and versions are whole words, so that ``gpl 300`` or ``cc by design`` is neither.
 SENTENCES = [
-    ("ap", r"licensed under the apache license version 2 0|apache license version 2 0|apache( software)? license 2 0|spdx license identifier apache 2 0"),
+    ("ap", r"licensed under the apache license version 2 0|apache license version 2 0|apache( software)? license 2 0|licen[cs]ed under (the )?apache( software)? ?2 0|spdx license identifier apache 2 0"),
     ("ax", r"you may not use (this|the) file except in compliance with the license"),
     ("ay", r"you may obtain a copy of the license at"),
     ("az", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("am", r"\bmit licen[cs]e( mit)?\b|spdx license identifier mit\b"),
+    ("am", r"\bmit licen[cs]ed?( mit)?\b|\blicen[cs]e (is )?mit\b|licen[cs]ed under (the )?mit\b|spdx license identifier mit\b"),
     ("mp", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mn", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("mw", r"the software is provided as is without warranty of any kind"),
@@ -33,19 +33,23 @@ SENTENCES = [
     ("iw", r"the software is provided as is and the author disclaims all warranties"),
     ("ag", r"gnu affero general public licen[cs]e|\bagpl ?v?3?( 0)?( only| or later)?\b"),
     ("lg", r"gnu (lesser|library) general public licen[cs]e|\blgpl ?v?[23]?( [01])?( only| or later)?\b"),
-    ("gl", r"gnu general public licen[cs]e( as published by the free software foundation)?( either)? version [23]( 0)? (or|of the license or) (at your option )?any later version|\bgpl ?v?[23]( 0)? or later\b"),
+    ("gl", r"gnu general public licen[cs]e( as published by the free software foundation)?( either)?( version| v) ?[23]( 0)? (or|of the license or) (at your option )?(any )?later( version)?\b|\bgpl( version)? ?v?[23]( 0)? or( any)? later( version)?\b"),
     ("g3", r"gnu general public licen[cs]e( version| v) ?3( 0)?\b|\bgpl ?v?3( 0)?( only)?\b"),
     ("g2", r"gnu general public licen[cs]e( version| v) ?2( 0)?\b|\bgpl ?v?2( 0)?( only)?\b"),
-    ("gp", r"gnu general public licen[cs]e|\bgnu gpl\b"),
+    ("gp", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl (software|licen[cs]ed?)\b"),
     ("mz", r"mozilla public licen[cs]e( version| v)? ?2 0|spdx license identifier mpl 2 0|\bmpl 2 0\b"),
+    ("m1", r"mozilla public licen[cs]e( version| v)? ?1 1|spdx license identifier mpl 1 1|\bmpl 1 1\b"),
+    ("bo", r"boost software licen[cs]e( version 1 0)?|spdx license identifier bsl 1 0|\bbsl 1 0\b"),
+    ("zl", r"\bzlib licen[cs]e\b|spdx license identifier zlib\b|altered source versions must be plainly marked as such"),
     ("ep", r"eclipse public licen[cs]e( version| v)? ?2 0|spdx license identifier epl 2 0|\bepl 2 0\b"),
     ("br", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bs", r"redistributions of source code must retain the above copyright notice"),
     ("bb", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bn", r"neither the name of [^<]* may be used to endorse or promote products"),
     ("bw", r"this software is provided by [^<]* as is and any express or implied warranties"),
-    ("b3", r"\b(3 clause bsd|bsd 3 clause)( licen[cs]e)?\b"),
-    ("b2", r"\b(2 clause bsd|bsd 2 clause)( licen[cs]e)?\b"),
+    ("b3", r"\b(3 clause bsd|bsd 3 clause)( licen[cs]e)?\b|\b(new|modified|revised) bsd licen[cs]e\b"),
+    ("b2", r"\b(2 clause bsd|bsd 2 clause)( licen[cs]e)?\b|\b(simplified bsd|freebsd) licen[cs]e\b"),
+    ("bd", r"\bbsd licen[cs]e[ds]?\b|licen[cs]ed under (the )?bsd\b"),
     ("cz", r"\bcc0\b|creative commons zero"),
     ("cs", r"\bcc by nc sa\b|creative commons attribution non ?commercial share ?alike"),
     ("cd", r"\bcc by nc nd\b|creative commons attribution non ?commercial no ?deriv"),
@@ -61,12 +65,12 @@ SENTENCES = [
 #: A word of every known sentence, as it may stand before normalisation.
 GAP = "[^a-z0-9]+"
 NEEDED = (
-    "(?i)licen[cs]|copyright|permission|redistribut|warrant|liab|endorse|gpl|cc0|unencumbered|mpl|epl|bsd|"
+    "(?i)licen[cs]|copyright|permission|redistribut|warrant|liab|endorse|gpl|cc0|unencumbered|mpl|epl|bsd|bsl|source versions|"
     + "|".join(x.replace(" ", GAP) for x in ("public domain", "as is", "all rights", "cc by", "creative commons", "general public"))
 )
 
 #: Licence and the sequence of identifiers that shows it, in order of
-#: precedence. ``~`` lets up to three other identifiers lie between.
+#: precedence. ``~`` lets any other identifiers lie between.
 RULES = [
     ("MIT", "mp~mn~mw"),
     ("BSD-3-Clause", "br~bs~bb~bn"),
@@ -83,9 +87,13 @@ RULES = [
     ("GPL-2.0", "g2"),
     ("GPL", "gp"),
     ("MPL-2.0", "mz"),
+    ("MPL-1.1", "m1"),
+    ("BSL-1.0", "bo"),
+    ("Zlib", "zl"),
     ("EPL-2.0", "ep"),
     ("BSD-3-Clause", "b3"),
     ("BSD-2-Clause", "b2"),
+    ("BSD", "bd"),
     ("CC0-1.0", "cz"),
     ("CC-BY-NC-SA", "cs"),
     ("CC-BY-NC-ND", "cd"),
@@ -99,14 +107,16 @@ RULES = [
 ]
 
 #: Licences that a line end can cut out of a more specific one; then wrapped text decides.
-GENERAL = {"GPL": ("gl", "g3", "g2"), "CC-BY": ("cs", "cd", "cn", "ca", "cr"), "CC-BY-NC": ("cs", "cd")}
+GENERAL = {"GPL": ("gl", "g3", "g2"), "GPL-3.0": ("gl",), "GPL-2.0": ("gl",), "BSD": ("b3", "b2"), "CC-BY": ("cs", "cd", "cn", "ca", "cr"), "CC-BY-NC": ("cs", "cd")}
 
 #: Ends of sentences; a semicolon is none, since licence sentences go on behind it.
 LINE_ENDS = r"[.!?]+[\x20\x09-\x0D]+|\n+"
 STOP_ENDS = r"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09]*\n+"
+#: A version and a plus sign: that version or a later one.
+PLUS = "([0-9])[+]([^0-9a-z+]|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A gap of a rule: at most three other identifiers.
-GAPS = "((?:<[a-z0-9]{2}>){0,3})"
+#: A gap of a rule: other identifiers, as few as there are.
+GAPS = "((?:<[a-z0-9]{2}>)*?)"
 
 
 def rule_pattern(rule: str) -> str:
@@ -120,7 +130,7 @@ def rule_gaps(rule: str, mark: str) -> str:
 
 
 def _normalised(sentence: Column) -> Column:
-    lowered = F.translate(sentence, UPPER, LOWER)
+    lowered = F.regexp_replace(F.translate(sentence, UPPER, LOWER), PLUS, "$1 or later$2")
     return F.btrim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
@@ -190,7 +200,8 @@ def licenses_sql() -> str:
 
     def ids(ends: str) -> str:
         some = f"list_filter(string_split_regex(t, {quoted(ends)}), lambda s: regexp_matches(s, {quoted(NEEDED)}))"
-        plain = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+        lowered = f"regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '{PLUS}', '\\1 or later\\2', 'g')"
+        plain = f"trim(regexp_replace({lowered}, '[^a-z0-9]+', ' ', 'g'))"
         own = f"list_transform(list_transform({some}, lambda s: {plain}), lambda s: {found})"
         return f"list_transform({own}, lambda l: list_filter(l, lambda x, i: list_position(l, x) = i))"
 
