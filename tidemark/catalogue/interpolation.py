@@ -482,3 +482,21 @@ def regrid_front(spark, folder):
     field = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("level"), src.alias("src")).agg(F.max("l_quantity").alias("x"))
     out = interpolate(field, read_weights(spark, path), "x", target=target)
     return out.select("dst", "level", F.round("x", 6).alias("value"), F.round("mask", 6).alias("mask"))
+
+
+@query(FIELD + """, p AS (SELECT c_custkey AS point, (c_custkey % 90) / 10.0 AS px, (c_custkey % 60) / 10.0 AS py FROM customer WHERE c_custkey % 4 <> 1),
+q AS (SELECT point, px, py, least(floor(px), 8)::INT AS i0, least(floor(py), 5)::INT AS j0, px - least(floor(px), 8) AS a, py - least(floor(py), 5) AS b FROM p),
+c AS (SELECT point, i0 AS i, j0 AS j, (1 - a) * (1 - b) AS w FROM q UNION ALL SELECT point, i0 + 1, j0, a * (1 - b) FROM q UNION ALL SELECT point, i0 + 1, j0 + 1, a * b FROM q UNION ALL SELECT point, i0, j0 + 1, (1 - a) * b FROM q),
+m AS (SELECT point, sum(x * w) / sum(w) AS x FROM c JOIN f USING (i, j) GROUP BY point)
+SELECT point, CASE WHEN px BETWEEN 2 AND 6 AND py BETWEEN 1 AND 4 THEN -1.0 ELSE round(2 * x * 1.25, 6) END AS value FROM q JOIN m USING (point)""")
+def override_points(spark, folder):
+    """A list of points (no grid) overridden outside a region, half-way between two times."""
+    from tidemark.operators.fields import Override, override_from
+
+    key = F.col("c_custkey")
+    model = table(spark, folder, "customer").where(key % 4 != 1).select(key.alias("dst"), (key % 90 / 10.0).alias("lon"), (key % 60 / 10.0).alias("lat"), F.lit(-1.0).alias("x"), F.lit(3.0).alias("t"))
+    f = _field(spark, folder)
+    slices = f.select(F.lit(0.0).alias("t"), "i", "j", "x").unionByName(f.select(F.lit(6.0).alias("t"), "i", "j", (1.5 * F.col("x")).alias("x")))
+    row = Override("LND", "soil", "soil_obs", 2.0, (2.0, 6.0, 1.0, 4.0), outside=True)
+    out = override_from(model, [row], "LND", "soil", "x", slices, [float(i) for i in range(10)], [float(j) for j in range(7)])
+    return out.select(F.col("dst").alias("point"), F.round("x", 6).alias("value"))

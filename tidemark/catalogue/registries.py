@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import registry as reg
+from tidemark.operators.fields import Override
 from tidemark.operators.gas_flux import Flux, fluxes, register
 
 TRACERS = """WITH f AS (SELECT p_type AS model, p_brand AS tracer, min(p_partkey) AS place, max_by(p_name, p_partkey) FILTER (p_partkey % 3 = 0) AS longname,
@@ -106,3 +107,14 @@ def gas_fluxes(spark, folder):
     digits = F.when(F.col("name") == "iron", F.round("flux", 4)).when(F.col("name") == "silt", F.round("flux", 2)).otherwise(F.round(F.col("flux") * 1e9, 4))
     scaled = lambda c: F.round(F.col(c) * 1e9, 4).alias(c)
     return out.select("l_orderkey", "l_linenumber", "name", digits.alias("flux"), scaled("kw"), scaled("flux0"), F.round("deltap", 4).alias("deltap"))
+
+
+@query(CELLS + """, n AS (SELECT bc, CASE bc WHEN 0 THEN 'co2' WHEN 1 THEN 'o2' WHEN 2 THEN 'cfc' WHEN 3 THEN 'iron' END AS name FROM range(5) r(bc)), f AS (SELECT * FROM c JOIN n USING (bc))
+SELECT bc, i, j, CASE name WHEN 'co2' THEN 7.5 WHEN 'o2' THEN CASE WHEN i % 3 <> 0 THEN i * 2.0 END WHEN 'cfc' THEN CASE WHEN i BETWEEN 20 AND 60 AND j BETWEEN 5 AND 20 AND i % 3 <> 0 THEN i * 3.0 ELSE value END ELSE value END::DOUBLE AS value FROM f""")
+def override_conditions(spark, folder):
+    """Fields of conditions replaced by a constant, by a file, and by a file in a region; the others stay."""
+    table_rows = [Override("OCN", "co2", None, 7.5), Override("OCN", "o2", "o2_file", 2.0), Override("ATM", "iron", None, 1.0), Override("OCN", "cfc", "cfc_file", 3.0, (20.0, 60.0, 5.0, 20.0)), Override("OCN", "co2", None, 9.0)]
+    held = fields(spark, folder).withColumns({"lon": F.col("i").cast("double"), "lat": F.col("j").cast("double")})
+    names = spark.createDataFrame([(0, 1, "co2"), (1, 1, "o2"), (2, 1, "cfc"), (3, 1, "iron")], "bc long, field int, name string")
+    files = held.where("i % 3 <> 0").select(F.explode(F.array(F.lit("o2"), F.lit("cfc"))).alias("name"), "i", "j", F.col("i").cast("double").alias("value"))
+    return reg.override_conditions(held, names, table_rows, "OCN", files).select("bc", "i", "j", "value")

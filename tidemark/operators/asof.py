@@ -96,6 +96,38 @@ def interpolate_list(df: DataFrame, spans: DataFrame, time: Column, name: str =
     return joined.withColumn(name, (1 - w) * F.col("x1") + w * F.col("x2")).drop("__t", "t1", "x1", "t2", "x2")
 
 
+def interpolate_modulo(points: list[tuple[float, float]], time: Column, period: Column) -> Column:
+    """The value of a short cyclic list of ``(time, value)`` at ``time``, whatever the row's own period.
+
+    So a list of days of the month holds for months of any length: behind the last point
+    comes the first one of the next period. Times and points count from the period's
+    begin; points behind a row's period are an error of that row.
+    """
+    points = sorted(points)
+    if len(points) < 2 or len(points) > MOST_INTERVALS:
+        raise ValueError(f"two points to {MOST_INTERVALS} make a list")
+    at, values = constants([t for t, _ in points]), constants([x for _, x in points])
+    n, first, last = len(points), points[0][0], points[-1][0]
+    k = points_upto([t for t, _ in points], time)
+    item = lambda a, place: F.element_at(a, F.least(F.greatest(place, F.lit(1)), F.lit(n)))
+    inner = (time - item(at, k)) / (item(at, k + 1) - item(at, k))
+    round_gap = period - (last - first)
+    outer = F.when(k >= n, time - last).otherwise(time + period - last) / round_gap
+    inside = (k >= 1) & (k < n)
+    low, high = F.when(inside, item(values, k)).otherwise(points[-1][1]), F.when(inside, item(values, k + 1)).otherwise(points[0][1])
+    w = F.when(inside, inner).otherwise(outer)
+    late = F.concat(F.lit("a point lies behind a period of "), period.cast("string"))
+    return F.when(period <= last, F.raise_error(late).cast("double")).otherwise((1 - w) * low + w * high)
+
+
+def in_month(time: Column) -> tuple[Column, Column]:
+    """Days since the begin of a timestamp's month, and the month's length in days."""
+    t = time.cast("timestamp_ntz")
+    begin = F.date_trunc("month", t).cast("timestamp_ntz")
+    micros_of = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros_of(t) - micros_of(begin)) / F.lit(86_400_000_000.0), F.dayofmonth(F.last_day(t)).cast("double")
+
+
 def loop_time(time: Column, begin: int, end: int) -> Column:
     """``time`` moved by whole periods into [begin, end)."""
     if begin >= end:

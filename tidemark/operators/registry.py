@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fields import Override
+
 
 def numbered(entries: DataFrame, group: str, name: str, place: str, strict: bool = False) -> DataFrame:
     """``group, name, number``: names of each group from 1 in the order of their first place.
@@ -99,6 +101,39 @@ def set_field(fields: DataFrame, data: DataFrame, bc: int, field: int, scale: fl
     return joined.select(*[F.when(here, F.coalesce("__new", "value")).otherwise(F.col("value")).alias("value") if c == "value" else F.col(c) for c in fields.columns])
 
 
+def override_conditions(fields: DataFrame, names: DataFrame, table: list[Override], grid: str, files: DataFrame | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``fields(bc, field, i, j, ...)`` with those replaced that the override table names on a grid.
+
+    ``names(bc, field, name)`` are the fields' names, ``files(name, i, j[, k], value)`` what their
+    files hold at the time, on the grid. For each name the first row of the table holds: a
+    constant, or the file's value times the factor. In a region only its inside (or outside)
+    is replaced, and there only where the file has a value; without one, cells that the
+    file lacks become null. Other fields stay.
+    """
+    first: dict[str, Override] = {}
+    for row in table:
+        if row.grid == grid:
+            first.setdefault(row.field, row)
+    if not first:
+        return fields
+    named = fields.join(names.select("bc", "field", "name"), ["bc", "field"], "left")
+    if files is not None:
+        keys = ["name", *[c for c in ("i", "j", "k") if c in files.columns]]
+        named = named.join(files.select(*keys, F.col("value").alias("__file")), keys, "left")
+    else:
+        named = named.withColumn("__file", F.lit(None).cast("double"))
+    value = F.col("value")
+    for name, row in first.items():
+        new = F.lit(float(row.factor)) if row.source is None else F.col("__file") * float(row.factor)
+        here = F.col("name") == name
+        if row.region:
+            w, e, s, n = row.region
+            inside = F.col(lon).between(w, e) & F.col(lat).between(s, n)
+            here = here & (~inside if row.outside else inside) & new.isNotNull()
+        value = F.when(here, new).otherwise(value)
+    return named.select(*[value.alias("value") if c == "value" else F.col(c) for c in fields.columns])
+
+
 def spawn(meta: DataFrame, cells: DataFrame, fill: float = 0.0) -> DataFrame:
     """A field table of the same conditions and fields over other cells, filled with one value.
 
