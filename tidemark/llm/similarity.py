@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import shared_table
+from tidemark.llm.shared import arrow_rows, shared_table
 from tidemark.llm.simhash import fingerprint, simhash_links
 
 WIDTH = 5
@@ -38,6 +38,7 @@ BANDS, ROWS = 25, 6
 RUN_ALL, RUN_NEAR = 16, 4
 CHUNK = 1024
 TEXTS_AT_ONCE = 500
+TEXTS_A_BATCH, TEXTS_KNOWN = 1000, 16
 BLOCK, PROBES = 128, 1024  # texts held and texts compared with them in one unit of the second step
 
 
@@ -138,7 +139,7 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = lru_cache(64)(shingles)
+    known = lru_cache(TEXTS_KNOWN)(shingles)
     for batch in batches:
         keep = [similar(known(a.as_py()), known(b.as_py())) for a, b in zip(batch.column(2), batch.column(3))]
         out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -200,6 +201,11 @@ def similar_groups(texts: DataFrame) -> DataFrame:
 
     One row a node; nodes without a similar one are left out.
     """
+    with arrow_rows(texts.sparkSession, TEXTS_A_BATCH):
+        return _similar_groups(texts)
+
+
+def _similar_groups(texts: DataFrame) -> DataFrame:
     keyed = texts.select("node", "text").mapInArrow(_emit_bands, "key long, node long, size long")
     runs = keyed.repartition("key").withColumn("rank", F.xxhash64("key", "node")).sortWithinPartitions("key", "rank")
     found = shared_table(runs.select("key", "node", "size").mapInArrow(_emit_pairs, FOUND), "similar-found")
