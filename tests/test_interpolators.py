@@ -253,3 +253,23 @@ def test_bicubic_is_exact_where_differences_are(spark):
     edges = spark.createDataFrame([(0, -1.0, 2.0), (1, 9.0, 9.0), (2, 3.0, 0.0), (3, 7.0, 5.0)], "dst long, x double, y double")
     got = {r.dst: r.value for r in regrid.apply_weights(field, regrid.bicubic_weights(edges, xs, ys), ["i", "j"], ["dst"], "v").collect()}
     assert got == pytest.approx({0: f(0, 2), 1: f(7, 5), 2: f(3, 0), 3: f(7, 5)})
+
+
+def test_splines_with_and_without_slopes(spark):
+    """A cubic comes back whole from its own slopes; natural ends have no curvature."""
+    from tidemark.operators.neighbours import spline
+
+    xs = [0.0, 0.5, 2.0, 3.0, 4.5]
+    f, slope = (lambda x: x**3 - 2 * x * x + x - 1), (lambda x: 3 * x * x - 4 * x + 1)
+    df = spark.createDataFrame([(1, x, f(x)) for x in xs] + [(2, 1.0, 7.0)], "c int, x double, y double")
+    at = spark.createDataFrame([(c, x / 4) for c in (1, 2, 3) for x in range(0, 19)], "c int, at double")
+    got = {(r.c, r.at): r.value for r in spline(df, at, ["c"], (slope(0.0), slope(4.5))).collect()}
+    assert all(got[1, x / 4] == pytest.approx(f(x / 4)) and got[2, x / 4] == 7.0 and np.isnan(got[3, x / 4] or np.nan) for x in range(19))
+    h = 1e-3
+    ends = spark.createDataFrame([(1, x + d * h) for x in (0.0, 4.5) for d in (-1, 0, 1)], "c int, at double")
+    near = sorted((r.at, r.value) for r in spline(df.where("c = 1"), ends, ["c"]).collect())
+    for k in (0, 3):
+        a, b, c = (v for _, v in near[k : k + 3])
+        assert abs(a - 2 * b + c) / h**2 < 0.05
+    with pytest.raises(Exception, match="distinct"):
+        spline(df.union(df), at, ["c"]).collect()

@@ -74,11 +74,42 @@ def flood_fill(spark, folder):
     return nb.flood_fill(df, "i", "j", "x", seed, critical, period=15)
 
 
-@query()
-def spline_1d(spark, folder):
+def _spline_sql(first: str, last: str) -> str:
+    """The tridiagonal system of second derivatives swept down and up; ``first`` and ``last`` are the end rows."""
+    return f"""
+WITH RECURSIVE g AS (SELECT p_brand, p_size::DOUBLE AS x, max(p_retailprice) AS y FROM part GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY p_brand) AS last, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS d0, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d1
+  FROM g WINDOW w AS (PARTITION BY p_brand ORDER BY x)),
+m AS (SELECT p_brand, n, last, x, y, u.a, u.b, u.c, u.r FROM (SELECT *, CASE WHEN n = 1 THEN {first} WHEN n = last THEN {last} ELSE {{'a': h0 / 6, 'b': (h0 + h1) / 3, 'c': h1 / 6, 'r': d1 - d0}} END AS u FROM r)),
+down(p_brand, n, e, f) AS (SELECT p_brand, n, c / b, r / b FROM m WHERE n = 1
+ UNION ALL SELECT m.p_brand, m.n, c / (b - a * e), (r - a * f) / (b - a * e) FROM down JOIN m ON m.p_brand = down.p_brand AND m.n = down.n + 1),
+up(p_brand, n, s) AS (SELECT p_brand, n, f FROM down JOIN m USING (p_brand, n) WHERE n = last
+ UNION ALL SELECT down.p_brand, down.n, f - e * s FROM up JOIN down ON down.p_brand = up.p_brand AND down.n = up.n - 1),
+t AS (SELECT DISTINCT p_brand, p_size * 0.5::DOUBLE + 1 AS at_x FROM part),
+k AS (SELECT p_brand, at_x, least(greatest(count_if(x <= at_x), 1), any_value(last) - 1) AS n FROM t JOIN m USING (p_brand) GROUP BY ALL),
+v AS (SELECT k.p_brand, at_x, (o.x - at_x) / (o.x - i.x) AS p, (at_x - i.x) / (o.x - i.x) AS q, o.x - i.x AS h, i.y AS y1, o.y AS y2, u1.s AS s1, u2.s AS s2
+  FROM k JOIN m i ON i.p_brand = k.p_brand AND i.n = k.n JOIN m o ON o.p_brand = k.p_brand AND o.n = k.n + 1 JOIN up u1 ON u1.p_brand = k.p_brand AND u1.n = k.n JOIN up u2 ON u2.p_brand = k.p_brand AND u2.n = k.n + 1)
+SELECT p_brand, at_x AS "at", round(p * y1 + q * y2 + ((p ** 3 - p) * s1 + (q ** 3 - q) * s2) * h * h / 6, 6) AS value FROM v"""
+
+
+def _splined(spark, folder, slopes=(None, None)):
     df = table(spark, folder, "part").groupBy("p_brand", F.col("p_size").alias("s")).agg(F.max("p_retailprice").alias("y"))
     targets = table(spark, folder, "part").select("p_brand", (F.col("p_size") * 0.5 + 1).alias("at")).distinct()
-    return nb.spline(df.select("p_brand", F.col("s").cast("double").alias("x"), "y"), targets, ["p_brand"]).select("p_brand", "at", F.round("value", 6).alias("value"))
+    return nb.spline(df.select("p_brand", F.col("s").cast("double").alias("x"), "y"), targets, ["p_brand"], slopes).select("p_brand", "at", F.round("value", 6).alias("value"))
+
+
+_FREE = "{'a': 0.0::DOUBLE, 'b': 1.0::DOUBLE, 'c': 0.0::DOUBLE, 'r': 0.0::DOUBLE}"
+
+
+@query(_spline_sql(_FREE, _FREE))
+def spline_1d(spark, folder):
+    return _splined(spark, folder)
+
+
+@query(_spline_sql("{'a': 0.0::DOUBLE, 'b': h1 / 3, 'c': h1 / 6, 'r': d1 - 2}", "{'a': h0 / 6, 'b': h0 / 3, 'c': 0.0::DOUBLE, 'r': -1 - d0}"))
+def spline_clamped(spark, folder):
+    """Slopes of 2 and -1 at the ends."""
+    return _splined(spark, folder, (2.0, -1.0))
 
 
 @query("""

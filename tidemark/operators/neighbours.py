@@ -143,8 +143,13 @@ def per_column(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def spline(df: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Natural cubic spline of ``df(keys, x, y)`` at ``targets(keys, at)``: ``keys, at, value``."""
+def spline(df: DataFrame, targets: DataFrame, keys: list[str], slopes: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Cubic spline of ``df(keys, x, y)`` at ``targets(keys, at)``: ``keys, at, value``.
+
+    ``slopes`` are those at both ends; where there is none the spline is natural, without
+    curvature at that end. Beyond the ends the last cubic goes on. Of one point all values
+    are its own, of none null; points repeated or without a value are an error.
+    """
     import numpy as np
 
     def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -154,12 +159,17 @@ def spline(df: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         at = b["at"].to_numpy(float)
         if n < 2:
             return b.assign(value=y[0] if n else np.nan)
-        second = np.zeros(n)
-        if n > 2:
-            h = np.diff(x)
-            lower, diagonal, upper = h[:-1] / 6, (h[:-1] + h[1:]) / 3, h[1:] / 6
-            rhs = np.diff(np.diff(y) / h)
-            second[1:-1] = thomas(lower, diagonal, upper, rhs)
+        h = np.diff(x)
+        if not (h > 0).all() or np.isnan(y).any():
+            raise ValueError(f"{key}: points of a spline are distinct and have values")
+        rise = np.diff(y) / h
+        lower, diagonal, upper, rhs = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
+        lower[1:-1], diagonal[1:-1], upper[1:-1], rhs[1:-1] = h[:-1] / 6, (h[:-1] + h[1:]) / 3, h[1:] / 6, np.diff(rise)
+        if slopes[0] is not None:
+            diagonal[0], upper[0], rhs[0] = h[0] / 3, h[0] / 6, rise[0] - slopes[0]
+        if slopes[1] is not None:
+            lower[-1], diagonal[-1], rhs[-1] = h[-1] / 6, h[-1] / 3, slopes[1] - rise[-1]
+        second = thomas(lower, diagonal, upper, rhs)
         k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
         h = x[k + 1] - x[k]
         p, q = (x[k + 1] - at) / h, (at - x[k]) / h
