@@ -421,7 +421,7 @@ e AS (SELECT t, a AS moment, 1 - w AS w FROM w UNION ALL SELECT t, b, w FROM w),
 y AS (SELECT *, month(moment) AS m, CASE WHEN year(moment) >= 1998 THEN 1998 ELSE 1995 END AS lo, CASE WHEN year(moment) <= 1995 THEN 1995 ELSE 1998 END AS hi FROM e),
 z AS (SELECT *, CASE WHEN lo = hi THEN 0 ELSE (epoch(moment) - epoch(make_date(lo, m, 1))) / (epoch(make_date(hi, m, 1)) - epoch(make_date(lo, m, 1)))::DOUBLE END AS share FROM y),
 u AS (SELECT t, m, yy, sum(ww) AS w FROM (SELECT t, m, lo AS yy, (1 - share) * w AS ww FROM z UNION ALL SELECT t, m, hi, share * w FROM z) GROUP BY ALL HAVING sum(ww) > 0)
-SELECT t, p, CASE WHEN count(x) = (SELECT count(*) FROM u v WHERE v.t = u.t) THEN round(sum(x * w), 3) END AS x FROM u JOIN s ON s.y = yy AND s.m = u.m GROUP BY t, p""")
+SELECT t, p, CASE WHEN count(x) = (SELECT count(*) FROM u v WHERE v.t = u.t) THEN round(sum(x * w) / pi(), 4) END AS x FROM u JOIN s ON s.y = yy AND s.m = u.m GROUP BY t, p""")
 def climatology_month_year(spark, folder):
     """Monthly means of two years that do not follow one another, at all days of orders between them."""
     from tidemark.operators.climatology import months_between_years
@@ -431,7 +431,7 @@ def climatology_month_year(spark, folder):
     means = df.where(year.isin(1995, 1998)).groupBy(year.alias("year"), F.month("o_orderdate").alias("month"), F.col("o_orderpriority").alias("p"))
     source = means.agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("x")).withColumn("day", F.lit(15))
     out = months_between_years(source, df.select(F.col("o_orderdate").alias("t")), ["p"])
-    return out.select("t", "p", F.round("x", 3).alias("x"))
+    return out.select("t", "p", F.round(F.col("x") / math.pi, 4).alias("x"))  # no mean of cents lies half-way then
 
 
 UNEVEN_X, UNEVEN_Y = [0.0, 30.0, 65.0, 100.0, 150.0, 190.0, 240.0, 275.0, 300.0, 335.0], [-60.0, -35.0, -20.0, 0.0, 15.0, 40.0, 70.0]
