@@ -51,6 +51,16 @@ def test_lists_copies_and_unknown_names(spark, small):
     assert [tuple(r) for r in tree.unknown(small, paths.where("path = '/'"), allowed).collect()] == [("/", "c")]
 
 
+def test_copies_keep_the_tree_off_the_driver(spark, small, tmp_path):
+    """A tree that Spark takes for small is not broadcast, and equal and null paths stay as they are."""
+    small.unionByName(spark.createDataFrame([(None, 0, "n", "int"), ("/a/x", 1, "2", "int")], SCHEMA)).write.parquet(str(tmp_path / "tree"))
+    pairs = spark.createDataFrame([("/a", "/d"), ("/a/b", "/c")], "old string, new string")
+    got = tree.copy(spark.read.parquet(str(tmp_path / "tree")), pairs)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [("/a/b/y", "t"), ("/a/x", "1"), ("/a/x", "2"), ("/a/x", "2"), ("/c/y", "t"), ("/d/b/y", "t"), ("/d/x", "1"), ("/d/x", "2"), ("/d/x", "2"), ("None", "n")]
+    assert sorted((str(r.path), r.value) for r in got.collect()) == sorted(want)
+
+
 def test_columns_and_lines(spark):
     cells = spark.createDataFrame([(i, j, 90.0 * i - 180, 90.0 * i - 90, 45.0 * j - 90, 45.0 * j - 45) for i in range(4) for j in range(4)], "i int, j int, lon0 double, lon1 double, lat0 double, lat1 double")
     points = [("a", 0.0, 90.0), ("b", 359.9, -90.0), ("c", 90.0, 0.0)]

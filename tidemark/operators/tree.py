@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ("path", "index", "value", "type")
+#: Keys that the paths below one list are dealt over.
+SALTS = 32
 
 
 def tidy(path: Column) -> Column:
@@ -79,18 +81,25 @@ def children(tree: DataFrame, lists: DataFrame) -> DataFrame:
 def copy(tree: DataFrame, pairs: DataFrame, move: bool = False) -> DataFrame:
     """``tree`` with what lies at and below ``pairs(old, new)``'s old paths at their new ones too, or (``move``) there alone.
 
-    What was at the new paths gives way.
+    What was at the new paths gives way. Where each path goes is found once a path, not once
+    a value; what lies below one list is dealt out over ``SALTS`` keys.
     """
     pairs = pairs.select(tidy(F.col("old")).alias("old"), tidy(F.col("new")).alias("new"))
-    placed = tree.select(*COLUMNS, F.explode(ancestors(F.col("path"))).alias("at"))
-    made = placed.join(pairs.withColumnRenamed("old", "at"), "at")
-    path = F.concat("new", F.substr("path", F.length("at") + 1))
-    made = made.select(path.alias("path"), "index", "value", "type")
+    paths = tree.select("path").distinct()
+    salt = F.pmod(F.hash("path"), F.lit(SALTS))
+    placed = paths.select("path", F.explode(ancestors(F.col("path"))).alias("at"), salt.alias("salt"))
+    # merge joins: Spark takes a tree of repeated texts for small and would send it through the driver
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    made = placed.join(salted(pairs.withColumnRenamed("old", "at")), ["at", "salt"])
+    made = made.select("path", F.concat("new", F.substr("path", F.length("at") + 1)).alias("to"))
     gone = pairs.select(F.col("new").alias("at"))
     if move:
         gone = gone.unionByName(pairs.select(F.col("old").alias("at")))
-    covered = placed.join(gone.distinct(), "at").select("path").distinct()
-    return tree.join(covered, "path", "left_anti").select(*COLUMNS).unionByName(made)
+    covered = placed.join(salted(gone.distinct()), ["at", "salt"]).select("path").distinct()
+    kept = paths.join(covered.hint("merge"), "path", "left_anti")
+    goes = kept.select("path", F.col("path").alias("to")).unionByName(made).withColumnRenamed("path", "__from")
+    out = tree.join(goes.hint("merge"), F.col("path").eqNullSafe(F.col("__from")))
+    return out.select(F.col("to").alias("path"), "index", "value", "type")
 
 
 def unknown(tree: DataFrame, lists: DataFrame, allowed: DataFrame) -> DataFrame:
