@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalogue import QUERIES
 from tidemark.functions import calendar as cal
 from tidemark.functions import physics as ph
 from tidemark.functions.random_numbers import uniform_series
@@ -210,6 +211,17 @@ def test_store(spark, tmp_path):
     assert store.tile_path("a/b.nc", 3, 1) == "a/b.ens_01.tile3.nc"
 
 
+def test_checksums_of_integers_beyond_64_bits(spark, tmp_path):
+    keys = [(1 << 22, 1), (3 << 40, 2), ((1 << 63) - 1, 5), (1 << 22, 7), (-(1 << 50), 3), (None, 4)]
+    rows = [(k, p, "A") for k, p in keys]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sum((k << 42) + p for k, p in keys if p != 7 and k is not None) % (1 << 64)
+    assert QUERIES["chksum_int"](spark, str(tmp_path)).first().chksum == f"{want:016x}"
+    longs = [-(1 << 63), (1 << 63) - 1, -5, 9, 9]
+    df = spark.createDataFrame([(x,) for x in longs], "x long")
+    assert df.agg(reductions.checksum(F.col("x")).alias("c")).first().c == f"{sum(longs) % (1 << 64):016x}"
+
+
 def test_config():
     rows = config.parse_overrides("""
 data_table:

@@ -380,7 +380,9 @@ def field_stats(spark, folder):
 @query("""
 SELECT l_returnflag, printf('%016x', sum((l_orderkey * 4294967296 * 1024 + l_partkey)::HUGEINT) % 18446744073709551616::HUGEINT) AS chksum FROM lineitem WHERE l_partkey <> 7 GROUP BY ALL""")
 def chksum_int(spark, folder):
-    df = table(spark, folder, "lineitem").where("l_partkey <> 7").withColumn("x", F.col("l_orderkey") * F.lit(1 << 42) + F.col("l_partkey"))
+    # from order 2 ** 21 on the integers are beyond 64 bits
+    x = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(1 << 42).cast("decimal(13,0)") + F.col("l_partkey")
+    df = table(spark, folder, "lineitem").where("l_partkey <> 7").withColumn("x", x)
     return df.groupBy("l_returnflag").agg(red.checksum(F.col("x")).alias("chksum"))
 
 

@@ -204,9 +204,13 @@ def statistics(df: DataFrame, keys: list[str], value: str, area: str, mask: Colu
 
 
 def checksum(value: Column, missing: Column | None = None) -> Column:
-    """Wrapping 64-bit sum of integers, without those equal to ``missing``, as hex digits."""
+    """Wrapping 64-bit sum of integers, without those equal to ``missing``, as hex digits.
+
+    Integers may be decimals of any size; each is wrapped before it is summed.
+    """
     kept = value if missing is None else F.when(value != missing, value)
-    wrapped = F.pmod(F.sum(kept.cast("decimal(20,0)")), F.lit(str(1 << 64)).cast("decimal(20,0)"))
+    around = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    wrapped = F.pmod(F.sum(F.pmod(kept.cast("decimal(38,0)"), around).cast("decimal(20,0)")), around)
     high = F.floor(wrapped / F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
     low = (wrapped % F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
     return F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0")))
