@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import time
 
 import numpy as np
 import pytest
@@ -302,6 +303,19 @@ def test_daylight_is_its_integral_over_the_interval(spark):
     assert tuple(spark.range(1).select(*now).first()) == pytest.approx((1.0, 1.0))
 
 
+def test_stability_is_solved_in_batches(spark):
+    """Many rows in seconds, the same for repeated and for different rows, and null or NaN where nothing is known."""
+    n = F.col("id")
+    air = spark.range(300_000).select("id", (280 + n % 50 / 2).alias("pt"), F.lit(292.0).alias("pt0"), F.lit(30.0).alias("z"), F.lit(0.05).alias("z0"), F.lit(0.01).alias("zt"), (1 + n % 11).cast("double").alias("speed"))
+    began = time.time()
+    got = ph.surface_drag(air).agg(F.count("zeta").alias("n"), F.count_if(F.col("zeta") < 0).alias("unstable"), F.countDistinct("zeta").alias("different")).first()
+    assert time.time() - began < 12 and got.different <= 550 and 0 < got.unstable < got.n < 300_000
+    some = [(280.0, 30.0, 0.05), (281.0, 30.0, 0.05), (280.0, 30.0, 0.05), (None, 30.0, 0.05), (280.0, None, 0.05)]
+    rows = spark.createDataFrame(some, "pt double, z double, z0 double").withColumns({"pt0": F.lit(292.0), "zt": F.lit(0.01), "speed": F.lit(3.0)}).coalesce(1)
+    first, other, again, *unknown = [r.zeta for r in ph.surface_drag(rows).collect()]
+    assert first == again != other and unknown[0] is None
+
+
 def test_surface_layer_profile_and_neutral_drag(spark):
     args = [F.lit(x) for x in (30.0, 10.0, 2.0, 0.05, 0.01, 0.3)]
     plain = ph.wind_and_scalar_shares(*args, F.lit(0.02), neutral=True)

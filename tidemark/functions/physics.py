@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,12 +220,56 @@ def _gain(zeta: Column, zeta0: Column) -> Column:
     return (5 - b) * F.log((1 + up) / (1 + up0)) + b * (up - up0)
 
 
+def _stability(rounds: int) -> Callable[..., Column]:
+    """The ``zeta`` of bulk Richardson numbers over heights and roughnesses: ``_profile_m`` and ``_profile_t`` on arrays."""
+    b = 1 / RICH_CRIT
+
+    def number(zeta: np.ndarray, logs: tuple[np.ndarray, np.ndarray], parts: tuple[np.ndarray, np.ndarray], unstable: bool) -> np.ndarray:
+        (log_m, log_t), (part_m, part_t) = logs, parts
+        if not unstable:
+            gain = lambda part: (5 - b) * np.log((1 + zeta) / (1 + zeta * part)) + b * (zeta - zeta * part)
+            m, t = log_m + gain(part_m), log_t + gain(part_t)
+            return zeta * t / (m * m)
+        y, y0 = np.sqrt(1 - 16 * zeta), np.sqrt(1 - 16 * zeta * part_m)
+        x, x0 = np.sqrt(y), np.sqrt(y0)
+        m = log_m - np.log((1 + y) * (1 + x) * (1 + x) / ((1 + y0) * (1 + x0) * (1 + x0))) + 2 * (np.arctan(x) - np.arctan(x0))
+        t = log_t - 2 * np.log((1 + y) / (1 + np.sqrt(1 - 16 * zeta * part_t)))
+        return zeta * t / (m * m)
+
+    def solved(rich: np.ndarray, height: np.ndarray, z0: np.ndarray, zt: np.ndarray, unstable: bool) -> np.ndarray:
+        # brackets in zeta: what solves for SOLVED_SHARE of the critical number is far inside
+        low, high = (np.full(len(rich), x) for x in ((-1.0e5, 0.0) if unstable else (0.0, 1.0e5)))
+        parts = z0 / height, zt / height
+        logs = tuple(np.log(height / rough) for rough in (z0, zt))
+        for _ in range(rounds):
+            middle = (low + high) / 2
+            up = number(middle, logs, parts, unstable) < rich
+            low, high = np.where(up, middle, low), np.where(up, high, middle)
+        return (low + high) / 2
+
+    @F.pandas_udf("double")
+    def stability(rich: pd.Series, height: pd.Series, z0: pd.Series, zt: pd.Series) -> pd.Series:
+        rows = pd.DataFrame({"rich": rich, "height": height, "z0": z0, "zt": zt}).astype(float)
+        group = rows.groupby(list(rows), sort=False, dropna=False)
+        place = group.ngroup().to_numpy()
+        different = np.empty((place.max(initial=-1) + 1, 4))
+        different[place] = rows.to_numpy()
+        out = np.full(len(different), np.nan)
+        with np.errstate(all="ignore"):
+            for unstable in (True, False):
+                at = different[:, 0] < 0 if unstable else (different[:, 0] >= 0) & (different[:, 0] < SOLVED_SHARE * RICH_CRIT)
+                out[at] = solved(*different[at].T, unstable)
+        return pd.Series(out[place])
+
+    return stability
+
+
 def surface_drag(df: DataFrame, rounds: int = 60, neutral: bool = False) -> DataFrame:
     """``df(pt, pt0, z, z0, zt, speed)`` with ``drag_m, drag_t, u_star, b_star`` and ``zeta``.
 
     The stability ``zeta`` of the bulk Richardson number is found by halving a bracket
-    within each row (the number grows with ``zeta``), as a fold over ``rounds``: no
-    Python and no iteration of the job. Beyond 0.95 of the critical number the least
+    ``rounds`` times (the number grows with ``zeta``), for the different rows of an Arrow
+    batch at once. Beyond 0.95 of the critical number the least
     drag holds and ``zeta`` is null. A row with a null input gets nulls. With a column
     ``zq`` there is ``drag_q`` too. ``neutral`` takes ``zeta`` as zero everywhere.
     """
@@ -235,19 +282,7 @@ def surface_drag(df: DataFrame, rounds: int = 60, neutral: bool = False) -> Data
     df = df.withColumn("__b", buoyancy).withColumn("__h", height).withColumn("__ri", rich)
     h, z0, zt, ri = F.col("__h"), F.col("z0"), F.col("zt"), F.col("__ri")
 
-    def below(zeta: Column) -> Column:
-        m = _profile_m(zeta, h, z0)
-        return zeta * _profile_t(zeta, h, zt) / (m * m) < ri
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["low"] + state["high"]) / 2
-        up = below(middle)
-        return F.struct(F.when(up, middle).otherwise(state["low"]).alias("low"), F.when(up, state["high"]).otherwise(middle).alias("high"))
-
-    # brackets in zeta: what solves for 0.95 of the critical number is far inside
-    start = F.struct(F.when(ri < 0, -1.0e5).otherwise(0.0).alias("low"), F.when(ri < 0, 0.0).otherwise(1.0e5).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    zeta = F.when(ri < SOLVED_SHARE * RICH_CRIT, (found["low"] + found["high"]) / 2)
+    zeta = F.when(ri < SOLVED_SHARE * RICH_CRIT, F.lit(0.0) if neutral else _stability(rounds)(ri, h, z0, zt))
     df = df.withColumn("zeta", F.when(F.abs(zeta) < ZETA_LIMIT, 0.0).otherwise(zeta))
     least = F.lit(math.sqrt(DRAG_MIN))
     beyond = ri >= SOLVED_SHARE * RICH_CRIT
