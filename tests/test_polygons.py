@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import polygons, regrid
 
@@ -83,6 +85,42 @@ def test_centres_of_lon_lat_cells(spark):
     assert (got.area, got.lon, got.lat) == pytest.approx((area, 0.5, (math.cos(1) + math.sin(1) - 1) / area))
 
 
+@pytest.mark.parametrize("edges", ["great_circle", "lon_lat"])
+def test_narrow_cells_meet_few_others(spark, edges):
+    """12000 and 16000 slivers from south to north, across the seam: each is shared whole, in seconds."""
+
+    def ring(name, columns, rows, lean):
+        n = F.col("id")
+        lon = lambda a, b: (n % columns + a + lean * F.sin(F.floor(n / columns) + b)) * (2 * math.pi / columns) - 1.0
+        edge = math.pi / 2 if edges == "great_circle" else 1.0
+        lat = lambda b: (F.floor(n / columns) + b) * (2 * edge / rows) - edge
+        at = [(0, 0), (1, 0), (1, 1), (0, 1)]
+        return spark.range(columns * rows).select(n.alias(name), F.array(*[lon(a, b) for a, b in at]).alias("lon"), F.array(*[lat(b) for _, b in at]).alias("lat"))
+
+    began = time.time()
+    a, b = ring("src", 3000, 4, 0.4), ring("dst", 4000, 4, -0.7)
+    met = polygons.cell_overlaps(a, b, 0.3, edges).cache()
+    for name, cells_of in (("src", a), ("dst", b)):
+        got = met.groupBy(name).agg(F.sum("w").alias("w")).join(polygons.cell_areas(cells_of, name, edges), name)
+        assert got.where(F.abs(F.col("w") / F.col("area") - 1) < 1e-5).count() == cells_of.count()
+    assert time.time() - began < 60
+    met.unpersist()
+
+
+def test_poles_inside_on_corners_and_seams(spark):
+    """Caps around both poles against wedges that end in them, with any longitude at the pole."""
+    cap = lambda i, lat: (i, [0.5, 0.5 + math.pi * 2 / 3, 0.5 + math.pi * 4 / 3], [lat] * 3)
+    wedge = lambda i, x, pole: (i, [2.9 + x, x, x + 0.4], [pole * math.pi / 2, pole * 0.4, pole * 0.4])
+    wedges = [wedge(n, n * 0.4, 1) for n in range(15)] + [wedge(15, -0.2, -1), wedge(16, 6.2, -1)]
+    caps = [cap(0, 1.2), cap(1, -1.2)]
+    got = polygons.cell_overlaps(cells(spark, "src", caps), cells(spark, "dst", wedges), 0.2).collect()
+    back = polygons.cell_overlaps(cells(spark, "src", wedges), cells(spark, "dst", caps), 0.2).collect()
+    assert len(got) == len(back) == 17 and {(r.src, r.dst): pytest.approx(r.w) for r in got} == {(r.dst, r.src): r.w for r in back}
+    whole = {r.src: r.area for r in polygons.cell_areas(cells(spark, "src", caps), "src").collect()}
+    first = sum(r.w for r in got if r.src == 0)
+    assert 0.9 * whole[0] < first < whole[0]  # fifteen wedges leave 2 pi - 6 open
+
+
 def test_no_cells_and_cells_apart(spark):
     one, none = cells(spark, "src", [(0, [0, 0.1, 0.1], [0, 0, 0.1])]), cells(spark, "dst", [])
     assert polygons.cell_overlaps(one, none, 0.3).count() == 0

@@ -121,18 +121,20 @@ def _overlap(batches: Iterator[pa.RecordBatch], sphere: bool) -> Iterator[pa.Rec
 
 
 def _boxed(cells: DataFrame, name: str, sphere: bool) -> DataFrame:
-    """Cells with the corners ``lo`` and ``hi`` of their boxes, in unit vectors or in longitude and latitude."""
-    first = F.element_at("lon", 1)
-    lon = F.transform("lon", lambda x: first + F.pmod(x - first + math.pi, F.lit(2 * math.pi)) - math.pi)
-    # whole turns go, so that boxes begin in [0, 2 pi)
-    lon = F.transform(lon, lambda x: x - F.floor(F.array_min(lon) / (2 * math.pi)) * (2 * math.pi)) if not sphere else lon
-    df = cells.select(F.col(name), lon.alias("lon"), "lat").where(F.size("lon") >= 3)
+    """Cells with the corners ``lo`` and ``hi`` of their boxes: longitude from [0, 2 pi) on, and latitude or (``sphere``) its sine."""
+    whole = 2 * math.pi
     if not sphere:
+        first = F.element_at("lon", 1)
+        lon = F.transform("lon", lambda x: first + F.pmod(x - first + math.pi, F.lit(whole)) - math.pi)
+        # whole turns go, so that boxes begin in [0, 2 pi)
+        lon = F.transform(lon, lambda x: x - F.floor(F.array_min(lon) / whole) * whole)
+        df = cells.select(F.col(name), lon.alias("lon"), "lat").where(F.size("lon") >= 3)
         return df.withColumn("lo", F.array(F.array_min("lon"), F.array_min("lat"))).withColumn("hi", F.array(F.array_max("lon"), F.array_max("lat")))
     at = F.arrays_zip(F.col("lon").alias("lon"), F.col("lat").alias("lat"))
+    df = cells.select(F.col(name), "lon", "lat").where(F.size("lon") >= 3)
     xyz = [
         F.transform(at, lambda p: F.cos(p["lat"]) * F.cos(p["lon"])), F.transform(at, lambda p: F.cos(p["lat"]) * F.sin(p["lon"])),
-        F.transform(at, lambda p: F.sin(p["lat"])),
+        F.transform("lat", F.sin),
     ]
     df = df.select("*", *[v.alias(f"v{k}") for k, v in enumerate(xyz)])
     total = [F.aggregate(f"v{k}", F.lit(0.0), lambda s, x: s + x) for k in range(3)]
@@ -141,43 +143,65 @@ def _boxed(cells: DataFrame, name: str, sphere: bool) -> DataFrame:
     corners = F.arrays_zip(*[F.col(f"v{k}").alias(f"v{k}") for k in range(3)])
     near = F.array_min(F.transform(corners, lambda p: (p["v0"] * F.col("t0") + p["v1"] * F.col("t1") + p["v2"] * F.col("t2")) / length))
     bulge = 1 / near - 1 + 1e-12  # how far the sphere is beyond the flat hull of the corners
-    lo, hi = (F.array(*[f(f"v{k}") + sign * bulge for k in range(3)]) for f, sign in ((F.array_min, -1), (F.array_max, 1)))
-    return df.withColumn("lo", lo).withColumn("hi", hi).select(name, "lon", "lat", "lo", "hi")
+    # edges keep to the longitudes of their ends while a cell spans less than half a turn; a pole has none of its own
+    away = F.filter(at, lambda p: F.abs(p["lat"]) < math.pi / 2 - 1e-9)
+    df = df.select(name, "lon", "lat", (F.array_min("v2") - bulge).alias("z0"), (F.array_max("v2") + bulge).alias("z1"), F.transform(away, lambda p: p["lon"]).alias("away"))
+    first = F.element_at("away", 1)
+    turned = F.transform("away", lambda x: F.pmod(x - first + math.pi, F.lit(whole)) - math.pi)
+    df = df.select("*", first.alias("first"), F.array_min(turned).alias("west"), F.array_max(turned).alias("east"))
+    narrow = F.col("east") - F.col("west") < math.pi - 1e-6
+    begin = F.when(narrow, F.pmod(F.col("first") + F.col("west") - 1e-12, F.lit(whole))).otherwise(0.0)
+    df = df.select("*", begin.alias("x0"), F.when(narrow, F.col("east") - F.col("west") + 2e-12).otherwise(whole).alias("span"))
+    return df.select(name, "lon", "lat", F.array("x0", "z0").alias("lo"), F.array(F.col("x0") + F.col("span"), F.col("z1")).alias("hi"))
+
+
+def _bins(boxes: list[DataFrame], width: float) -> list[float]:
+    """Widths of bins in both directions: of the side with the larger boxes their mean, ``width`` at most.
+
+    So boxes lie in a few bins each on average, however narrow cells are in one direction.
+    """
+    extent = [F.avg(F.element_at("hi", k) - F.element_at("lo", k)) for k in (1, 2)]
+    means = [b.agg(*extent).first() for b in boxes]
+    return [min(width, max(1e-9, *(m[k] for m in means))) if all(m[k] is not None for m in means) else width for k in range(2)]
 
 
 def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str = "great_circle") -> DataFrame:
     """``(src, dst, w, lon, lat)``: shared areas on the unit sphere and their centres.
 
     ``source(src, lon, lat)`` and ``target(dst, lon, lat)``; ``edges`` are ``great_circle`` or
-    ``lon_lat``. Bins are ``width`` wide (of the unit vectors, or radians of longitude and
-    latitude): choose about a cell's size, so that cells lie in a few bins each. Great-circle
-    cells lie within less than a quarter of the sphere; lon-lat cells wrap around but
-    hold no pole inside (a pole may be a corner).
+    ``lon_lat``. Bins of longitude and latitude (of its sine for great circles) are as wide
+    as the boxes on average, and at most ``width``. Great-circle cells lie within less than
+    a quarter of the sphere; lon-lat cells wrap around but hold no pole inside (a pole may
+    be a corner).
     """
     if edges not in ("great_circle", "lon_lat"):
         raise ValueError("edges are great_circle or lon_lat")
     sphere = edges == "great_circle"
-    axes = range(3 if sphere else 2)
     s, t = _boxed(source, "src", sphere), _boxed(target, "dst", sphere)
-    if not sphere:
-        turn = F.explode(F.array(*[F.lit(k * 2 * math.pi) for k in (-1, 0, 1)]))
-        moved = lambda a: F.transform(a, lambda x: x + F.col("turn"))
-        east = lambda a: F.array(F.element_at(a, 1) + F.col("turn"), F.element_at(a, 2))
-        s = s.withColumn("turn", turn).select("src", moved("lon").alias("lon"), "lat", east("lo").alias("lo"), east("hi").alias("hi"))
-
-    def binned(df: DataFrame, prefix: str, name: str) -> DataFrame:
-        df = df.select(name, *[F.col(c).alias(f"{prefix}_{c}") for c in ("lon", "lat", "lo", "hi")])
-        for k in axes:
-            edge = lambda c, k=k: F.floor(F.element_at(f"{prefix}_{c}", k + 1) / width)
+    widths = _bins([s, t], width)
+    turn = lambda n: (F.col("turn") + n) * F.lit(2 * math.pi)
+    east = lambda a: F.array(F.element_at(a, 1) + turn(0), F.element_at(a, 2))
+    moved = F.col("lon") if sphere else F.transform("lon", lambda x: x + turn(0))
+    s = s.withColumn("turn", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
+    s = s.select("src", moved.alias("lon"), "lat", east("lo").alias("lo"), east("hi").alias("hi"), (F.element_at("hi", 1) + turn(-1)).alias("before"), "turn")
+
+    def binned(df: DataFrame, prefix: str, name: str, *more: str) -> DataFrame:
+        df = df.select(name, *more, *[F.col(c).alias(f"{prefix}_{c}") for c in ("lon", "lat", "lo", "hi")])
+        for k, w in enumerate(widths):
+            edge = lambda c, k=k, w=w: F.floor(F.element_at(f"{prefix}_{c}", k + 1) / w)
             df = df.withColumn(f"b{k}", F.explode(F.sequence(edge("lo"), edge("hi"))))
         return df
 
-    pairs = binned(s, "s", "src").join(binned(t, "d", "dst"), [f"b{k}" for k in axes])
+    # moved boxes that no target can touch are no rows
+    reach = (F.element_at("hi", 1) >= 0) & (F.element_at("lo", 1) <= 4 * math.pi)
+    pairs = binned(s.where(reach), "s", "src", "before", "turn").join(binned(t, "d", "dst").hint("merge"), ["b0", "b1"])
     met: Column = F.lit(True)
-    for k in axes:
+    for k, w in enumerate(widths):
         low = F.greatest(F.element_at("s_lo", k + 1), F.element_at("d_lo", k + 1))
         high = F.least(F.element_at("s_hi", k + 1), F.element_at("d_hi", k + 1))
-        met = met & (low <= high) & (F.floor(low / width) == F.col(f"b{k}"))  # a pair counts in one bin
+        met = met & (low <= high) & (F.floor(low / w) == F.col(f"b{k}"))  # a pair counts in one bin
+    if sphere:  # and in the first turn in which its boxes meet
+        met = met & ((F.col("turn") == -1) | (F.col("before") < F.element_at("d_lo", 1)))
     pairs = pairs.where(met).select("src", "dst", "s_lon", "s_lat", "d_lon", "d_lat")
     kinds = dict(pairs.dtypes)
     found = pairs.mapInArrow(lambda b: _overlap(b, sphere), f"src {kinds['src']}, dst {kinds['dst']}, w double, lon double, lat double")
