@@ -147,6 +147,27 @@ def test_nearest_points_match_brute_force(spark):
         assert got == want
 
 
+def test_nearest_points_in_clusters_look_no_further_than_they_have_to(spark):
+    """Sources close together, alone and at the poles; targets beside them find what brute force finds."""
+    rng = np.random.default_rng(8)
+    lon = np.concatenate([rng.normal(1, 0.003, 2500), rng.uniform(-9, 9, 300), [6.28, 0.01], np.linspace(0, 6, 20)])
+    lat = np.concatenate([rng.normal(0.7, 0.003, 2500), np.arcsin(rng.uniform(-1, 1, 300)), [0.2, 0.2], np.full(20, math.pi / 2 - 1e-3)])
+    place = "int, lon double, lat double"
+    s = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat))], f"src {place}")
+    at = np.r_[0:40, 2500:2560, 2800:2822]
+    x, y = lon[at] + rng.normal(0, 0.01, len(at)), np.clip(lat[at] + rng.normal(0, 0.01, len(at)), -math.pi / 2, math.pi / 2)
+    t = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], f"dst {place}")
+    near = regrid.nearest_points(s, t, 4, 0.4)
+    a = np.arccos(np.clip(np.sin(lat) * np.sin(y)[:, None] + np.cos(lat) * np.cos(y)[:, None] * np.cos(lon - x[:, None]), -1, 1))
+    want = {(d, int(i)) for d in range(len(at)) for i in np.argsort(a[d], kind="stable")[:4] if a[d][i] <= 0.4}
+    assert {(r.dst, r.src) for r in near.collect()} == want
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(40_000).select(F.col("id").alias("src"), (F.col("id") * 2.399963).alias("lon"), F.asin(F.col("id") / 20_000 - 1).alias("lat"))
+    began = time.time()
+    found = regrid.nearest_points(many, many.withColumnRenamed("src", "dst"), 4, 0.4)
+    assert found.where("rank = 1 and dst = src").count() == 40_000 and time.time() - began < 60
+
+
 def test_tridiagonal_and_spline(spark):
     rng = np.random.default_rng(4)
     n = 7

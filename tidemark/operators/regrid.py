@@ -230,29 +230,62 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 def nearest_points(source: DataFrame, target: DataFrame, k: int, radius: float) -> DataFrame:
     """The ``k`` nearest sources ``(src, lon, lat)`` within ``radius`` of each ``(dst, lon, lat)``, in radians.
 
-    Points meet in cells of latitude and longitude as wide as the radius; toward a pole,
+    Each target looks no further than it has to: radii shrink by the root of two down to where
+    about ``k`` sources are expected, and the smallest counts whose small cell around the
+    target (all within that radius) holds ``k`` sources; without one it is ``radius``. Points
+    meet in cells of latitude and longitude as wide as the target's radius; toward a pole,
     and for a radius that reaches it, the longitude cells of a band shrink to one.
     Returns ``dst, src, distance, rank``; ties by source.
     """
-    bands = max(1, int(math.pi / radius))
-    height = math.pi / bands
+    wanted = math.sqrt(4 * k / max(1, source.count()))
+    radii = [radius]
+    while radii[-1] > wanted and radii[-1] > 1e-6:
+        radii.append(radii[-1] / math.sqrt(2))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("level") + 1)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1)))
+    turn = lambda lon: F.pmod(lon, F.lit(2 * math.pi)) / (2 * math.pi)
+    # acos of a cosine near one is off by some 1e-16 over the distance
+    bands = [max(1, int(math.pi / (r * 1.0001))) for r in radii]
+    n, reach = pick(bands), pick([float(r) for r in radii])
+    height = math.pi / n
 
     def cells_of(band: Column) -> Column:
-        """Number of longitude cells of a band: cells are at least ``radius`` wide there."""
-        edge = F.greatest(F.abs(band * height - math.pi / 2), F.abs((band + 1) * height - math.pi / 2)) + radius
-        wide = F.floor(2 * math.pi * F.cos(F.least(edge, F.lit(math.pi / 2))) / (radius * 1.2))
+        """Number of longitude cells of a band: cells are at least the radius wide there."""
+        edge = F.greatest(F.abs(band * height - math.pi / 2), F.abs((band + 1) * height - math.pi / 2)) + reach
+        wide = F.floor(2 * math.pi * F.cos(F.least(edge, F.lit(math.pi / 2))) / (reach * 1.2))
         return F.greatest(wide, F.lit(1))
 
-    band = lambda lat: F.least(F.floor((lat + math.pi / 2) / height), F.lit(bands - 1))
-    turn = lambda lon: F.pmod(lon, F.lit(2 * math.pi)) / (2 * math.pi)
-    s = source.withColumn("band", band(F.col("lat")))
+    band = lambda lat: F.least(F.floor((lat + math.pi / 2) / height), n - 1)
+
+    def small(df: DataFrame) -> DataFrame:
+        """Cells whose points are within the level's radius of one another."""
+        side = reach / 1.5
+        row = F.floor((F.col("lat") + math.pi / 2) / side)
+        edges = row * side - math.pi / 2, (row + 1) * side - math.pi / 2
+        widest = F.when((edges[0] <= 0) & (edges[1] >= 0), 1.0).otherwise(F.cos(F.least(*[F.abs(e) for e in edges])))
+        return df.withColumn("row", row).withColumn("column", F.floor(turn(F.col("lon")) * F.ceil(2 * math.pi * widest / side)))
+
+    # levels above a radius of one are not searched for: small cells are flat only below
+    fine = [k for k, r in enumerate(radii) if k and r <= 1]
+    # small files make many pairs: dealt out by number, and nothing is taken for small and sent through the driver
+    parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = target.select("dst", "lon", "lat").repartition(parts, "dst")
+    if fine:
+        each = F.explode(F.array(*[F.lit(k) for k in fine])).alias("level")
+        full = small(source.select("lon", "lat", each)).groupBy("level", "row", "column").count().where(F.col("count") >= k)
+        settled = small(t.select("*", each)).join(full.hint("merge"), ["level", "row", "column"]).groupBy("dst").agg(F.max("level").alias("level"))
+        t = t.join(settled.hint("merge"), "dst", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    else:
+        t = t.withColumn("level", F.lit(0))
+    s = source.withColumn("level", levels).withColumn("band", band(F.col("lat")))
     s = s.withColumn("cell", F.floor(turn(F.col("lon")) * cells_of(F.col("band"))))
-    t = target.select("dst", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("band"))
+    t = t.select("dst", "level", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("band"))
     own = F.floor(turn(F.col("tlon")) * cells_of(F.col("band")))
     around = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(own + d, cells_of(F.col("band")))))
-    t = t.where((F.col("band") >= 0) & (F.col("band") < bands)).withColumn("cell", F.explode(around))
-    pairs = t.join(s, ["band", "cell"])
-    pairs = pairs.withColumn("distance", great_circle(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))).where(F.col("distance") <= radius)
+    t = t.where((F.col("band") >= 0) & (F.col("band") < n)).withColumn("cell", F.explode(around))
+    place = ["level", "band", "cell"]
+    pairs = t.repartition(parts, *place).join(s.repartition(parts, *place).hint("merge"), place)
+    pairs = pairs.withColumn("distance", great_circle(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))).where(F.col("distance") <= reach)
     rank = F.row_number().over(Window.partitionBy("dst").orderBy("distance", "src"))
     return pairs.select("dst", "src", "distance", rank.alias("rank")).where(F.col("rank") <= k)
 
