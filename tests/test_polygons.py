@@ -107,6 +107,26 @@ def test_narrow_cells_meet_few_others(spark, edges):
     met.unpersist()
 
 
+def test_lon_lat_cells_are_boxed_by_all_tasks_and_pairs_added_in_place(spark):
+    """Belts of most of a turn meet on both sides of the cut: one row a pair, without a shuffle by pair; cells of one file go to all tasks."""
+    belt = lambda i, x, w: (i, [x + w / 2, x + w, x + w, x + w / 2, x, x], [-0.2, -0.2, 0.3, 0.3, 0.3, -0.2])
+    a, b = [belt(i, 0.7 * i - 9, 5.6 + 0.1 * i) for i in range(5)], [belt(i, 1.1 * i + 2, 4.0 + 0.5 * i) for i in range(4)]
+    holes = [(5, [0.0, None, 1.0], [0.0, 0.1, 0.2]), (6, None, [0.0]), (7, [0.0, 1.0, 1.0], None), (8, [], [])]
+    source = cells(spark, "src", a).unionByName(spark.createDataFrame(holes, SCHEMA.format("src"))).coalesce(1)
+    met = polygons.cell_overlaps(source, cells(spark, "dst", b).coalesce(1), 0.3, "lon_lat")
+    got = met.collect()
+    want = {}
+    for i, x, _ in a:
+        for j, y, _ in b:
+            shared = sum(max(0.0, min(x[1] + k * 2 * math.pi, y[1]) - max(x[4] + k * 2 * math.pi, y[4])) for k in range(-5, 6))
+            want[i, j] = shared * (math.sin(0.3) - math.sin(-0.2))
+    assert len(got) == len(want) and {(r.src, r.dst): r.w for r in got} == pytest.approx(want)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan
+    # of both sides the shuffle lies below the boxes
+    assert plan.count("MapInArrow") == 3 and plan.count("RepartitionByExpression") + plan.count("REPARTITION_BY_COL") == 2
+
+
 def test_poles_inside_on_corners_and_seams(spark):
     """Caps around both poles against wedges that end in them, with any longitude at the pole."""
     cap = lambda i, lat: (i, [0.5, 0.5 + math.pi * 2 / 3, 0.5 + math.pi * 4 / 3], [lat] * 3)

@@ -9,6 +9,7 @@ time for all pairs of the batch. Targets are convex; sources may be any simple p
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -103,6 +104,17 @@ def clip_all(subject: np.ndarray, clipper: np.ndarray) -> tuple[np.ndarray, np.n
     return subject, left
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Areas (n) and centres (n, 2) of what pairs share: 0 where that is not over ``LEAST``."""
+    part, left = clip_all(a, b)
+    area = np.where(left, np.abs(signed_area(part)), 0.0)
+    keep = area > LEAST * np.minimum(np.abs(signed_area(a)), np.abs(signed_area(b)))
+    centre = np.zeros((len(area), 2))
+    if keep.any():
+        centre[keep] = centroid(part[keep])
+    return np.where(keep, area, 0.0), centre
+
+
 def _overlap(batches: Iterator[pa.RecordBatch], sphere: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -110,26 +122,44 @@ def _overlap(batches: Iterator[pa.RecordBatch], sphere: bool) -> Iterator[pa.Rec
         lon0, lat0, lon1, lat1 = (padded(batch.column(c)) for c in ("s_lon", "s_lat", "d_lon", "d_lat"))
         make = unit if sphere else (lambda x, y: np.stack([x, y], -1))
         a, b = make(lon0, lat0), make(lon1, lat1)
-        part, left = clip_all(a, b)
-        area = np.where(left, np.abs(signed_area(part)), 0.0)
-        keep = np.flatnonzero(area > LEAST * np.minimum(np.abs(signed_area(a)), np.abs(signed_area(b))))
-        centre = centroid(part[keep]) if len(keep) else np.zeros((0, 2))
+        area, centre = _shared(a, b)
+        turn = 2 * math.pi
+        # wide cells may meet again a turn further: both sides of a cut of the circle are one pair
+        while not sphere and len(at := np.flatnonzero(lon1.max(1) >= lon0.min(1) + turn)):
+            more, middle = _shared(make(lon0[at] + turn, lat0[at]), b[at])
+            both = area[at] + more
+            centre[at] = (area[at, None] * centre[at] + more[:, None] * middle) / np.where(both > 0, both, 1.0)[:, None]
+            area[at] = both
+            turn += 2 * math.pi
+        keep = np.flatnonzero(area)
         at = pa.array(keep)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("src").take(at), batch.column("dst").take(at), pa.array(area[keep]), pa.array(centre[:, 0]), pa.array(centre[:, 1])], names=["src", "dst", "w", "lon", "lat"]
+            [batch.column("src").take(at), batch.column("dst").take(at), pa.array(area[keep]), pa.array(centre[keep, 0]), pa.array(centre[keep, 1])], names=["src", "dst", "w", "lon", "lat"]
         )
 
 
+def _flat_boxes(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Corners within half a turn of the first, moved by whole turns so that boxes begin in [0, 2 pi), and the boxes."""
+    whole = 2 * math.pi
+    for batch in batches:
+        lon, lat = padded(batch.column("lon")), padded(batch.column("lat"))
+        there = np.flatnonzero(~np.isnan(lon + lat).any(1))  # a corner without a place leaves no area
+        lon, lat = lon[there], lat[there]
+        lon = lon[:, :1] + np.mod(lon - lon[:, :1] + math.pi, whole) - math.pi
+        lon -= np.floor(lon.min(1) / whole)[:, None] * whole
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.ravel())) for c in (lon, lat)]
+        box = [pa.array(f(c, 1)) for f in (np.min, np.max) for c in (lon, lat)]
+        yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(there)), *lists, *box], names=[name, "lon", "lat", "x0", "y0", "x1", "y1"])
+
+
 def _boxed(cells: DataFrame, name: str, sphere: bool) -> DataFrame:
     """Cells with the corners ``lo`` and ``hi`` of their boxes: longitude from [0, 2 pi) on, and latitude or (``sphere``) its sine."""
     whole = 2 * math.pi
     if not sphere:
-        first = F.element_at("lon", 1)
-        lon = F.transform("lon", lambda x: first + F.pmod(x - first + math.pi, F.lit(whole)) - math.pi)
-        # whole turns go, so that boxes begin in [0, 2 pi)
-        lon = F.transform(lon, lambda x: x - F.floor(F.array_min(lon) / whole) * whole)
-        df = cells.select(F.col(name), lon.alias("lon"), "lat").where(F.size("lon") >= 3)
-        return df.withColumn("lo", F.array(F.array_min("lon"), F.array_min("lat"))).withColumn("hi", F.array(F.array_max("lon"), F.array_max("lat")))
+        kind = dict(cells.dtypes)[name]
+        df = cells.select(name, "lon", "lat").where((F.size("lon") >= 3) & (F.size("lat") > 0))
+        df = df.mapInArrow(lambda b: _flat_boxes(b, name), f"{name} {kind}, lon array<double>, lat array<double>, x0 double, y0 double, x1 double, y1 double")
+        return df.select(name, "lon", "lat", F.array("x0", "y0").alias("lo"), F.array("x1", "y1").alias("hi"))
     at = F.arrays_zip(F.col("lon").alias("lon"), F.col("lat").alias("lat"))
     df = cells.select(F.col(name), "lon", "lat").where(F.size("lon") >= 3)
     xyz = [
@@ -161,7 +191,7 @@ def _bins(boxes: list[DataFrame], width: float) -> list[float]:
     So boxes lie in a few bins each on average, however narrow cells are in one direction.
     """
     extent = [F.avg(F.element_at("hi", k) - F.element_at("lo", k)) for k in (1, 2)]
-    means = [b.agg(*extent).first() for b in boxes]
+    means = functools.reduce(DataFrame.unionAll, [b.agg(*extent) for b in boxes]).collect()
     return [min(width, max(1e-9, *(m[k] for m in means))) if all(m[k] is not None for m in means) else width for k in range(2)]
 
 
@@ -177,7 +207,8 @@ def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str
     if edges not in ("great_circle", "lon_lat"):
         raise ValueError("edges are great_circle or lon_lat")
     sphere = edges == "great_circle"
-    s, t = _boxed(source, "src", sphere), _boxed(target, "dst", sphere)
+    # boxes are worked out by all tasks, however few files cells come from
+    s, t = _boxed(source.repartition("src"), "src", sphere), _boxed(target.repartition("dst"), "dst", sphere)
     widths = _bins([s, t], width)
     turn = lambda n: (F.col("turn") + n) * F.lit(2 * math.pi)
     east = lambda a: F.array(F.element_at(a, 1) + turn(0), F.element_at(a, 2))
@@ -200,16 +231,11 @@ def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str
         low = F.greatest(F.element_at("s_lo", k + 1), F.element_at("d_lo", k + 1))
         high = F.least(F.element_at("s_hi", k + 1), F.element_at("d_hi", k + 1))
         met = met & (low <= high) & (F.floor(low / w) == F.col(f"b{k}"))  # a pair counts in one bin
-    if sphere:  # and in the first turn in which its boxes meet
-        met = met & ((F.col("turn") == -1) | (F.col("before") < F.element_at("d_lo", 1)))
+    # and in the first turn in which its boxes meet
+    met = met & ((F.col("turn") == -1) | (F.col("before") < F.element_at("d_lo", 1)))
     pairs = pairs.where(met).select("src", "dst", "s_lon", "s_lat", "d_lon", "d_lat")
     kinds = dict(pairs.dtypes)
-    found = pairs.mapInArrow(lambda b: _overlap(b, sphere), f"src {kinds['src']}, dst {kinds['dst']}, w double, lon double, lat double")
-    if sphere:
-        return found
-    # a pair may meet on both sides of a cut of the circle
-    weighted = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
-    return found.groupBy("src", "dst").agg(weighted("lon"), weighted("lat"), F.sum("w").alias("w")).select("src", "dst", "w", "lon", "lat")
+    return pairs.mapInArrow(lambda b: _overlap(b, sphere), f"src {kinds['src']}, dst {kinds['dst']}, w double, lon double, lat double")
 
 
 def cell_areas(cells: DataFrame, name: str, edges: str = "great_circle") -> DataFrame:
