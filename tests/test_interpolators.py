@@ -255,6 +255,45 @@ def test_bicubic_is_exact_where_differences_are(spark):
     assert got == pytest.approx({0: f(0, 2), 1: f(7, 5), 2: f(3, 0), 3: f(7, 5)})
 
 
+def test_bicubic_weights_come_from_a_row_alone(spark):
+    """One row a point, however short the axes, without sums over targets; a plain field makes its weights once."""
+    from tidemark.operators.interpolation import interpolate, make_weights
+
+    def cubic(axis, v, cyclic):
+        n, out = len(axis), {}
+        k = max([k for k in range(n) if axis[k] <= v], default=n - 1 if cyclic else 0)
+        k = k if cyclic else min(k, n - 2)
+        places = [(k + d) % n for d in (-1, 0, 1, 2)] if cyclic else [max(k - 1, 0), k, k + 1, min(k + 2, n - 1)]
+        at = [axis[(k + d) % n] + cyclic * ((k + d) // n) for d in (-1, 0, 1, 2)] if cyclic else [axis[m] for m in places]
+        step = at[2] - at[1]
+        past = (v - at[1]) % cyclic if cyclic else v - at[1]
+        t = min(max(past / step, 0.0), 1.0)
+        left, right = step / (at[2] - at[0]), step / (at[3] - at[1])
+        h00, h10, h01, h11 = (1 + 2 * t) * (1 - t) ** 2, t * (1 - t) ** 2, t * t * (3 - 2 * t), t * t * (t - 1)
+        for m, w in zip(places, (-h10 * left, h00 - h11 * right, h01 + h10 * left, h11 * right)):
+            out[m] = out.get(m, 0.0) + w
+        return out
+
+    points = spark.createDataFrame([(n, 0.83 * n - 2, 0.47 * n - 1) for n in range(30)], "dst long, x double, y double").coalesce(1)
+    ys = [0.0, 2.0]
+    for xs, cyclic in (([0.0, 4.0], None), ([0.0, 4.0], 10.0), ([0.0, 1.0, 5.0], 10.0), ([0.0, 1.0, 5.0, 7.0, 8.0], 10.0), ([0.0, 1.0, 5.0], None)):
+        weights = regrid.bicubic_weights(points, xs, ys, cyclic=cyclic)
+        got = {(r.dst, r.i, r.j): r.w for r in weights.collect()}
+        want = {(r.dst, i, j): a * b for r in points.collect() for i, a in cubic(xs, r.x, cyclic).items() for j, b in cubic(ys, r.y, None).items()}
+        assert got == pytest.approx(want, abs=1e-12) and weights.count() == len(want)
+        assert "Aggregate" not in weights._jdf.queryExecution().sparkPlan().toString()
+    field = spark.createDataFrame([(n, None if n == 9 else float(n)) for n in range(10)], "src long, x double")
+    out = interpolate(field, make_weights("bicubic", points, axes=([0.0, 1.0, 5.0, 7.0, 8.0], ys), cyclic=10.0), "x", target=points.select("dst").union(spark.range(90, 91)))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("explode(") == 2 and "REPARTITION_BY_COL" in plan
+    rows = {r.dst: (r.x, r.mask) for r in out.collect()}
+    assert len(rows) == 31 and rows[90] == (None, 0.0)
+    for r in points.collect():
+        w = {j * 5 + i: a * b for i, a in cubic([0.0, 1.0, 5.0, 7.0, 8.0], r.x, 10.0).items() for j, b in cubic(ys, r.y, None).items() if a * b}
+        x = None if 9 in w else sum(k * v for k, v in w.items())
+        assert rows[r.dst] == (x if x is None else pytest.approx(x, abs=1e-9), pytest.approx(1 - w.get(9, 0.0), abs=1e-9))
+
+
 def test_splines_with_and_without_slopes(spark):
     """A cubic comes back whole from its own slopes; natural ends have no curvature."""
     from tidemark.operators.neighbours import spline

@@ -23,18 +23,21 @@ def make_weights(
 
     ``conservative`` takes boxes ``(src or dst, lon0, lon1, lat0, lat1)`` in degrees, which meet in
     bins of ``width``; ``bilinear`` and ``bicubic`` the source's ``axes`` and targets
-    ``(dst, x, y)``, and count sources ``j * len(x axis) + i`` from 0; ``spherical`` points
+    ``(dst, x, y)`` (one row a ``dst``), and count sources ``j * len(x axis) + i`` from 0; ``spherical`` points
     ``(src or dst, lon, lat)`` in radians, the nearest ``neighbours`` within ``radius`` by
     inverse distance.
     """
     if method == "conservative":
         out = regrid.box_overlaps(source, target, width, cyclic)
     elif method in ("bilinear", "bicubic"):
+        target = target.repartition("dst")  # a row makes up to sixteen: all tasks make them, however few files targets come from
+        source_id = (F.col("j").cast("long") * len(axes[0]) + F.col("i")).alias("src")
         if method == "bilinear":
             out = regrid.bilinear_weights(target, *axes, cyclic=cyclic).withColumns({"i": F.col("i") - 1, "j": F.col("j") - 1})
+            out = out.groupBy(source_id, "dst").agg(F.sum("w").alias("w"))
         else:
-            out = regrid.bicubic_weights(target, *axes, cyclic=cyclic)
-        out = out.groupBy((F.col("j").cast("long") * len(axes[0]) + F.col("i")).alias("src"), "dst").agg(F.sum("w").alias("w")).where("w <> 0")
+            out = regrid.bicubic_weights(target, *axes, cyclic=cyclic).select(source_id, "dst", "w")
+        out = out.where("w <> 0")
     elif method == "spherical":
         out = regrid.inverse_distance(regrid.nearest_points(source, target, neighbours, radius))
     else:
@@ -65,19 +68,17 @@ def interpolate(field: DataFrame, weights: DataFrame, value: str, missing_permit
     """
     method = weights.schema["w"].metadata["method"]
     other = [c for c in field.columns if c not in ("src", value)]
-    need = weights.groupBy("dst").agg(F.count("*").alias("__of"), F.sum("w").alias("__all"), F.max("w").alias("__most"))
-    held = field.where(F.col(value).isNotNull()).join(weights, "src")
     x, w = F.col(value), F.col("w")
-    sums = held.groupBy("dst", *other).agg(F.sum(x * w).alias("__x"), F.sum(w).alias("__w"), F.count("*").alias("__n"), F.max(w).alias("__near"))
-    every = need if target is None else target.select("dst").distinct().join(need, "dst", "left")
-    if other:  # the levels of a field are many fewer than its cells; Spark broadcasts them if they are small
-        every = every.join(field.select(other).distinct())
-    same = F.lit(True)
-    renamed = sums
-    for c in ["dst", *other]:
-        renamed = renamed.withColumnRenamed(c, f"__of_{c}")
-        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    rows = every.join(renamed, same, "left")
+    held = field.where(x.isNotNull())
+    of = [F.count("*").alias("__of"), F.sum(w).alias("__all"), F.max(w).alias("__most")]
+    there = F.when(x.isNotNull(), w)
+    sums = [F.sum(x * there).alias("__x"), F.sum(there).alias("__w"), F.count(x).alias("__n"), F.max(there).alias("__near")]
+    if other:
+        rows = _by_level(held.join(weights, "src").groupBy("dst", *other).agg(*sums), weights.groupBy("dst").agg(*of), field.select(other), target)
+    else:  # a field of one level: weights are made and go over to it once
+        rows = weights.join(held, "src", "left").groupBy("dst").agg(*of, *sums)
+        if target is not None:
+            rows = target.select("dst").distinct().join(rows, "dst", "left")
     mean = F.col("__x") / F.nullif("__w", F.lit(0.0))
     if method == "conservative":
         out = F.coalesce(mean, F.lit(0.0))
@@ -88,3 +89,15 @@ def interpolate(field: DataFrame, weights: DataFrame, value: str, missing_permit
         out = mean if permit is None else F.when(F.col("__of") - F.col("__n") <= permit, mean)
     mask = F.coalesce(F.col("__w") / F.col("__all"), F.lit(0.0))
     return rows.select("dst", *other, out.alias(value), mask.alias("mask"))
+
+
+def _by_level(sums: DataFrame, need: DataFrame, levels: DataFrame, target: DataFrame | None) -> DataFrame:
+    """All targets with all combinations of a field's further columns, and their sums."""
+    every = need if target is None else target.select("dst").distinct().join(need, "dst", "left")
+    # the levels of a field are many fewer than its cells; Spark broadcasts them if they are small
+    every = every.join(levels.distinct())
+    same, renamed = F.lit(True), sums
+    for c in ["dst", *levels.columns]:
+        renamed = renamed.withColumnRenamed(c, f"__of_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return every.join(renamed, same, "left")

@@ -403,12 +403,13 @@ def bicubic(patches: DataFrame, keys: list[str]) -> DataFrame:
     return patches.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", value double")
 
 
-def _cubic_axis(axis: list[float], value: Column, upto: Column, cyclic: float | None) -> tuple[Column, Column, Column]:
-    """The interval ``__k`` of a place, its part ``__t`` and, from both, the four points (from 0) around with weights.
+def _cubic_axis(axis: list[float], value: Column, upto: Column, cyclic: float | None, at_k: str, at_t: str) -> tuple[Column, Column, Column]:
+    """The interval ``at_k`` of a place, its part ``at_t`` and, from both, the four points (from 0) around with weights.
 
     Hermite's cubic between the two, with slopes by differences of the points beside each
     over what lies between them; at the ends of the axis, of the point itself and its one
-    neighbour. What only depends on the interval is worked out here, an array an item.
+    neighbour. What only depends on the interval is worked out here, an array an item. Of
+    two of the four that are one point, the later has both weights and the other is null.
     """
     n = len(axis)
     if n < 2:
@@ -427,12 +428,17 @@ def _cubic_axis(axis: list[float], value: Column, upto: Column, cyclic: float |
         interval = F.when(upto < 1, n).otherwise(upto)
     else:
         interval = F.least(F.greatest(upto, F.lit(1)), F.lit(n - 1))
-    item = lambda k: F.element_at(lists[k], F.col("__k"))
+    item = lambda k: F.element_at(lists[k], F.col(at_k))
     past = F.pmod(value - item(6), F.lit(cyclic)) if cyclic is not None else value - item(6)
-    t = F.col("__t")
+    t = F.col(at_t)
     h00, h10, h01, h11 = (1 + 2 * t) * (1 - t) * (1 - t), t * (1 - t) * (1 - t), t * t * (3 - 2 * t), t * t * (t - 1)
-    weights = (-h10 * item(4), h00 - h11 * item(5), h01 + h10 * item(4), h11 * item(5))
-    parts = F.array(*[F.struct(item(k).cast("long").alias("k"), w.alias("w")) for k, w in enumerate(weights)])
+    weights = [-h10 * item(4), h00 - h11 * item(5), h01 + h10 * item(4), h11 * item(5)]
+    rows = [F.struct(item(k).cast("long").alias("k"), w.alias("w")) for k, w in enumerate(weights)]
+    for a, b in ((a, b) for a in range(4) for b in range(a + 1, 4) if any(x[a] == x[b] for x in around)):
+        one = item(a) == item(b)  # each point is in one such pair at most
+        rows[b] = F.struct(item(b).cast("long").alias("k"), F.when(one, weights[a] + weights[b]).otherwise(weights[b]).alias("w"))
+        rows[a] = F.when(~one, rows[a])
+    parts = F.array(*rows)
     return interval, F.least(F.greatest(past / item(7), F.lit(0.0)), F.lit(1.0)), parts
 
 
@@ -442,16 +448,17 @@ def bicubic_weights(points: DataFrame, x_axis: list[float], y_axis: list[float],
     The surface has the field's values at the grid's points and slopes by differences of
     their neighbours, both along the axes and across; it is a product of two cubics, so its
     weights on the sixteen points around are products too and sum to one. Beyond the axes
-    the nearest edge is followed; ``cyclic`` closes the x axis. Apply them with
-    ``apply_weights``.
+    the nearest edge is followed; ``cyclic`` closes the x axis. A target has one row a
+    point, made from the target's row alone. Apply them with ``apply_weights``.
     """
-    df = points.select(target, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    for name, axis, period, c in (("xs", x_axis, cyclic, "__x"), ("ys", y_axis, None, "__y")):
-        interval, t, parts = _cubic_axis(axis, F.col(c), F.col("__u"), period)
-        df = df.withColumn("__u", points_upto(axis, F.col(c))).withColumn("__k", interval).withColumn("__t", t).withColumn(name, parts).drop("__u", "__k", "__t")
-    df = df.select(target, "ys", F.explode("xs").alias("a")).select(target, "a", F.explode("ys").alias("b"))
-    # an end of an axis stands twice among the four
-    return df.groupBy(target, F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("w"))
+    df, parts = points.select(target, F.col(x).alias("__x"), F.col(y).alias("__y")), []
+    for axis, period, c in ((x_axis, cyclic, "__x"), (y_axis, None, "__y")):
+        interval, t, part = _cubic_axis(axis, F.col(c), F.col("__u"), period, f"{c}k", f"{c}t")
+        df = df.withColumn("__u", points_upto(axis, F.col(c))).withColumn(f"{c}k", interval).withColumn(f"{c}t", t).drop("__u")
+        parts.append(part)
+    df = df.select(target, "__yk", "__yt", F.explode(parts[0]).alias("a")).where("a is not null")
+    df = df.select(target, "a", F.explode(parts[1]).alias("b")).where("b is not null")
+    return df.select(target, F.col("a.k").alias("i"), F.col("b.k").alias("j"), (F.col("a.w") * F.col("b.w")).alias("w"))
 
 
 def containing_cells(points: DataFrame, quads: DataFrame, width: float) -> DataFrame:
