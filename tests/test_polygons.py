@@ -127,6 +127,16 @@ def test_lon_lat_cells_are_boxed_by_all_tasks_and_pairs_added_in_place(spark):
     assert plan.count("MapInArrow") == 3 and plan.count("RepartitionByExpression") + plan.count("REPARTITION_BY_COL") == 2
 
 
+@pytest.mark.parametrize("edges", ["great_circle", "lon_lat"])
+def test_slivers_count_where_sums_must_add_up(spark, edges):
+    """A ten-millionth of a cell reaches into the next one: no row as it is, all of the cell if less is asked for."""
+    box = lambda i, x0, x1: (i, [x0, x1, x1, x0], [-0.1, -0.1, 0.1, 0.1])
+    one, two = cells(spark, "src", [box(0, 0.0, 0.1)]), cells(spark, "dst", [box(0, -0.1, 1e-8), box(1, 1e-8, 0.2)])
+    assert [r.dst for r in polygons.cell_overlaps(one, two, 0.3, edges).collect()] == [1]
+    got = {r.dst: r.w for r in polygons.cell_overlaps(one, two, 0.3, edges, least=1e-12).collect()}
+    assert got[0] / got[1] == pytest.approx(1e-7, rel=0.05)
+
+
 def test_poles_inside_on_corners_and_seams(spark):
     """Caps around both poles against wedges that end in them, with any longitude at the pole."""
     cap = lambda i, lat: (i, [0.5, 0.5 + math.pi * 2 / 3, 0.5 + math.pi * 4 / 3], [lat] * 3)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.catalogue.registry import query, table
 from tidemark.operators import polygons, regrid
 
+#: Shares of cells that are only rounding: all others count towards a cell's sum.
+SLIVER = 1e-12
+
 
 def _cells(df: DataFrame, key: str, name: str, rows: int, south: float, lean: float) -> DataFrame:
     """Closed rings of leaning cells from ``south`` to its mirror image, whose corners wave by two degrees."""
@@ -69,7 +72,7 @@ FROM u a JOIN u b ON b.side = a.side AND b.cell = a.cell AND b.k = 1 JOIN u c ON
 def xgrid_great_circle(spark, folder):
     """What each cell of both grids shares with the other grid adds up to the cell: great circles from pole to pole."""
     a, b = _grids(spark, folder, -90.0)
-    out, n = _totals(polygons.cell_overlaps(a, b, 0.3), spark, folder)
+    out, n = _totals(polygons.cell_overlaps(a, b, 0.3, least=SLIVER), spark, folder)
     return out.select("side", "cell", F.round(F.col("w") * n / (4 * math.pi), 4).alias("area"))
 
 
@@ -81,7 +84,7 @@ round(-sum((b.x - a.x) * {_MEAN}) * a.n / (4 * pi()), 4) AS moment FROM v a JOIN
 def xgrid_lon_lat(spark, folder):
     """The same between 60 degrees south and north with edges straight in longitude and latitude, and the latitudes of the shared centres."""
     a, b = _grids(spark, folder, -60.0)
-    out, n = _totals(polygons.cell_overlaps(a, b, 0.2, edges="lon_lat"), spark, folder, F.sum(F.col("w") * F.col("lat")).alias("m"))
+    out, n = _totals(polygons.cell_overlaps(a, b, 0.2, edges="lon_lat", least=SLIVER), spark, folder, F.sum(F.col("w") * F.col("lat")).alias("m"))
     scaled = lambda c: F.round(F.col(c) * n / (4 * math.pi), 4)
     return out.select("side", "cell", scaled("w").alias("area"), scaled("m").alias("moment"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A shared area counts if it is over this part of the smaller cell.
+#: A shared area counts if it is over this part of the smaller cell, unless a call says otherwise.
 LEAST = 1e-6
 #: Nodes and weights of five-point Gauss quadrature over [0, 1].
 _NODES, _WEIGHTS = (x for x in np.polynomial.legendre.leggauss(5))
@@ -104,29 +104,29 @@ def clip_all(subject: np.ndarray, clipper: np.ndarray) -> tuple[np.ndarray, np.n
     return subject, left
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Areas (n) and centres (n, 2) of what pairs share: 0 where that is not over ``LEAST``."""
+def _shared(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Areas (n) and centres (n, 2) of what pairs share: 0 where that is not over ``least`` of the smaller cell."""
     part, left = clip_all(a, b)
     area = np.where(left, np.abs(signed_area(part)), 0.0)
-    keep = area > LEAST * np.minimum(np.abs(signed_area(a)), np.abs(signed_area(b)))
+    keep = area > least * np.minimum(np.abs(signed_area(a)), np.abs(signed_area(b)))
     centre = np.zeros((len(area), 2))
     if keep.any():
         centre[keep] = centroid(part[keep])
     return np.where(keep, area, 0.0), centre
 
 
-def _overlap(batches: Iterator[pa.RecordBatch], sphere: bool) -> Iterator[pa.RecordBatch]:
+def _overlap(batches: Iterator[pa.RecordBatch], sphere: bool, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         lon0, lat0, lon1, lat1 = (padded(batch.column(c)) for c in ("s_lon", "s_lat", "d_lon", "d_lat"))
         make = unit if sphere else (lambda x, y: np.stack([x, y], -1))
         a, b = make(lon0, lat0), make(lon1, lat1)
-        area, centre = _shared(a, b)
+        area, centre = _shared(a, b, least)
         turn = 2 * math.pi
         # wide cells may meet again a turn further: both sides of a cut of the circle are one pair
         while not sphere and len(at := np.flatnonzero(lon1.max(1) >= lon0.min(1) + turn)):
-            more, middle = _shared(make(lon0[at] + turn, lat0[at]), b[at])
+            more, middle = _shared(make(lon0[at] + turn, lat0[at]), b[at], least)
             both = area[at] + more
             centre[at] = (area[at, None] * centre[at] + more[:, None] * middle) / np.where(both > 0, both, 1.0)[:, None]
             area[at] = both
@@ -195,14 +195,15 @@ def _bins(boxes: list[DataFrame], width: float) -> list[float]:
     return [min(width, max(1e-9, *(m[k] for m in means))) if all(m[k] is not None for m in means) else width for k in range(2)]
 
 
-def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str = "great_circle") -> DataFrame:
+def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str = "great_circle", least: float = LEAST) -> DataFrame:
     """``(src, dst, w, lon, lat)``: shared areas on the unit sphere and their centres.
 
     ``source(src, lon, lat)`` and ``target(dst, lon, lat)``; ``edges`` are ``great_circle`` or
     ``lon_lat``. Bins of longitude and latitude (of its sine for great circles) are as wide
     as the boxes on average, and at most ``width``. Great-circle cells lie within less than
     a quarter of the sphere; lon-lat cells wrap around but hold no pole inside (a pole may
-    be a corner).
+    be a corner). Slivers up to ``least`` of the smaller cell are no rows: where sums must
+    add up to the cells, make it less.
     """
     if edges not in ("great_circle", "lon_lat"):
         raise ValueError("edges are great_circle or lon_lat")
@@ -235,7 +236,7 @@ def cell_overlaps(source: DataFrame, target: DataFrame, width: float, edges: str
     met = met & ((F.col("turn") == -1) | (F.col("before") < F.element_at("d_lo", 1)))
     pairs = pairs.where(met).select("src", "dst", "s_lon", "s_lat", "d_lon", "d_lat")
     kinds = dict(pairs.dtypes)
-    return pairs.mapInArrow(lambda b: _overlap(b, sphere), f"src {kinds['src']}, dst {kinds['dst']}, w double, lon double, lat double")
+    return pairs.mapInArrow(lambda b: _overlap(b, sphere, least), f"src {kinds['src']}, dst {kinds['dst']}, w double, lon double, lat double")
 
 
 def cell_areas(cells: DataFrame, name: str, edges: str = "great_circle") -> DataFrame:
